@@ -7,10 +7,11 @@ Bands of four coordinates name the buckets.
 
 Nothing here lists all pairs of a bucket. Equal sets are one class. In each
 bucket every class meets one hub, links are confirmed on the full sets, and
-classes that a link joins need not meet again. Only where a bucket still holds
-several components, its members meet in buckets of two bands, again by hub,
-and what is still apart there is compared pair by pair. Repeated candidates
-are tested once.
+classes that a link joins need not meet again. Where classes share two bands
+and are still in different components, the exact prefix rule decides who meets
+whom: of two sets that are similar enough, the rarest shingles of the smaller
+and of the larger must have one in common. In a family of edited copies the
+edits are the rarest shingles, so members below the threshold do not meet.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing; rows that share a ``doc_id`` count as one vertex; a
@@ -95,15 +96,8 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, SIGNATURE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent`` of similarity, as a table.
-
-    The texts that the pairs name are set aside first, so the corpus is dealt
-    out once at most, and not at all if the pairs are few.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = materialize(named, "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach ``percent`` of similarity, as a table."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,27 +122,70 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _pair(x: Column, y: Column) -> list[Column]:
+def _pairs(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """From (key, rep, n, comp): each member with its bucket's hub, if they are in different components."""
-    hub = members.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n", "comp")).alias("h"),
-        F.min("comp").alias("lo"),
-        F.max("comp").alias("hi"),
-    )
-    hub = hub.where("lo < hi").select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
-    joined = members.join(hub, "key").where((F.col("comp") != F.col("hub_comp")) & _near(F.col("n"), F.col("m"), percent))
-    return joined.select(*_pair(F.col("rep"), F.col("hub"))).distinct()
+def _hub_pairs(banded: DataFrame, percent: int) -> DataFrame:
+    """From (key, rep, n): each member with its bucket's hub."""
+    hub = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n")).alias("h"), F.count("*").alias("members"))
+    hub = hub.where("members > 1").select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
+    joined = banded.join(hub, "key").where((F.col("rep") != F.col("hub")) & _near(F.col("n"), F.col("m"), percent))
+    return joined.select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
+
+
+def _shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, x): each text's distinct shingles, a row each."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for begin, end, raw in runs(texts):
+                sets = shingle_sets(raw, k)
+                owner = np.repeat(ids[begin:end], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "x"])
+
+    return texts.select("doc_id", "text").mapInArrow(apply, "rep long, x long")
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of (rep, n, comp) in different components that the prefix rule lets meet.
+
+    Sets of sizes m <= n with 100 * both >= p * union share at least
+    ceil(p * (m + n) / (100 + p)) shingles. In an order common to all sets, here
+    by how many members hold the shingle, the first m - (that, for n = m) + 1 of
+    the smaller set and the first n - ceil(p * n / 100) + 1 of the larger then
+    have one in common. Shingles that one member only holds take their places
+    in the order and are dropped before anything is joined.
+    """
+    tokens = materialize(_shingles(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k), "tokens")
+    held = tokens.groupBy("x").agg(F.count("*").alias("held")).where("held > 1")
+    shared = tokens.join(held, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
+    ranked = shared.join(members, "rep").withColumn("alone", F.col("n") - F.size("xs"))
+    small = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1 - F.col("alone")
+    large = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("alone")
+
+    def firsts(many: Column, side: str) -> DataFrame:
+        rows = ranked.where(many > 0).select(*(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp")), F.explode(F.slice("xs", F.lit(1), many.cast("int"))).alias("e"))
+        return rows.withColumn("x", F.col("e.x")).drop("e")
+
+    # Rounding errors of the ceilings only ever lengthen a prefix.
+    y, z = firsts(small + 1, "y"), firsts(large + 1, "z")
+    ordered = (F.col("y_n") < F.col("z_n")) | ((F.col("y_n") == F.col("z_n")) & (F.col("y_rep") < F.col("z_rep")))
+    met = y.join(z, "x").where((F.col("y_comp") != F.col("z_comp")) & ordered & _near(F.col("y_n"), F.col("z_n"), percent))
+    return met.select(*_pairs(F.col("y_rep"), F.col("z_rep"))).distinct()
+
+
+def _mixed(known: DataFrame) -> DataFrame:
+    """Of (key, rep, n, comp), the rows of keys that hold several components."""
+    keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return known.join(keys, "key", "left_semi")
 
 
 def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Of (key, rep, n), the buckets with several components, with each member's component."""
-    known = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return known.join(mixed, "key", "left_semi").select("key", "rep", "n", "comp")
+    known = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
+    return _mixed(known.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -163,33 +200,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = classes.select("rep", "n", "bands")
     banded = reps.select("rep", "n", F.explode("bands").alias("key"))
 
+    # Only classes that share a bucket can link; their texts are set aside once.
+    bucket = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    wanted = banded.join(bucket, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    texts = materialize(named, "texts")
+
     # 1. Each class against its buckets' hubs.
-    tested = materialize(_hub_pairs(banded.withColumn("comp", F.col("rep")), percent), "pairs")
-    links = _confirmed(tested, docs, k, percent)
+    tested = materialize(_hub_pairs(banded, percent), "pairs")
+    links = _confirmed(tested, texts, k, percent)
     labels = connected_components(links)
 
-    # 2. Buckets that still hold several components: buckets of two bands, by hub.
+    # 2. Classes of different components that share two bands.
     open_rows = _still_open(banded, labels)
     double = open_rows.join(reps.select("rep", F.col("bands").alias("others")), "rep")
     double = double.select("rep", "n", "comp", F.col("key").alias("one"), F.explode("others").alias("two")).where("one < two")
-    double = materialize(double.select("rep", "n", "comp", F.xxhash64("one", "two").alias("key")), "double_bands")
-    pairs = materialize(_hub_pairs(double, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        tested = tested.unionByName(pairs)
-        found = _confirmed(pairs, docs, k, percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = connected_components(links)
-
-    # 3. What is still apart there, pair by pair.
-    rest = materialize(_still_open(double.drop("comp"), labels), "rest")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp"))) for side in "xy")
-    pairs = x.join(y, "key").where((F.col("x_comp") < F.col("y_comp")) & _near(F.col("x_n"), F.col("y_n"), percent))
-    pairs = materialize(pairs.select(*_pair(F.col("x_rep"), F.col("y_rep"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        found = _confirmed(pairs, docs, k, percent)
-        if not found.isEmpty():
-            labels = connected_components(links.unionByName(found))
+    mixed = _mixed(double.select("rep", "n", "comp", F.xxhash64("one", "two").alias("key")))
+    members = materialize(mixed.select("rep", "n", "comp").distinct(), "members")
+    pairs = materialize(_prefix_pairs(members, texts, k, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = _confirmed(pairs, texts, k, percent)
+    if not found.isEmpty():
+        labels = connected_components(links.unionByName(found))
 
     # Most documents keep their own name; only the others are joined.
     moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("set_id", "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
