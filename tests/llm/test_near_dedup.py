@@ -71,7 +71,7 @@ def test_chains_and_families(spark):
 def test_odd_rows(spark):
     rows = [
         (5, "A b C"), (3, "a B c"), (9, "a b"), (8, "A  B"), (1, ""), (2, None), (7, " \t\n"),
-        (4, "x " * 50_000 + "end"), (6, "x " * 50_000 + "end"), (None, "a b c"), (11, "é É"), (12, "É É"), (13, "a b"),
+        (4, "x " * 50_000 + "end"), (6, "x " * 50_000 + "end"), (None, "a b c"), (11, "é É"), (12, "É É"), (13, "a\u00a0b"),
     ]
     docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
     out = near_duplicates(docs, 3, 85).collect()
