@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dedup
+from . import chat_format, mixing, near_dedup
 from .shared import table
 
 
@@ -19,9 +20,48 @@ def op3_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+#: A conversation whose texts hold control strings, as the contract has it.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    parts = chat_format.segments(turns.unionByName(probe))
+    return chat_format.digests(chat_format.read_back(chat_format.formatted(parts)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivotal": op3_pivotal,
+    "op7_chat": op7_chat,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": r"""
+        with rows as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        ), turns as (
+            select conv_id,
+                list({'role': role, 'text': text} order by turn nulls last, role collate "C", text collate "C") as t
+            from rows group by conv_id
+        ), parts as (
+            select conv_id, t,
+                array_to_string(list_transform(t, lambda x: x.role || chr(10) || x.text || chr(10)), '') as whole,
+                coalesce(array_to_string(list_transform(list_filter(t, lambda x: x.role = 'assistant'), lambda x: x.text), ''), '') as kept,
+                array_to_string(list_transform(t, lambda x: '<turn ' || replace(replace(x.role, '\', '\b'), '<', '\l') || '>'
+                    || replace(replace(x.text, '\', '\b'), '<', '\l') || '</turn>'), '') as formatted,
+                array_to_string(list_transform(t, lambda x: x.role), ' ') as roles
+            from turns
+        )
+        select conv_id, len(t)::bigint as n_turns, sha256(whole) as turns_sha256, length(kept)::bigint as loss_chars,
+            sha256(kept) as loss_sha256, length(formatted)::bigint as formatted_chars,
+            regexp_full_match(roles, '(system )?user assistant( user assistant)*') as valid
+        from parts""",
+}
