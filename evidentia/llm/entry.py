@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dedup
-from .shared import table
+from . import chat_format, mixing, near_dedup, warc
+from .shared import scratch_path, table
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,25 @@ def op3_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the archives, then read responses with their payloads and revisits by their headers."""
+    warc.register(spark)
+    path = scratch_path(spark, "warc")
+    warc.deduplicated(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc")
+    full = read.load(path).where("record_type = 'response'").select(
+        warc.page_of("record_id").alias("page_id"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        warc.payload_digest("payload").alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = read.option("payload", "false").load(path).where("record_type = 'revisit'").select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
+    )
+    return full.unionByName(revisits)
+
+
 #: A conversation whose texts hold control strings, as the contract has it.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -38,6 +57,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivotal": op3_pivotal,
+    "op5_warc": op5_warc,
     "op7_chat": op7_chat,
     "op10_minhash": op10_minhash,
 }
