@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dedup, warc
+from . import chat_format, media_chunks, mixing, near_dedup, warc
 from .shared import scratch_path, table
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivotal": op3_pivotal,
     "op5_warc": op5_warc,
     "op7_chat": op7_chat,
+    "op9_media": op9_media,
     "op10_minhash": op10_minhash,
 }
 
