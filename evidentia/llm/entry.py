@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_chunks, mixing, near_dedup, warc
+from . import chat_format, media_chunks, mixing, near_dedup, pseudonyms, secrets, warc
 from .shared import scratch_path, table
 
 
@@ -19,6 +19,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -43,6 +47,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(revisits)
 
 
+def op6_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_private"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 #: A conversation whose texts hold control strings, as the contract has it.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -60,8 +69,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_randomness": op2_randomness,
     "op3_pivotal": op3_pivotal,
     "op5_warc": op5_warc,
+    "op6_feistel": op6_feistel,
     "op7_chat": op7_chat,
     "op9_media": op9_media,
     "op10_minhash": op10_minhash,
