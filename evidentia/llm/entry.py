@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_chunks, mixing, near_dedup, pseudonyms, secrets, warc
+from . import chat_format, html_text, media_chunks, mixing, near_dedup, pseudonyms, secrets, warc
 from .shared import scratch_path, table
 
 
@@ -28,6 +28,10 @@ def op3_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archives, then read responses with their payloads and revisits by their headers."""
     warc.register(spark)
@@ -71,6 +75,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_randomness": op2_randomness,
     "op3_pivotal": op3_pivotal,
+    "op4_blocks": op4_blocks,
     "op5_warc": op5_warc,
     "op6_feistel": op6_feistel,
     "op7_chat": op7_chat,
