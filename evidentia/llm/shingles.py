@@ -15,6 +15,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE, _LEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All of ASCII but letters: words without digits and punctuation.
+NOT_LETTERS = np.array([not (b >= 128 or chr(b).isalpha()) for b in range(256)])
 #: Texts are handled in runs of about this many bytes, so arrays stay in cache.
 RUN_BYTES = 1 << 20
 
@@ -53,9 +55,9 @@ class Words:
     the words of text ``i``; ``at`` is each text's first byte.
     """
 
-    def __init__(self, raw: list[bytes]):
+    def __init__(self, raw: list[bytes], breaks: np.ndarray = _SPACE):
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-        space = _SPACE[self.data]
+        space = breaks[self.data]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, end = edge[0::2], edge[1::2]
         self.size = end - self.start
