@@ -34,12 +34,12 @@ from .shingles import NOT_LETTERS, Words, runs
 #: Hash buckets of words for document frequencies and TF-IDF.
 BUCKETS = 1 << 16
 PASSAGE, PASSAGE_STEP, WINDOW_STEP = 24, 12, 6
-RANK, OVERSAMPLE, POWER = 192, 16, 2
-COSINE = 0.3
+RANK, OVERSAMPLE, POWER = 320, 16, 2
+COSINE = 0.25
 #: Share of an item's words, in order, that counts as a copy; and, with its answer, as a paraphrase.
 COPY, PARAPHRASE = 0.75, 0.6
 ANSWER, ANSWER_SHARE = 5, 0.8
-BLOCK = 2000
+BLOCK = 256
 LEAKS = "doc_id long, item_id long, coverage double, answer boolean"
 
 
@@ -148,7 +148,10 @@ def build_index(benchmark: DataFrame, ids: list[int], texts: list[str | None], d
     known = np.full(BUCKETS, len(buckets), dtype=np.int64)
     known[buckets] = np.arange(len(buckets))
     spans = [(i, w[a:b]) for i, w in enumerate(words) for a, b in passages_of(len(w))]
-    rows = [(known[_bucket(w)].tolist(), idf[_bucket(w)].tolist()) for _, w in spans]
+    rows = []
+    for _, w in spans:  # unit rows, so that short items count as much
+        weight = idf[_bucket(w)]
+        rows.append((known[_bucket(w)].tolist(), (weight / np.linalg.norm(weight)).tolist()))
     session = benchmark.sparkSession
     many = session.sparkContext.defaultParallelism
     matrix = session.createDataFrame(rows, "at array<int>, value array<double>").repartition(max(1, min(many, len(rows) // 64)))

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_text, media_chunks, mixing, near_dedup, pseudonyms, secrets, warc
+from . import chat_format, decontamination, html_text, media_chunks, mixing, near_dedup, pseudonyms, secrets, toxicity, warc
 from .shared import scratch_path, table
 
 
+def op8_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.round_trip(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op1_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("is_toxic", F.col("toxic") >= toxicity.THRESHOLD)
+
+
 def op2_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -72,15 +82,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.formatted(parts)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chain": op1_chain,
     "op2_randomness": op2_randomness,
     "op3_pivotal": op3_pivotal,
     "op4_blocks": op4_blocks,
     "op5_warc": op5_warc,
     "op6_feistel": op6_feistel,
     "op7_chat": op7_chat,
+    "op8_latent": op8_latent,
     "op9_media": op9_media,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
