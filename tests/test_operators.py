@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.operators import evidence, fusion, matching, review, state
 from evidentia.plans import discovery, enrich, report
+from evidentia.session import materialize
 from evidentia.sources import recorded, sheet
 from evidentia.streaming.ingest import CANDIDATES, follow_candidates
 
@@ -148,13 +149,13 @@ def test_enrich_end_to_end(spark):
     cache = spark.createDataFrame([(texts[0], results)], "q string, results array<struct<title:string,url:string,snippet:string>>")
     html = f"<html><title>{PLH}</title><body><h1>{PLH}</h1><script>{{\"possessionDate\": \"2025-12-31\"}}</script><p>{PLH}: Possession by Dec 2025</p></body></html>"
     pages = spark.createDataFrame([("https://housing.com/in/buy/projects/page/1-plh", html)], "url string, html string")
-    out = {r.row_idx: r for r in enrich.enrich(e, cache, pages, queries, "full", TODAY).collect()}
+    rows = materialize(enrich.enrich(e, cache, pages, queries, "full", TODAY), "rows")
+    out = {r.row_idx: r for r in rows.collect()}
     for i in (0, 1):
         assert (out[i].iso, out[i].label, out[i].price_label, out[i].price_display) == ("2025-12", "High", "High", "₹80 L - ₹1.2 Cr")
         assert out[i].queries == 1
     assert (out[2].label, out[3].label, out[3].note) == ("Skipped", "Not found", "empty building name")
     assert recorded.uncached(queries, cache).count() == 3
-    rows = enrich.enrich(e, cache, pages, queries, "full", TODAY)
     r = report.full_report(rows, TODAY).where("row_idx = 0").first()
     assert (r["Possession Date"], r["Web vs Sheet (date)"], r["Web vs Sheet (price)"], r["Sheet Price"]) == ("Dec 2025", "Match", "Match (within 15%)", "₹80 L")
     assert {r.Metric: r.Value for r in report.summary(rows).collect()}["Dates confirmed (High or Medium)"] == 2
