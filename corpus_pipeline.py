@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again.
 
 ``ORACLE_SQL`` is None: SQL cannot express the trained classifier, the latent
-search and the random rounding; ``tests/llm/test_pipeline.py`` holds each stage
-against a brute-force version.
+search and the random rounding; ``tests/llm/test_pipeline.py`` holds the near-duplicate
+stage against brute force and the others against what their decisions must show.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private values become pseudonyms of the same format, so lengths stay."""
+    """Private values become pseudonyms of the same format; only the numbers of IP addresses may change their length."""
     return pseudonyms.pseudonymize(docs).drop("pii_kinds")
 
 
