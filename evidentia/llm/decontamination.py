@@ -276,7 +276,7 @@ def _scan(docs: DataFrame, index: Index):
             found = list(leaks_in(index, batch.column(1).to_pylist()))
             at = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([round(f[2], 6) for f in found]), pa.array([f[3] for f in found], pa.bool_())],
+                [batch.column(0).take(at), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([round(f[2], 6) for f in found], pa.float64()), pa.array([f[3] for f in found], pa.bool_())],
                 names=["doc_id", "item_id", "coverage", "answer"],
             )
 
