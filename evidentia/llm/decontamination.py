@@ -65,8 +65,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for _, _, raw in runs(_lower(batch.column(0).to_pylist())):
                 h, ptr = _hashes(raw)
                 owner = np.repeat(np.arange(len(raw)), np.diff(ptr))
-                seen = np.unique(owner * BUCKETS + _bucket(h))
-                total += np.bincount(seen % BUCKETS, minlength=BUCKETS)
+                seen = np.sort(owner * BUCKETS + _bucket(h))
+                total += np.bincount(seen[np.diff(seen, prepend=-1) > 0] % BUCKETS, minlength=BUCKETS)
                 rows += len(raw)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*total[at], rows], pa.int64())], names=["bucket", "n"])
@@ -134,6 +134,7 @@ class Index:
     idf: np.ndarray
     known: np.ndarray  # bucket to row of ``space``, or the last row, which is zero
     space: np.ndarray
+    weighted: np.ndarray  # ``space``, each row times its word's weight
     passages: np.ndarray
     item_of: np.ndarray
 
@@ -159,7 +160,8 @@ def build_index(benchmark: DataFrame, ids: list[int], texts: list[str | None], d
     space = np.vstack([space, np.zeros(space.shape[1])]).astype(np.float32)
     z = np.stack([(space[at] * np.array(value)[:, None]).sum(axis=0) for at, value in rows])
     z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
-    return Index(ids, words, idf.astype(np.float32), known, space, z.astype(np.float32), np.array([i for i, _ in spans]))
+    weighted = space * np.append(idf[buckets], 0.0).astype(np.float32)[:, None]
+    return Index(ids, words, idf.astype(np.float32), known, space, weighted, z.astype(np.float32), np.array([i for i, _ in spans]))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,8 +185,21 @@ def judge(item: np.ndarray, span: np.ndarray) -> tuple[float, bool, bool]:
     return coverage, answer, coverage >= COPY or (answer and coverage >= PARAPHRASE)
 
 
-def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers and passage numbers that are close."""
+def _steps(row: np.ndarray, space: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each step's sum of its words' rows in the latent space, and a row of zeros at the end."""
+    out = np.zeros((len(begins) + 1, space.shape[1]), dtype=np.float32)
+    for j in range(WINDOW_STEP):
+        at = begins + j
+        out[:-1] += space[np.where(at < ends, row[np.minimum(at, len(row) - 1)], len(space) - 1)]
+    return out
+
+
+def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window numbers and passage numbers that are close.
+
+    Windows overlap, so words are summed once per step of ``WINDOW_STEP`` words
+    and a window is the sum of its steps. ``stops`` are the ends of the texts.
+    """
     bucket = _bucket(h)
     weight = index.idf[bucket].astype(np.float64)
     row = index.known[bucket]
@@ -192,16 +207,25 @@ def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarra
     inside = np.concatenate(([0.0], np.cumsum(np.where(row < len(index.space) - 1, weight**2, 0.0))))
     whole = energy[ends] - energy[begins]
     near = np.flatnonzero(inside[ends] - inside[begins] >= COSINE**2 * whole)
+    offsets = np.arange(0, PASSAGE, WINDOW_STEP)
     windows, passages = [], []
-    for at in range(0, len(near), 256):
-        own = near[at : at + 256]
-        place = np.minimum(begins[own][:, None] + np.arange(PASSAGE), ends[own][:, None] - 1)
-        there = (begins[own][:, None] + np.arange(PASSAGE)) < ends[own][:, None]
-        z = np.einsum("ij,ijk->ik", (weight[place] * there).astype(np.float32), index.space[row[place]])
-        score = (z @ index.passages.T) / (np.sqrt(whole[own])[:, None] + 1e-9)
-        i, j = np.nonzero(score >= COSINE)
-        windows.append(own[i])
-        passages.append(j)
+    for at in range(0, len(near), 512):
+        own = near[at : at + 512]
+        place = begins[own][:, None] + offsets
+        steps, number = np.unique(place, return_inverse=True)
+        there = place < stops[own][:, None]
+        stop = np.zeros(len(steps), dtype=np.int64)
+        number = number.reshape(place.shape)
+        stop[number[there]] = np.broadcast_to(stops[own][:, None], place.shape)[there]
+        sums = _steps(row, index.weighted, steps, stop)
+        number = np.where(there, number, len(steps))
+        z = sums[number[:, 0]]
+        for j in range(1, len(offsets)):
+            z += sums[number[:, j]]
+        z /= np.sqrt(whole[own]).astype(np.float32)[:, None] + np.float32(1e-9)
+        close = np.flatnonzero((z @ index.passages.T).ravel() >= COSINE)
+        windows.append(own[close // len(index.passages)])
+        passages.append(close % len(index.passages))
     if not windows:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(windows), np.concatenate(passages)
@@ -213,15 +237,13 @@ def leaks_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
         h, ptr = _hashes(raw)
         if not len(h):
             continue
-        begins, owners = [], []
-        for i, (a, b) in enumerate(zip(ptr[:-1], ptr[1:], strict=True)):
-            if b > a:
-                starts = np.arange(a, max(a + 1, b - PASSAGE + 1), WINDOW_STEP)
-                begins.append(np.append(starts, max(a, b - PASSAGE)))
-                owners.append(np.full(len(begins[-1]), i))
-        begin, owner = np.concatenate(begins), np.concatenate(owners)
-        end = np.minimum(begin + PASSAGE, ptr[owner + 1])
-        windows, passages = _candidates(index, h, begin, end)
+        # A window each WINDOW_STEP words until one reaches the end of its text.
+        lengths = np.diff(ptr)
+        many = np.where(lengths > 0, np.maximum(1, -(-(lengths - PASSAGE) // WINDOW_STEP) + 1), 0)
+        owner = np.repeat(np.arange(len(raw)), many)
+        begin = ptr[owner] + WINDOW_STEP * (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+        stop = ptr[owner + 1]
+        windows, passages = _candidates(index, h, begin, np.minimum(begin + PASSAGE, stop), stop)
         best: dict[tuple[int, int], tuple[float, bool]] = {}
         done: set[tuple[int, int, int]] = set()
         for w, p in zip(windows.tolist(), passages.tolist(), strict=True):
@@ -234,7 +256,11 @@ def leaks_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
             done.add(spot)
             low = max(int(ptr[i]), spot[2] * reach - reach)
             high = min(int(ptr[i + 1]), spot[2] * reach + 2 * reach + PASSAGE)
-            coverage, answer, leak = judge(words, h[low:high])
+            span = h[low:high]
+            there = set(span.tolist())
+            if sum(x in there for x in words.tolist()) < PARAPHRASE * len(words):
+                continue  # no subsequence can be long enough
+            coverage, answer, leak = judge(words, span)
             if leak:
                 best[i, item] = max(best.get((i, item), (0.0, False)), (coverage, answer))
         for (i, item), (coverage, answer) in sorted(best.items()):
