@@ -22,21 +22,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .shared import materialize
+from .shared import materialize, may_be_among
 
 WIDTH = 64
 #: A cut about every 2**CUT_BITS bytes, within these bounds.
 CUT_BITS, LEAST, MOST = 11, 512, 16384
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << (32 - CUT_BITS))
-#: Bits of the filter for rows that have to be joined before they are stored.
-FILTER_BITS = 1 << 23
 CUT = "doc_id long, key long, n_bytes long, file_id binary, digests array<binary>"
 FILES = "file_id binary, chunks array<struct<digest: binary, data: binary>>"
 
@@ -118,28 +114,6 @@ def manifest(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(apply, CUT)
 
 
-def _in_bitmap(keys: DataFrame, key: Column) -> Column:
-    """Whether ``key`` may be among ``keys``; never wrong about those that are.
-
-    The bitmap has ``FILTER_BITS`` bits at any input size, 1 MB, so it can be
-    sent to every task. Where it fills up, more rows take the joined path.
-    """
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
-    parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-    bits = {r.bucket: r.bits for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()}
-    width = 32768 // 8
-    table = b"".join(bytes(bits.get(i + 1, b"")).ljust(width, b"\0") for i in range(FILTER_BITS // 32768))
-    held = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf(BooleanType())
-    def known(n: pd.Series) -> pd.Series:
-        flags = np.frombuffer(held.value, dtype=np.uint8)
-        at = n.to_numpy()
-        return pd.Series((flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    return known(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
-
-
 def store(docs: DataFrame) -> DataFrame:
     """Files, each with its chunk list; bytes only of the chunks it owns.
 
@@ -201,7 +175,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     # they are read; copies, repeated keys and files with foreign chunks are joined first.
     copies = listed.select("key", "file_id").exceptAll(first.select("key", "file_id")).select("key")
     special = copies.unionByName(first.join(foreign, "file_id", "left_semi").select("key"))
-    rows = _keyed(docs).withColumn("special", _in_bitmap(special, F.col("key")))
+    rows = _keyed(docs).withColumn("special", may_be_among(special, F.col("key")))
     plain = rows.where(~F.col("special")).withColumn("file_id", F.lit(None).cast("binary")).withColumn("foreign", F.lit(None).cast("array<binary>"))
     joined = rows.where("special").join(first.join(foreign, "file_id", "left").hint("merge"), "key")
     stored = materialize(store(plain).unionByName(store(joined).dropDuplicates(["file_id"])), "chunk_store")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, may_be_among
 from .shingles import encode, mix64, runs, shingle_sets
 
 #: Coordinates in a band.
@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # Only classes that share a bucket can link; their texts are set aside once.
     bucket = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    wanted = banded.join(bucket, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    wanted = materialize(banded.join(bucket, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = named.where(may_be_among(wanted.select(F.col("doc_id").alias("key")), F.col("doc_id"))).join(wanted.hint("merge"), "doc_id", "left_semi")
     texts = materialize(named, "texts")
 
     # 1. Each class against its buckets' hubs.

@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Bytes, about, that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
+#: Bits of the filter that spares rows a shuffle.
+FILTER_BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +50,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Arrow batches are bounded in bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def may_be_among(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be among ``keys``; never wrong about those that are.
+
+    The bitmap has ``FILTER_BITS`` bits at any input size, 1 MB, so it can be
+    sent to every task. Where it fills up, more rows take the joined path.
+    """
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
+    parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    bits = {r.bucket: r.bits for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()}
+    width = 32768 // 8
+    table = b"".join(bytes(bits.get(i + 1, b"")).ljust(width, b"\0") for i in range(FILTER_BITS // 32768))
+    held = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(BooleanType())
+    def known(n: pd.Series) -> pd.Series:
+        flags = np.frombuffer(held.value, dtype=np.uint8)
+        at = n.to_numpy()
+        return pd.Series((flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return known(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
