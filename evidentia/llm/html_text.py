@@ -1,11 +1,12 @@
 """Main text of web pages: flat text blocks, judged by a small decision tree.
 
 A page is cut into blocks at its block tags. Each block has its word count and
-link density, those of the blocks before and after it, and two marks from the
-tags around it: whether one of them is made for other things than the article
-(navigation, footer, form, a class like ``cookie`` or ``comments``), and
-whether one of them is an article. A decision tree, trained on the labelled
-table below whenever the operator starts, tells main text from the rest.
+link density, those of the blocks before and after it, and one weak mark from
+the tags around it: an article, none, a hint of other things (a form, a class
+like ``cookie`` or ``comments``), or tags for them (navigation, footer). An
+article or main part resets hints of its wrappers. A decision tree, trained on
+the labelled table below whenever the operator starts, tells main text from the
+rest: the mark moves how many words a block needs, and links count everywhere.
 
 Spark deals out pages; a page is parsed whole in one pass, without a tree of
 elements. Defined results: a null or empty page has the empty text; tags left
@@ -28,31 +29,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled blocks: words, link density, the same of the previous and the next block (0, 0 at the
-#: ends), in a part made for other things, in an article; then 1 for main text.
+#: ends), mark (1 in an article, -1 in a hinted part, -2 in tags for other things); then 1 for main text.
 LABELLED = (
-    (60, 0.0, 45, 0.0, 80, 0.0, 0, 1, 1), (1, 0.0, 60, 0.0, 1, 0.0, 0, 1, 1), (2, 0.0, 0, 0.0, 90, 0.0, 0, 1, 1),
-    (9, 0.0, 3, 1.0, 70, 0.0, 0, 1, 1), (35, 0.2, 50, 0.0, 40, 0.1, 0, 1, 1), (14, 0.0, 30, 0.0, 12, 1.0, 0, 1, 1),
-    (120, 0.05, 9, 0.0, 0, 0.0, 0, 1, 1), (6, 0.4, 40, 0.0, 40, 0.0, 0, 1, 1), (4, 1.0, 50, 0.0, 60, 0.0, 0, 1, 1),
-    (3, 0.0, 2, 0.0, 4, 0.0, 0, 1, 1), (8, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1), (25, 0.6, 30, 0.0, 45, 0.0, 0, 1, 1),
-    (1, 0.0, 8, 0.1, 2, 0.0, 0, 1, 1), (2, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1), (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1), (2, 1.0, 30, 0.0, 2, 1.0, 0, 1, 1), (3, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1),
-    (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (1, 0.0, 40, 0.0, 40, 0.0, 0, 1, 1), (4, 0.0, 4, 0.0, 1, 1.0, 0, 1, 1),
-    (12, 0.8, 4, 1.0, 9, 0.9, 0, 1, 1), (2, 0.5, 2, 0.5, 2, 0.5, 0, 1, 1), (1, 0.0, 3, 1.0, 3, 1.0, 0, 1, 1),
-    (6, 0.0, 2, 0.0, 90, 0.0, 0, 1, 1), (20, 0.6, 3, 1.0, 15, 0.7, 0, 1, 1), (3, 0.0, 2, 0.0, 0, 0.0, 0, 1, 1),
-    (1, 0.0, 5, 0.0, 12, 0.0, 1, 1, 0), (30, 0.0, 70, 0.0, 25, 0.0, 1, 1, 0), (50, 0.0, 8, 0.0, 40, 0.0, 1, 1, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, 1, 1, 0), (12, 0.1, 60, 0.0, 0, 0.0, 1, 1, 0), (90, 0.0, 90, 0.0, 90, 0.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 0, 0.0, 2, 1.0, 1, 0, 0), (12, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0),
-    (20, 0.1, 60, 0.0, 0, 0.0, 1, 0, 0), (45, 0.0, 3, 1.0, 30, 0.0, 1, 0, 0), (70, 0.3, 50, 0.0, 2, 1.0, 1, 0, 0),
-    (100, 0.0, 20, 0.0, 10, 0.0, 1, 0, 0), (5, 0.0, 4, 0.0, 3, 0.0, 1, 0, 0), (8, 0.0, 60, 0.0, 60, 0.0, 1, 0, 0),
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 1), (40, 0.1, 8, 0.0, 30, 0.0, 0, 0, 1), (25, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1),
-    (90, 0.2, 0, 0.0, 45, 0.0, 0, 0, 1), (18, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1),
-    (3, 0.0, 55, 0.0, 60, 0.0, 0, 0, 1), (5, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1), (30, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1),
-    (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (22, 0.3, 30, 0.0, 25, 0.0, 0, 0, 1), (4, 0.0, 30, 0.0, 20, 0.1, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0, 0, 0), (1, 1.0, 3, 0.5, 1, 1.0, 0, 0, 0),
-    (6, 0.9, 50, 0.0, 5, 1.0, 0, 0, 0), (12, 0.8, 4, 1.0, 9, 0.9, 0, 0, 0), (30, 0.9, 2, 1.0, 40, 0.9, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0),
-    (1, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), (5, 0.7, 25, 0.0, 0, 0.0, 0, 0, 0), (20, 0.6, 3, 1.0, 15, 0.7, 0, 0, 0),
-    (2, 1.0, 4, 0.0, 60, 0.0, 0, 0, 0), (15, 0.7, 60, 0.0, 1, 1.0, 0, 0, 0),
+    (60, 0.0, 45, 0.0, 80, 0.0, 1, 1), (1, 0.0, 60, 0.0, 1, 0.0, 1, 1), (2, 0.0, 0, 0.0, 90, 0.0, 1, 1),
+    (9, 0.0, 3, 1.0, 70, 0.0, 1, 1), (35, 0.2, 50, 0.0, 40, 0.1, 1, 1), (14, 0.0, 30, 0.0, 12, 1.0, 1, 1),
+    (120, 0.05, 9, 0.0, 0, 0.0, 1, 1), (6, 0.4, 40, 0.0, 40, 0.0, 1, 1), (4, 1.0, 50, 0.0, 60, 0.0, 1, 0),
+    (3, 0.0, 2, 0.0, 4, 0.0, 1, 1), (8, 0.0, 1, 1.0, 2, 0.0, 1, 1), (25, 0.6, 30, 0.0, 45, 0.0, 1, 0),
+    (1, 0.0, 8, 0.1, 2, 0.0, 1, 1), (2, 0.0, 1, 0.0, 2, 0.0, 1, 1), (1, 0.0, 1, 0.0, 0, 0.0, 1, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0), (2, 1.0, 30, 0.0, 2, 1.0, 1, 0), (3, 0.0, 1, 1.0, 1, 1.0, 1, 0),
+    (5, 0.0, 0, 0.0, 0, 0.0, 1, 1), (1, 0.0, 40, 0.0, 40, 0.0, 1, 1), (4, 0.0, 4, 0.0, 1, 1.0, 1, 1),
+    (12, 0.8, 4, 1.0, 9, 0.9, 1, 0), (2, 0.5, 2, 0.5, 2, 0.5, 1, 0), (1, 0.0, 3, 1.0, 3, 1.0, 1, 0),
+    (6, 0.0, 2, 0.0, 90, 0.0, 1, 1), (20, 0.6, 3, 1.0, 15, 0.7, 1, 0), (3, 0.0, 2, 0.0, 0, 0.0, 1, 1),
+    (1, 0.0, 1, 1.0, 2, 0.0, 1, 1), (1, 0.0, 6, 1.0, 90, 0.0, 1, 1), (2, 0.0, 40, 0.0, 3, 1.0, 1, 1),
+    (40, 0.0, 3, 1.0, 4, 1.0, 1, 1), (18, 0.1, 2, 1.0, 2, 1.0, 1, 1), (60, 0.9, 50, 0.0, 60, 0.0, 1, 0),
+    (1, 0.0, 5, 0.0, 12, 0.0, -1, 0), (8, 0.0, 60, 0.0, 60, 0.0, -1, 0), (12, 0.1, 60, 0.0, 0, 0.0, -1, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (12, 0.0, 1, 1.0, 8, 0.0, -1, 0),
+    (20, 0.1, 60, 0.0, 0, 0.0, -1, 0), (16, 0.0, 1, 0.0, 30, 0.0, -1, 0), (70, 0.9, 50, 0.0, 2, 1.0, -1, 0),
+    (30, 0.0, 70, 0.0, 25, 0.0, -1, 1), (50, 0.0, 8, 0.0, 40, 0.0, -1, 1), (90, 0.0, 90, 0.0, 90, 0.0, -1, 1),
+    (45, 0.0, 3, 1.0, 30, 0.0, -1, 1), (70, 0.3, 50, 0.0, 2, 1.0, -1, 1), (100, 0.0, 20, 0.0, 10, 0.0, -1, 1),
+    (1, 1.0, 0, 0.0, 2, 1.0, -2, 0), (2, 1.0, 2, 1.0, 2, 1.0, -2, 0), (5, 0.0, 4, 0.0, 3, 0.0, -2, 0),
+    (30, 0.0, 70, 0.0, 25, 0.0, -2, 0), (45, 0.0, 3, 0.0, 40, 0.0, -2, 0), (60, 0.1, 12, 0.0, 0, 0.0, -2, 0),
+    (75, 0.0, 40, 0.0, 6, 1.0, -2, 0), (140, 0.6, 80, 0.0, 90, 0.0, -2, 0), (110, 0.0, 60, 0.0, 90, 0.0, -2, 1),
+    (180, 0.1, 5, 0.0, 70, 0.0, -2, 1), (140, 0.0, 120, 0.0, 2, 1.0, -2, 1),
+    (60, 0.0, 50, 0.0, 70, 0.0, 0, 1), (40, 0.1, 8, 0.0, 30, 0.0, 0, 1), (25, 0.0, 60, 0.0, 2, 1.0, 0, 1),
+    (90, 0.2, 0, 0.0, 45, 0.0, 0, 1), (18, 0.0, 40, 0.0, 35, 0.0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 1),
+    (3, 0.0, 55, 0.0, 60, 0.0, 0, 1), (5, 0.0, 1, 1.0, 40, 0.0, 0, 1), (30, 0.0, 1, 1.0, 0, 0.0, 0, 1),
+    (16, 0.0, 0, 0.0, 0, 0.0, 0, 1), (22, 0.3, 30, 0.0, 25, 0.0, 0, 1), (4, 0.0, 30, 0.0, 20, 0.1, 0, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0, 0), (1, 1.0, 3, 0.5, 1, 1.0, 0, 0),
+    (6, 0.9, 50, 0.0, 5, 1.0, 0, 0), (12, 0.8, 4, 1.0, 9, 0.9, 0, 0), (30, 0.9, 2, 1.0, 40, 0.9, 0, 0),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0), (4, 0.0, 3, 0.0, 2, 1.0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0),
+    (1, 0.0, 4, 0.0, 3, 0.0, 0, 0), (5, 0.7, 25, 0.0, 0, 0.0, 0, 0), (20, 0.6, 3, 1.0, 15, 0.7, 0, 0),
+    (2, 1.0, 4, 0.0, 60, 0.0, 0, 0), (15, 0.7, 60, 0.0, 1, 1.0, 0, 0),
 )
 #: Tags that end a block.
 BLOCK = frozenset(
@@ -60,14 +67,15 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Tags around other things than the article.
-OTHER = frozenset("nav footer aside form button select option fieldset dialog menu label legend".split())
-#: Words of class, id and role attributes that tell the same.
+OTHER = frozenset("nav footer aside button select option fieldset dialog menu label legend".split())
+#: Words of class, id and role attributes that hint at the same; layout classes hold them too.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " comment comments disqus replies respond sidebar menu nav navbar navigation navigationmenu breadcrumb breadcrumbs pagination pager footer masthead toolbar"
     " share sharing social related recommended newsletter subscribe subscription signup login search widget contentinfo complementary".split()
 )
 _ARTICLE_HINTS = frozenset("article post entry story main".split())
+_OUTSIDE = ("", False, False, False)
 _CLOSED_BY_SAME = frozenset("li dt dd td th tr option".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -85,14 +93,13 @@ class Block:
     text: str
     words: int
     link_density: float
-    other: bool
-    article: bool
+    mark: int
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without markup."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, within other things, within an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag; within tags for other things, a hint of them, an article
     parts: list[str] = []
     linked: list[str] = []
     in_link, at = False, 0
@@ -102,8 +109,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 n = text.count(" ") + 1
-                _, other, article = stack[-1] if stack else ("", False, False)
-                out.append(Block(text, n, min(1.0, len(" ".join(linked).split()) / n), other, article))
+                _, other, hinted, article = stack[-1] if stack else _OUTSIDE
+                out.append(Block(text, n, min(1.0, len(" ".join(linked).split()) / n), -2 if other else -1 if hinted else int(article)))
         parts.clear()
         linked.clear()
 
@@ -143,12 +150,15 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag == "hr":
             continue
-        _, other, article = stack[-1] if stack else ("", False, False)
+        _, other, hinted, article = stack[-1] if stack else _OUTSIDE
         labels = {w for found in _LABELS.findall(m["attributes"]) for w in _WORD.findall("".join(found).lower())} if "=" in m["attributes"] else frozenset()
         own_header = tag == "header" or "header" in labels
-        other = other or tag in OTHER or (tag not in ("html", "body") and bool(labels & HINTS)) or (own_header and not article and not labels & _ARTICLE_HINTS)
+        if tag in ("article", "main") and not article:
+            hinted = False
+        other = other or tag in OTHER
+        hinted = hinted or tag == "form" or (tag not in ("html", "body", "main") and bool(labels & HINTS)) or (own_header and not article and not labels & _ARTICLE_HINTS)
         article = article or tag in ("article", "main") or (tag in ("div", "section") and bool(labels & _ARTICLE_HINTS))
-        stack.append((tag, other, article))
+        stack.append((tag, other, hinted, article))
     say(page[at:])
     close()
     return out
@@ -189,7 +199,7 @@ class Tree:
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
     sizes = [(0, 0.0), *((b.words, b.link_density) for b in found), (0, 0.0)]
-    return "\n".join(b.text for i, b in enumerate(found) if tree.accepts((*sizes[i + 1], *sizes[i], *sizes[i + 2], b.other, b.article)))
+    return "\n".join(b.text for i, b in enumerate(found) if tree.accepts((*sizes[i + 1], *sizes[i], *sizes[i + 2], b.mark)))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

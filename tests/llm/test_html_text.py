@@ -21,6 +21,23 @@ def test_page_with_everything():
     assert main_text(PAGE, Tree()).split("\n") == ["A heading & more", "First paragraph goes on boldly, with a link.", "Short.", "one item", "two items", "x < y é — z"]
 
 
+LONG = " ".join(f"word{i}" for i in range(55))
+
+
+def test_words_and_links_decide_and_marks_only_lean():
+    tree = Tree()
+    wrapped = f'<div class="layout with-sidebar"><nav><a href=/>Home</a></nav><main><h1>Head</h1><p>Short one.</p><p>{LONG}</p></main></div>'
+    assert main_text(wrapped, tree).split("\n") == ["Head", "Short one.", LONG]  # the inner main resets its wrapper's hint
+    hinted = f'<div class="content sidebar-left"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>Popular posts</p></div>'
+    assert main_text(hinted, tree).split("\n") == [LONG, LONG]
+    assert main_text(f"<form><p>{LONG}</p></form>", tree) == LONG
+    links = "".join(f"<li><a href=/{i}>See story number {i} too</a></li>" for i in range(6))
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><p><a href=x>{LONG}</a></p><p>The end.</p></article>", tree).split("\n") == [LONG, "The end."]
+    assert main_text(f'<article><p>{LONG}</p></article><div class="related"><p><a href=x>{LONG}</a></p></div><footer>{LONG}</footer>', tree) == LONG
+    same = [tree.accepts((n, 0.0, 0, 0.0, 0, 0.0, 0)) for n in (2, 60)]  # without a mark, words tell
+    assert same == [False, True] and not tree.accepts((60, 0.9, 0, 0.0, 0, 0.0, 0))
+
+
 def test_tree_fits_its_table():
     tree = Tree()
     assert all(tree.accepts(row[:-1]) == bool(row[-1]) for row in LABELLED)
