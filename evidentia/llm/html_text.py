@@ -81,10 +81,12 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|title|textarea)(?![a-z0-9-])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>",
+    # Quotes count after "=" only, so a stray one opens nothing; values are read whole, at any length.
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attributes>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)",
     re.S | re.I,
 )
-_LABELS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Each attribute with a value, or those of class, id and role as groups; other values are passed over whole.
+_LABELS = re.compile(r"(?<![^\s/\"'])(?:(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>\"'][^\s>]*+))|[^\s/>=]++\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 

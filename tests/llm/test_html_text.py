@@ -38,6 +38,21 @@ def test_words_and_links_decide_and_marks_only_lean():
     assert same == [False, True] and not tree.accepts((60, 0.9, 0, 0.0, 0, 0.0, 0))
 
 
+def test_long_attributes():
+    tree = Tree()
+    for size in (4096, 4097, 100_000):
+        value = "data:image/png;base64," + "A>b<" * (size // 4)
+        assert main_text(f'<article><p>One <img alt="x" src="{value}"> two.</p></article>', tree) == "One two."
+        state = "{" + '"a": "<p>b</p>", ' * (size // 16) + "}"
+        page = f"<article><p>Start.</p><div data-state='{state}' class=\"ad\"><div>Buy now.</div></div><p>End.</p></article><nav data-x='{state}'><p>Menu</p></nav>"
+        assert main_text(page, tree).split("\n") == ["Start.", "End."]
+    assert main_text("<article><p data-html='<div class=\"sidebar\">' data-id=menu>Kept.</p></article>", tree) == "Kept."
+    assert main_text('<article><p class=a">One</p><p title="5" wide">Two</p><p title = "a > b">Three</p></article>', tree).split("\n") == ["One", "Two", "Three"]
+    assert main_text(f'<article><p>Kept.</p><img src="{"A" * 100_000}', tree) == "Kept."
+    for hard in ("<a title=\"" * 100_000, "<a b" * 100_000, "<p class='" * 100_000, "<p x=" * 100_000, "<a" * 200_000, "<p " + "=" * 400_000, "<p " + "a=b " * 100_000 + ">", "<p a=" + " " * 400_000 + "><p " + "a" * 400_000 + "=>"):
+        blocks(hard)  # in linear time
+
+
 def test_tree_fits_its_table():
     tree = Tree()
     assert all(tree.accepts(row[:-1]) == bool(row[-1]) for row in LABELLED)
