@@ -1,8 +1,9 @@
 """Benchmark items in documents, found by latent semantic retrieval and checked word by word.
 
 1. Document frequencies of hashed words, over all documents, give the weights.
-2. Benchmark items are cut into passages; their TF-IDF matrix is reduced by a
-   randomised SVD whose products are summed over Spark's partitions.
+2. Benchmark items are cut into passages; the TF-IDF matrix of each ``RANK`` of
+   them is reduced by a randomised SVD whose products are summed over Spark's
+   partitions. A space holds no more passages than its rank, so none shrinks.
 3. Each document is read in windows of words. A window's cosine with a passage
    is at most its share of weight in benchmark words, so most windows end
    there; the others are projected, and those at ``COSINE`` or more to a
@@ -10,9 +11,12 @@
 4. A candidate's longest common subsequence of words with the item decides,
    with a check for the item's answer (its last words) if the match is loose.
 
-Items are taken in blocks of ``BLOCK``, so what goes to every task is bounded;
-a larger benchmark needs more passes over the documents. Words are lower-cased
-and without digits and punctuation. An item without words matches nothing.
+Items are taken in blocks of ``BLOCK`` items or ``SPACES`` spaces, so what goes
+to every task is bounded; a larger benchmark needs more passes over the
+documents. An item is in one block with all its passages; one that alone has
+more than a block's has a block to itself, of about 10 MB per 3,800 words.
+Words are lower-cased and without digits and punctuation. An item without words
+matches nothing.
 
 Defined results: null and empty texts match nothing; repeated rows give
 repeated results; repeated items each match; empty tables give no rows; extra
@@ -40,6 +44,8 @@ COSINE = 0.25
 COPY, PARAPHRASE = 0.75, 0.6
 ANSWER, ANSWER_SHARE = 5, 0.8
 BLOCK = 256
+#: Latent spaces in a block, at most, if no single item needs more.
+SPACES = 8
 LEAKS = "doc_id long, item_id long, coverage double, answer boolean"
 
 
@@ -125,30 +131,43 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 13) -> np
     return basis @ vectors[:, best[values[best] > 1e-9]]
 
 
+@dataclass(frozen=True)
+class Space:
+    """The latent space of some passages, and each one's unit vector in it."""
+
+    known: np.ndarray  # bucket to row of ``weighted``, or the last row, which is zero
+    weighted: np.ndarray  # a row for each word, times the word's weight
+    passages: np.ndarray
+    item_of: np.ndarray
+
+
 @dataclass(frozen=True)
 class Index:
-    """A block of items: word hashes, the latent space, and each passage's unit vector in it."""
+    """A block of items: word hashes, and the latent spaces of their passages."""
 
     ids: list[int]
     words: list[np.ndarray]
     idf: np.ndarray
-    known: np.ndarray  # bucket to row of ``space``, or the last row, which is zero
-    space: np.ndarray
-    weighted: np.ndarray  # ``space``, each row times its word's weight
-    passages: np.ndarray
-    item_of: np.ndarray
+    spaces: list[Space]
 
 
 def build_index(benchmark: DataFrame, ids: list[int], texts: list[str | None], df: np.ndarray, documents: int) -> Index | None:
     h, ptr = _hashes([t.encode("utf-8", "surrogatepass") for t in _lower(texts)])
     words = [h[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
     idf = np.log((documents + 1) / (df + 1)) + 0.05
-    buckets = np.unique(_bucket(h))
-    if not len(buckets):
+    spans = [(i, w[a:b]) for i, w in enumerate(words) for a, b in passages_of(len(w))]
+    if not spans:
         return None
+    many = -(-len(spans) // RANK)
+    cuts = [len(spans) * i // many for i in range(many + 1)]
+    return Index(ids, words, idf.astype(np.float32), [_space(benchmark, spans[a:b], idf) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _space(benchmark: DataFrame, spans: list[tuple[int, np.ndarray]], idf: np.ndarray) -> Space:
+    """The space of ``RANK`` passages at most: (item, words) each."""
+    buckets = np.unique(_bucket(np.concatenate([w for _, w in spans])))
     known = np.full(BUCKETS, len(buckets), dtype=np.int64)
     known[buckets] = np.arange(len(buckets))
-    spans = [(i, w[a:b]) for i, w in enumerate(words) for a, b in passages_of(len(w))]
     rows = []
     for _, w in spans:  # unit rows, so that short items count as much
         weight = idf[_bucket(w)]
@@ -161,7 +180,7 @@ def build_index(benchmark: DataFrame, ids: list[int], texts: list[str | None], d
     z = np.stack([(space[at] * np.array(value)[:, None]).sum(axis=0) for at, value in rows])
     z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
     weighted = space * np.append(idf[buckets], 0.0).astype(np.float32)[:, None]
-    return Index(ids, words, idf.astype(np.float32), known, space, weighted, z.astype(np.float32), np.array([i for i, _ in spans]))
+    return Space(known, weighted, z.astype(np.float32), np.array([i for i, _ in spans]))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -194,21 +213,26 @@ def _steps(row: np.ndarray, space: np.ndarray, begins: np.ndarray, ends: np.ndar
     return out
 
 
-def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers and passage numbers that are close.
+def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Window numbers and item numbers that are close, space after space.
 
     Windows overlap, so words are summed once per step of ``WINDOW_STEP`` words
     and a window is the sum of its steps. ``stops`` are the ends of the texts.
     """
     bucket = _bucket(h)
     weight = index.idf[bucket].astype(np.float64)
-    row = index.known[bucket]
     energy = np.concatenate(([0.0], np.cumsum(weight**2)))
-    inside = np.concatenate(([0.0], np.cumsum(np.where(row < len(index.space) - 1, weight**2, 0.0))))
     whole = energy[ends] - energy[begins]
+    for space in index.spaces:
+        yield from _close(space, weight, space.known[bucket], whole, begins, ends, stops)
+
+
+def _close(
+    space: Space, weight: np.ndarray, row: np.ndarray, whole: np.ndarray, begins: np.ndarray, ends: np.ndarray, stops: np.ndarray
+) -> Iterator[tuple[int, int]]:
+    inside = np.concatenate(([0.0], np.cumsum(np.where(row < len(space.weighted) - 1, weight**2, 0.0))))
     near = np.flatnonzero(inside[ends] - inside[begins] >= COSINE**2 * whole)
     offsets = np.arange(0, PASSAGE, WINDOW_STEP)
-    windows, passages = [], []
     for at in range(0, len(near), 512):
         own = near[at : at + 512]
         place = begins[own][:, None] + offsets
@@ -217,18 +241,14 @@ def _candidates(index: Index, h: np.ndarray, begins: np.ndarray, ends: np.ndarra
         stop = np.zeros(len(steps), dtype=np.int64)
         number = number.reshape(place.shape)
         stop[number[there]] = np.broadcast_to(stops[own][:, None], place.shape)[there]
-        sums = _steps(row, index.weighted, steps, stop)
+        sums = _steps(row, space.weighted, steps, stop)
         number = np.where(there, number, len(steps))
         z = sums[number[:, 0]]
         for j in range(1, len(offsets)):
             z += sums[number[:, j]]
         z /= np.sqrt(whole[own]).astype(np.float32)[:, None] + np.float32(1e-9)
-        close = np.flatnonzero((z @ index.passages.T).ravel() >= COSINE)
-        windows.append(own[close // len(index.passages)])
-        passages.append(close % len(index.passages))
-    if not windows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(windows), np.concatenate(passages)
+        close = np.flatnonzero((z @ space.passages.T).ravel() >= COSINE)
+        yield from zip(own[close // len(space.passages)].tolist(), space.item_of[close % len(space.passages)].tolist(), strict=True)
 
 
 def leaks_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, float, bool]]:
@@ -243,11 +263,10 @@ def leaks_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
         owner = np.repeat(np.arange(len(raw)), many)
         begin = ptr[owner] + WINDOW_STEP * (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
         stop = ptr[owner + 1]
-        windows, passages = _candidates(index, h, begin, np.minimum(begin + PASSAGE, stop), stop)
         best: dict[tuple[int, int], tuple[float, bool]] = {}
         done: set[tuple[int, int, int]] = set()
-        for w, p in zip(windows.tolist(), passages.tolist(), strict=True):
-            i, item = int(owner[w]), int(index.item_of[p])
+        for w, item in _candidates(index, h, begin, np.minimum(begin + PASSAGE, stop), stop):
+            i = int(owner[w])
             words = index.words[item]
             reach = len(words) + WINDOW_STEP
             spot = (i, item, int(begin[w]) // reach)
@@ -268,15 +287,18 @@ def leaks_in(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of ``BLOCK`` items: a stated query set, read block by block."""
+    """The benchmark in blocks of ``BLOCK`` items or ``SPACES`` spaces: a stated query set, read block by block."""
     ids: list[int] = []
     texts: list[str] = []
+    held = 0
     for row in benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+        many = len(passages_of(len(_hashes([t.encode("utf-8", "surrogatepass") for t in _lower([row.text])])[0])))
+        if ids and (len(ids) == BLOCK or held + many > SPACES * RANK):
+            yield ids, texts
+            ids, texts, held = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
-        if len(ids) == BLOCK:
-            yield ids, texts
-            ids, texts = [], []
+        held += many
     if ids:
         yield ids, texts
 

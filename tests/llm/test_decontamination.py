@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from evidentia.llm import decontamination
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(900)]
@@ -37,3 +39,31 @@ def test_empty_tables(spark):
     assert decontamination.clean(docs, none).count() == 1
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_long_items_against_brute_force(spark, monkeypatch):
+    """Far more passages than the rank, in two blocks: copies of every kind are found as by comparing each pair."""
+    monkeypatch.setattr(decontamination, "RANK", 40)
+    rng = random.Random(8)
+    words = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(6000)]
+    items = [rng.choices(words, k=rng.randint(200, 280)) for _ in range(24)]
+    docs = [rng.choices(words, k=300) for _ in range(20)]
+    for item in items:
+        for share, spaced in ((1.0, False), (0.77, False), (0.63, False), (0.5, False), (1.0, True), (0.8, True)):
+            kept = [w if i >= len(item) - 5 or rng.random() < share else rng.choice(words) for i, w in enumerate(item)]
+            kept = [x for w in kept for x in (w, rng.choice(words))] if spaced else kept
+            docs.append([*rng.choices(words, k=rng.randint(0, 40)), *kept, *rng.choices(words, k=20)])
+    texts = [" ".join(x) for x in docs]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    number = {w: i for i, w in enumerate(words)}
+    coded = [[np.array([number[w] for w in x]) for x in part] for part in (items, docs)]
+    brute = {(d, i) for i, item in enumerate(coded[0]) for d, doc in enumerate(coded[1]) if len(np.intersect1d(item, doc)) > 50 and decontamination.judge(item, doc)[2]}
+    assert len(brute) > 60
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, bench).collect()} == brute
+
+
+def test_blocks_close_by_passages_and_keep_items_whole(spark):
+    texts = ["word " * 12 * 2000, "word " * 12 * 700, "word " * 12 * 3000, *["a b c"] * 300]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1)
+    assert [ids for ids, _ in decontamination._blocks(bench)] == [[0], [1], [2], list(range(3, 259)), list(range(259, 303))]
