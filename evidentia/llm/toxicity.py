@@ -155,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Chain:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The sample has `rows` rows of three numbers at most, so it may be sent to every task.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "quality", "toxic")
-    # A doc_id that repeats could bring more rows: the first `rows` in id order count.
-    found = _sparse(sample).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).slice(0, rows).combine_chunks()
+    # Where a doc_id repeats, its least text counts, so no more than `rows` rows reach the driver.
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("text", "doc_id", "quality", "toxic")
+    found = _sparse(sample).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "toxic", "quality")]).combine_chunks()
     column = np.full(1 << _SPACE_BITS, -1, dtype=np.int32)
     if not found.num_rows:
         return Chain(column, 0, ())

@@ -103,3 +103,12 @@ def test_chat_escapes_and_order(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [(r[2], r[3]) for r in rows[:2]]
     assert [t.text for t in got[2].turns] == [""]
     assert (got[1].valid, got[2].valid, got[3].valid) == (True, False, False)
+
+
+def test_repeated_documents_bring_one_labelled_row(spark, monkeypatch):
+    docs = spark.createDataFrame([*((1, f"text {i}") for i in range(50)), (2, "other"), (3, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    seen, sparse = [], toxicity._sparse
+    monkeypatch.setattr(toxicity, "_sparse", lambda sample: (seen.extend(sorted((r.doc_id, r.text) for r in sample.collect())), sparse(sample))[1])
+    toxicity.fit(docs, labels)
+    assert seen == [(1, "text 0"), (2, "other"), (3, None)]
