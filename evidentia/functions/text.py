@@ -291,7 +291,7 @@ def between(text: Column, a: Column, b: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """``struct<title, text>`` of a page: scripts and the like dropped, tags as spaces, common references decoded."""
-    html = F.substring(F.coalesce(html, F.lit("")), 1, 3_000_000)
+    html = F.coalesce(html, F.lit(""))
 
     def plain(c: Column) -> Column:
         c = F.regexp_replace(c, "(?s)<[^>]*>", " ")

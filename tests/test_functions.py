@@ -127,3 +127,9 @@ def test_html(spark):
     html = "<html><title>A &amp; B</title><script>x()</script><h1>C</h1><p>one <b>two</b>&nbsp;three</p><style>z</style></html>"
     got = spark.range(1).select(T.html_text(F.lit(html)).alias("p")).first().p
     assert got.title == "A & B | C" and got.text == "A & B C one two three"
+
+
+def test_html_text_reads_long_pages_whole(spark):
+    page = spark.range(1).select(F.concat(F.lit("<title>T</title><p>"), F.repeat(F.lit("word "), 700_000), F.lit("end</p>")).alias("html"))
+    row = page.select(T.html_text(F.col("html")).alias("p")).select("p.title", F.length("p.text").alias("n"), F.substring("p.text", -8, 8).alias("tail")).first()
+    assert (row.title, row.n, row.tail) == ("T", 3_500_005, "word end")
