@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,33 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one of ``spark.checkpoint.dir``.
+
+    Only where that is unset and everything runs in one local JVM, as in tests,
+    a temporary folder takes its place; a cluster has to name one.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the folder that the cluster shares and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Plans stay small, and a lost executor costs its tasks only. The folder is the
-    one of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one.
+    Plans stay small, and a lost executor costs its tasks only; zstd keeps the
+    copy small.
     """
     spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
