@@ -3,27 +3,35 @@
 A document's set holds its distinct k-word shingles. The signature needs two
 permutations only: ``sigma`` scatters the shingle over a ring of 2**32 places,
 and coordinate ``j`` is the smallest ``pi`` of the places moved on by ``j``.
-Bands of four coordinates name the buckets.
+Bands of four coordinates name the buckets; two sets that share a bucket are
+candidates, and every link is confirmed on the full sets.
 
-Nothing here lists all pairs of a bucket. Equal sets are one class. In each
-bucket every class meets one hub, links are confirmed on the full sets, and
-classes that a link joins need not meet again. Where classes share two bands
-and are still in different components, the exact prefix rule decides who meets
-whom: of two sets that are similar enough, the rarest shingles of the smaller
-and of the larger must have one in common. In a family of edited copies the
-edits are the rarest shingles, so members below the threshold do not meet.
+Nothing here lists all pairs of a bucket. Equal sets are one class, and in each
+bucket every class is compared with one hub. What is left to find are links
+between two members of a bucket, and these follow from how the members differ
+from their hub: with D shingles of the hub missing and A of their own added,
+sets x and y are similar enough just if their differences have
+
+    (100 + p) * shared >= cost(x) + cost(y) - (100 - p) * |hub|,   cost = 100 D + p A
+
+members in common. Members near the hub meet only if they share one of their
+rarest differences, as many of these as the rule leaves to chance; in a family
+of edited copies those are the edits of each copy, so members meet that have
+edits in common. Members far from their hub choose another hub among
+themselves; those far from ``HUBS`` hubs meet by the same rule with an empty
+hub, which is prefix filtering on the rarest shingles.
 
 Defined results: a null or empty text, or one of white space, has an empty set
-and links with nothing; rows that share a ``doc_id`` count as one vertex; a
-null ``doc_id`` cannot be named, so its ``component_id`` is null and it is
-kept; an empty table gives no rows; extra columns are not read. Very long texts
-are hashed whole.
+and links with nothing; rows that share a ``doc_id`` count as one vertex, also
+if their texts differ; a null ``doc_id`` cannot be named, so its
+``component_id`` is null and it is kept; an empty table gives no rows; extra
+columns are not read. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -33,12 +41,20 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import materialize, may_be_among
-from .shingles import encode, mix64, runs, shingle_sets
+from .shingles import mix64, runs, shingle_sets
 
 #: Coordinates in a band.
 ROWS = 4
 #: Chance, at most, that a pair right at the threshold shares no band.
 MISS = 1e-5
+#: Hubs that a bucket's members are compared with before prefix filtering takes the rest.
+HUBS = 3
+#: Members are near a hub up to this multiple of the cost that a link with the hub allows.
+NEAR = 6
+#: Rounds, before all others meet, in which the holders of a rare difference meet just one of them.
+STARS = 1
+#: Pairs, about, that meet one copy of their hub's set.
+SPREAD = 512
 _SIGMA, _PI = np.uint64(0x5851F42D4C957F2D), np.uint32(0x2545F491)
 SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -66,6 +82,10 @@ def circulant_minima(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_id (digest of the set) and band keys; null for empty sets."""
 
@@ -84,37 +104,23 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFra
                     for i, row in zip(full, key.view(np.int64).tolist(), strict=True):
                         keys[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids[begin:end],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                    ],
+                    [ids[begin:end], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "set_id", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, SIGNATURE)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent`` of similarity, as a table."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, grams): each text's digest and its sorted 64-bit shingles, as bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, s, t = (batch.column(i) for i in range(4))
-            keep, last, left = [], None, None
-            for i in range(batch.num_rows):
-                if (x := a[i].as_py()) != last:
-                    last, left = x, shingle_sets([encode(s[i].as_py())], k)[0]
-                right = shingle_sets([encode(t[i].as_py())], k)[0]
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-    left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(rows.mapInArrow(apply, "a long, b long").distinct(), "links")
+            for _, _, raw in runs(batch.column(0).to_pylist()):
+                sets = shingle_sets(raw, k)
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
+
+    return texts.select("text").mapInArrow(apply, "id binary, grams binary")
 
 
 def _near(n: Column, m: Column, percent: int) -> Column:
@@ -122,70 +128,154 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _pairs(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
+COMPARED = "id binary, rep long, hub binary, hub_rep long, cost long, room long, linked boolean, delta array<long>"
 
-def _hub_pairs(banded: DataFrame, percent: int) -> DataFrame:
-    """From (key, rep, n): each member with its bucket's hub."""
-    hub = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep", "n")).alias("h"), F.count("*").alias("members"))
-    hub = hub.where("members > 1").select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
-    joined = banded.join(hub, "key").where((F.col("rep") != F.col("hub")) & _near(F.col("n"), F.col("m"), percent))
-    return joined.select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each pair (id, rep, hub, hub_rep) on its full sets.
 
-def _shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, x): each text's distinct shingles, a row each."""
+    ``cost`` and ``room`` (what a link with the hub allows) decide; members
+    near the hub keep their differences, the missing shingles inverted.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for begin, end, raw in runs(texts):
-                sets = shingle_sets(raw, k)
-                owner = np.repeat(ids[begin:end], [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "x"])
+            costs, rooms, links, deltas = [], [], [], []
+            for x, h in zip(batch.column(4), batch.column(5), strict=True):
+                x, h = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, h))
+                at = np.searchsorted(h, x)
+                known = h[np.minimum(at, len(h) - 1)] == x
+                both = int(known.sum())
+                cost, room = 100 * (len(h) - both) + percent * (len(x) - both), (100 - percent) * len(h)
+                costs.append(cost)
+                rooms.append(room)
+                links.append(cost <= room)
+                if cost <= NEAR * room:
+                    missing = np.ones(len(h), dtype=bool)
+                    missing[at[known]] = False
+                    deltas.append(np.concatenate([x[~known], ~h[missing]]).view(np.int64))
+                else:
+                    deltas.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(costs, pa.int64()), pa.array(rooms, pa.int64()), pa.array(links, pa.bool_()), pa.array(deltas, pa.list_(pa.int64()))],
+                names=["id", "rep", "hub", "hub_rep", "cost", "room", "linked", "delta"],
+            )
+
+    # A hub of many pairs is met in several copies, so its pairs spread over tasks.
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("copies"))
+    hubs = many.join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", F.col("grams").alias("hub_grams"), "copies")
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    salted = pairs.join(many, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).drop("copies")
+    rows = salted.join(sets, "id").join(hubs, ["hub", "salt"])
+    return rows.select("id", "rep", "hub", "hub_rep", "grams", "hub_grams").mapInArrow(apply, COMPARED)
+
+
+def _hub_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (key, id, rep, n): each member with its bucket's hub (key, ..., hub, m), and the distinct pairs."""
+    hub = rows.groupBy("key").agg(F.min(F.struct("id", "rep", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    hub = hub.select("key", F.col("h.id").alias("hub"), F.col("h.rep").alias("hub_rep"), F.col("h.n").alias("m"))
+    met = rows.join(hub, "key").where("id <> hub")
+    return met, met.select("id", "rep", "n", "hub", "hub_rep", "m").distinct()
+
+
+def _several(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose ``by`` holds several components."""
+    mixed = rows.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*by)
+    return rows.join(mixed, by, "left_semi")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _prefixes(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The rarest tokens of ``members`` (hub, id, rep, comp, cost, room, size, linked), a row each, by place.
+
+    ``tokens`` has (hub, id, x): the differences of each member from its hub.
+    Those that one component only holds can't be shared with another, so they
+    come first in everyone's order and are dropped; others follow by how many
+    hold them. Of what a pair needs in common, each member may leave out all but
+    one from the end of its order. Members linked to the hub need no others of
+    their kind. One that isn't linked needs
+
+    - ``long``: at least its cost beyond the room, and that again from the partner;
+    - ``small``: twice its cost less the room, if the partner's is no smaller;
+
+    and with such a partner any member needs more than its own cost (``short``).
+    ``left`` counts the tokens from this one on: no more can follow in common.
+    """
+    keyed = tokens.join(members.select("hub", "id", "comp"), ["hub", "id"])
+    held = keyed.groupBy("hub", "x").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    own = keyed.join(held.select("hub", "x", "held"), ["hub", "x"]).groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
+    whole = 100 + percent
+    beyond = F.col("cost") - F.col("room")
+    alone = F.col("size") - F.size("xs")
+    long = F.col("size") - F.ceil(beyond / 100) + 1 - alone
+    short = F.col("size") - F.floor(F.col("cost") / whole) - alone
+    small = F.col("size") - F.ceil((beyond + F.col("cost")) / whole) + 1 - alone
+    ranked = members.join(own, ["hub", "id"]).select(
+        *members.columns,
+        "xs",
+        F.when(~F.col("linked"), long).otherwise(0).cast("int").alias("long"),
+        F.when(F.col("linked"), short).otherwise(F.least(long, short)).cast("int").alias("short"),
+        F.when(F.col("linked"), short).otherwise(F.least(long, short, small)).cast("int").alias("first"),
+    )
+    many = F.greatest("first", "long", F.lit(0))
+    rows = ranked.where(many > 0).select(
+        "hub", "id", "rep", "comp", "cost", "room", "linked", "first", "short", "long", F.size("xs").alias("all"), F.posexplode(F.slice("xs", F.lit(1), many)).alias("at", "e")
+    )
+    return rows.withColumn("x", F.col("e.x")).withColumn("left", F.col("all") - F.col("at")).drop("e", "all")
 
-    return texts.select("doc_id", "text").mapInArrow(apply, "rep long, x long")
 
+def _may_link(y: str, z: str, percent: int) -> Column:
+    """Whether enough may be in common if this is the first common token."""
+    return F.least(F.col(f"{y}left"), F.col(f"{z}left")) * (100 + percent) >= F.col(f"{y}cost") + F.col(f"{z}cost") - F.col(f"{z}room")
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of (rep, n, comp) in different components that the prefix rule lets meet.
 
-    Sets of sizes m <= n with 100 * both >= p * union share at least
-    ceil(p * (m + n) / (100 + p)) shingles. In an order common to all sets, here
-    by how many members hold the shingle, the first m - (that, for n = m) + 1 of
-    the smaller set and the first n - ceil(p * n / 100) + 1 of the larger then
-    have one in common. Shingles that one member only holds take their places
-    in the order and are dropped before anything is joined.
-    """
-    tokens = materialize(_shingles(texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k), "tokens")
-    held = tokens.groupBy("x").agg(F.count("*").alias("held")).where("held > 1")
-    shared = tokens.join(held, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
-    ranked = shared.join(members, "rep").withColumn("alone", F.col("n") - F.size("xs"))
-    small = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1 - F.col("alone")
-    large = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("alone")
+def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Of each token's holders, the one of least cost with all those of other components."""
+    star = rows.groupBy("hub", "x").agg(F.min(F.struct("cost", "id", "rep", "comp", "left")).alias("s"))
+    met = rows.join(star, ["hub", "x"]).where((F.col("comp") != F.col("s.comp")) & _may_link("s.", "", percent))
+    return met.select("hub", "room", F.col("s.id").alias("y_id"), F.col("s.rep").alias("y_rep"), F.col("s.cost").alias("y_cost"), *(F.col(c).alias(f"z_{c}") for c in ("id", "rep", "cost"))).distinct()
 
-    def firsts(many: Column, side: str) -> DataFrame:
-        rows = ranked.where(many > 0).select(*(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "comp")), F.explode(F.slice("xs", F.lit(1), many.cast("int"))).alias("e"))
-        return rows.withColumn("x", F.col("e.x")).drop("e")
 
-    # Rounding errors of the ceilings only ever lengthen a prefix.
-    y, z = firsts(small + 1, "y"), firsts(large + 1, "z")
-    ordered = (F.col("y_n") < F.col("z_n")) | ((F.col("y_n") == F.col("z_n")) & (F.col("y_rep") < F.col("z_rep")))
-    met = y.join(z, "x").where((F.col("y_comp") != F.col("z_comp")) & ordered & _near(F.col("y_n"), F.col("z_n"), percent))
-    return met.select(*_pairs(F.col("y_rep"), F.col("z_rep"))).distinct()
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that have one of the tokens of their prefixes in common."""
 
+    def side(name: str) -> DataFrame:
+        return rows.select("hub", "x", F.col("room").alias(f"{name}_room"), *(F.col(c).alias(f"{name}_{c}") for c in ("id", "rep", "comp", "cost", "linked", "at", "left", "short", "first", "long")))
 
-def _mixed(known: DataFrame) -> DataFrame:
-    """Of (key, rep, n, comp), the rows of keys that hold several components."""
-    keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return known.join(keys, "key", "left_semi")
+    y = side("y").where("y_at < y_first")
+    z = side("z").where("z_at < z_long")
+    after = F.struct("y_cost", "y_id") < F.struct("z_cost", "z_id")
+    met = y.join(z, ["hub", "x"]).where((F.col("y_comp") != F.col("z_comp")) & (F.col("y_linked") | ((F.col("z_at") < F.col("z_short")) & after)) & _may_link("y_", "z_", percent))
+    return met.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).distinct()
 
 
-def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of (key, rep, n), the buckets with several components, with each member's component."""
-    known = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
-    return _mixed(known.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+def _resolved(members: DataFrame, tokens: DataFrame, confirmed: Callable[[DataFrame], DataFrame], links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after all pairs of ``members`` that may link have met.
+
+    First each token's holders meet one of them, for ``STARS`` rounds or until
+    that links nothing; most components are one by then, and only members of
+    different components meet in the last round.
+    """
+    tested = None
+    for turn in range(STARS + 1):
+        current = _labelled(members, labels)
+        rows = materialize(_prefixes(_several(current, ["hub"]), tokens, percent), "prefixes")
+        if rows.isEmpty():
+            break
+        pairs = _star_pairs(rows, percent) if turn < STARS else _all_pairs(rows, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        found = materialize(confirmed(pairs).distinct(), "found")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected_components(links)
+        pairs = pairs.select("hub", "y_id", "z_id")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    return links, labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,39 +284,86 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sig = materialize(signatures(docs, k, bands), "signatures")
     full = sig.where("set_id is not null and doc_id is not null")
     classes = materialize(
-        full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")),
+        full.groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")),
         "classes",
     )
-    reps = classes.select("rep", "n", "bands")
-    banded = reps.select("rep", "n", F.explode("bands").alias("key"))
-
-    # Only classes that share a bucket can link; their texts are set aside once.
+    banded = classes.select(F.explode("bands").alias("key"), "id", "rep", "n")
     bucket = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    wanted = materialize(banded.join(bucket, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = named.where(may_be_among(wanted.select(F.col("doc_id").alias("key")), F.col("doc_id"))).join(wanted.hint("merge"), "doc_id", "left_semi")
-    texts = materialize(named, "texts")
-
-    # 1. Each class against its buckets' hubs.
-    tested = materialize(_hub_pairs(banded, percent), "pairs")
-    links = _confirmed(tested, texts, k, percent)
+    rows = materialize(banded.join(bucket, "key", "left_semi"), "buckets")
+
+    # Only classes that share a bucket can link; their sets are kept once.
+    wanted = rows.select("id", "rep").distinct()
+    named = docs.where(may_be_among(wanted.select(F.col("rep").alias("key")), F.col("doc_id").cast("long")))
+    sets = materialize(_sets(named, k).join(wanted.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+    # 1. Members against their buckets' hubs; those far from one choose another.
+    compared = None
+    for _ in range(HUBS):
+        met, pairs = _hub_pairs(rows)
+        if compared is not None:
+            pairs = pairs.join(compared.select("id", "hub"), ["id", "hub"], "left_anti")
+        # Sizes alone tell that a member is far: its cost is 100 - p per shingle of difference at least.
+        close = F.greatest(100 * (F.col("m") - F.col("n")), percent * (F.col("n") - F.col("m"))) <= NEAR * (100 - percent) * F.col("m")
+        new = materialize(_compared(pairs.where(close).drop("n", "m"), sets, percent), "compared")
+        compared = new if compared is None else compared.unionByName(new)
+        # A link with a far member costs more than (NEAR - 1) * room * p / 100 itself.
+        outer = met.join(compared.select("id", "hub", "cost", "room"), ["id", "hub"], "left").where(F.col("cost").isNull() | (F.col("cost") * 100 > (NEAR - 1) * percent * F.col("room")))
+        far = F.max((F.col("cost").isNull() | (F.col("cost") > NEAR * F.col("room"))).cast("int"))
+        left = outer.groupBy("key").agg(F.count("*").alias("members"), far.alias("far")).where("members > 1 and far = 1").select("key")
+        rows = materialize(outer.select("key", "id", "rep", "n").join(left, "key", "left_semi"), "outer")
+        if rows.isEmpty():
+            break
+
+    # Rows with one doc_id are one vertex, whatever their texts.
+    twice = full.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+    same = full.join(twice, "doc_id", "left_semi").select("doc_id", F.col("set_id").alias("id")).join(classes.select("id", "rep"), "id")
+    links = materialize(compared.where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b")).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct(), "links")
     labels = connected_components(links)
 
-    # 2. Classes of different components that share two bands.
-    open_rows = _still_open(banded, labels)
-    double = open_rows.join(reps.select("rep", F.col("bands").alias("others")), "rep")
-    double = double.select("rep", "n", "comp", F.col("key").alias("one"), F.explode("others").alias("two")).where("one < two")
-    mixed = _mixed(double.select("rep", "n", "comp", F.xxhash64("one", "two").alias("key")))
-    members = materialize(mixed.select("rep", "n", "comp").distinct(), "members")
-    pairs = materialize(_prefix_pairs(members, texts, k, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = _confirmed(pairs, texts, k, percent)
-    if not found.isEmpty():
-        labels = connected_components(links.unionByName(found))
+    # 2. Members near one hub, by the differences from it.
+    near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]).withColumn("size", F.size("delta")), "near")
+    members = near.select("hub", "id", "rep", "cost", "room", "size", "linked")
+    deltas = near.select("hub", "id", "delta")
+
+    def by_differences(met: DataFrame) -> DataFrame:
+        met = met.join(deltas.select("hub", F.col("id").alias("y_id"), F.col("delta").alias("y_delta")), ["hub", "y_id"])
+        met = met.join(deltas.select("hub", F.col("id").alias("z_id"), F.col("delta").alias("z_delta")), ["hub", "z_id"])
+        enough = F.size(F.array_intersect("y_delta", "z_delta")) * (100 + percent) >= F.col("y_cost") + F.col("z_cost") - F.col("room")
+        return met.where(enough).select(F.col("y_rep").alias("a"), F.col("z_rep").alias("b"))
+
+    links, labels = _resolved(members, deltas.select("hub", "id", F.explode("delta").alias("x")), by_differences, links, labels, percent)
+
+    # 3. Members far from all their hubs, by their shingles.
+    if not rows.isEmpty():
+        rest = materialize(_several(_labelled(rows, labels), ["key"]).select("id", "rep", "n").distinct(), "rest")
+        no_hub = F.lit(b"").alias("hub")
+        members = rest.select(no_hub, "id", "rep", (F.col("n") * percent).alias("cost"), F.lit(0).cast("long").alias("room"), F.col("n").alias("size"), F.lit(False).alias("linked"))
+        tokens = materialize(_tokens(sets.join(rest.select("id"), "id", "left_semi")), "tokens").select(no_hub, "id", "x")
+
+        def by_sets(met: DataFrame) -> DataFrame:
+            met = met.where(_near(F.col("y_cost"), F.col("z_cost"), percent))
+            pairs = met.select(F.col("y_id").alias("id"), F.col("y_rep").alias("rep"), F.col("z_id").alias("hub"), F.col("z_rep").alias("hub_rep"))
+            return _compared(pairs, sets, percent).where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
+
+        links, labels = _resolved(members, tokens, by_sets, links, labels, percent)
 
     # Most documents keep their own name; only the others are joined.
-    moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("set_id", "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
+    moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("id").alias("set_id"), "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
     moved = moved.where("copies > 1 or comp <> rep").select("set_id", "comp")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("comp")), "doc_id")
     return sig.join(moved, "set_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(id, x): each set's shingles, a row each."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            many = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+            if len(many):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(many)), pa.array(np.concatenate(grams))], names=["id", "x"])
+
+    return sets.select("id", "grams").mapInArrow(apply, "id binary, x long")

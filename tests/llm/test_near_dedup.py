@@ -68,6 +68,36 @@ def test_chains_and_families(spark):
     assert result(near_duplicates(docs, 3, 85)) == brute([r[:2] for r in rows], 3, 85)
 
 
+def test_large_family_around_the_threshold(spark):
+    """Copies of one text with up to nine edits, edits of edits, and copies with parts cut off: most pairs are just below the threshold."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+
+    def edited(words, many):
+        words = list(words)
+        for _ in range(many):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+        return words
+
+    middle = [edited(base, 5) for _ in range(12)]
+    texts = [edited(base, rng.randrange(3, 10)) for _ in range(350)] + [edited(rng.choice(middle), rng.randrange(5)) for _ in range(250)]
+    texts += [base[rng.randrange(40) : 160 - rng.randrange(40)] for _ in range(150)]
+    rows = [(i, " ".join(t), "s", "x", "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    assert result(near_duplicates(docs, 3, 85)) == brute([r[:2] for r in rows], 3, 85)
+    assert result(near_duplicates(docs, 5, 80)) == brute([r[:2] for r in rows], 5, 80)
+
+
+def test_two_texts_of_one_document(spark):
+    """Rows that share a doc_id are one vertex: what links with either text is linked."""
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(9, " ".join(words)), (7, " ".join(words[:59])), (7, " ".join(other)), (8, " ".join(other[1:])), (3, "on its own")]
+    for given in (rows, rows[::-1]):
+        found = near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), 3, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
 def test_odd_rows(spark):
     rows = [
         (5, "A b C"), (3, "a B c"), (9, "a b"), (8, "A  B"), (1, ""), (2, None), (7, " \t\n"),
