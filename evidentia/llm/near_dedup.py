@@ -123,6 +123,17 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("text").mapInArrow(apply, "id binary, grams binary")
 
 
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(id, delta): each set's shingles as an array."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["id", "delta"])
+
+    return sets.select("id", "grams").mapInArrow(apply, "id binary, delta array<long>")
+
+
 def _near(n: Column, m: Column, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -188,11 +199,11 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _prefixes(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The rarest tokens of ``members`` (hub, id, rep, comp, cost, room, size, linked), a row each, by place.
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """The rarest tokens of ``members`` (hub, id, rep, comp, cost, room, linked, delta), a row each, by place.
 
-    ``tokens`` has (hub, id, x): the differences of each member from its hub.
-    Those that one component only holds can't be shared with another, so they
+    Tokens are the differences of a member from its hub. Those that one
+    component only holds can't be shared with another, so they
     come first in everyone's order and are dropped; others follow by how many
     hold them. Of what a pair needs in common, each member may leave out all but
     one from the end of its order. Members linked to the hub need no others of
@@ -204,17 +215,18 @@ def _prefixes(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     and with such a partner any member needs more than its own cost (``short``).
     ``left`` counts the tokens from this one on: no more can follow in common.
     """
-    keyed = tokens.join(members.select("hub", "id", "comp"), ["hub", "id"])
+    keyed = members.select("hub", "id", "comp", F.explode("delta").alias("x"))
     held = keyed.groupBy("hub", "x").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     own = keyed.join(held.select("hub", "x", "held"), ["hub", "x"]).groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
     whole = 100 + percent
     beyond = F.col("cost") - F.col("room")
-    alone = F.col("size") - F.size("xs")
-    long = F.col("size") - F.ceil(beyond / 100) + 1 - alone
-    short = F.col("size") - F.floor(F.col("cost") / whole) - alone
-    small = F.col("size") - F.ceil((beyond + F.col("cost")) / whole) + 1 - alone
+    size = F.size("delta")
+    alone = size - F.size("xs")
+    long = size - F.ceil(beyond / 100) + 1 - alone
+    short = size - F.floor(F.col("cost") / whole) - alone
+    small = size - F.ceil((beyond + F.col("cost")) / whole) + 1 - alone
     ranked = members.join(own, ["hub", "id"]).select(
-        *members.columns,
+        *(c for c in members.columns if c != "delta"),
         "xs",
         F.when(~F.col("linked"), long).otherwise(0).cast("int").alias("long"),
         F.when(F.col("linked"), short).otherwise(F.least(long, short)).cast("int").alias("short"),
@@ -252,7 +264,7 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).distinct()
 
 
-def _resolved(members: DataFrame, tokens: DataFrame, confirmed: Callable[[DataFrame], DataFrame], links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and labels after all pairs of ``members`` that may link have met.
 
     First each token's holders meet one of them, for ``STARS`` rounds or until
@@ -262,7 +274,7 @@ def _resolved(members: DataFrame, tokens: DataFrame, confirmed: Callable[[DataFr
     tested = None
     for turn in range(STARS + 1):
         current = _labelled(members, labels)
-        rows = materialize(_prefixes(_several(current, ["hub"]), tokens, percent), "prefixes")
+        rows = materialize(_prefixes(_several(current, ["hub"]), percent), "prefixes")
         if rows.isEmpty():
             break
         pairs = _star_pairs(rows, percent) if turn < STARS else _all_pairs(rows, percent)
@@ -321,8 +333,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = connected_components(links)
 
     # 2. Members near one hub, by the differences from it.
-    near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]).withColumn("size", F.size("delta")), "near")
-    members = near.select("hub", "id", "rep", "cost", "room", "size", "linked")
+    near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]), "near")
+    members = near.select("hub", "id", "rep", "cost", "room", "linked", "delta")
     deltas = near.select("hub", "id", "delta")
 
     def by_differences(met: DataFrame) -> DataFrame:
@@ -331,21 +343,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         enough = F.size(F.array_intersect("y_delta", "z_delta")) * (100 + percent) >= F.col("y_cost") + F.col("z_cost") - F.col("room")
         return met.where(enough).select(F.col("y_rep").alias("a"), F.col("z_rep").alias("b"))
 
-    links, labels = _resolved(members, deltas.select("hub", "id", F.explode("delta").alias("x")), by_differences, links, labels, percent)
+    links, labels = _resolved(members, by_differences, links, labels, percent)
 
     # 3. Members far from all their hubs, by their shingles.
     if not rows.isEmpty():
         rest = materialize(_several(_labelled(rows, labels), ["key"]).select("id", "rep", "n").distinct(), "rest")
-        no_hub = F.lit(b"").alias("hub")
-        members = rest.select(no_hub, "id", "rep", (F.col("n") * percent).alias("cost"), F.lit(0).cast("long").alias("room"), F.col("n").alias("size"), F.lit(False).alias("linked"))
-        tokens = materialize(_tokens(sets.join(rest.select("id"), "id", "left_semi")), "tokens").select(no_hub, "id", "x")
+        shingles = _shingles(sets.join(rest.select("id"), "id", "left_semi"))
+        cost = (F.col("n") * percent).alias("cost")
+        members = rest.join(shingles, "id").select(F.lit(b"").alias("hub"), "id", "rep", cost, F.lit(0).cast("long").alias("room"), F.lit(False).alias("linked"), "delta")
 
         def by_sets(met: DataFrame) -> DataFrame:
             met = met.where(_near(F.col("y_cost"), F.col("z_cost"), percent))
             pairs = met.select(F.col("y_id").alias("id"), F.col("y_rep").alias("rep"), F.col("z_id").alias("hub"), F.col("z_rep").alias("hub_rep"))
             return _compared(pairs, sets, percent).where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
 
-        links, labels = _resolved(members, tokens, by_sets, links, labels, percent)
+        links, labels = _resolved(materialize(members, "rest"), by_sets, links, labels, percent)
 
     # Most documents keep their own name; only the others are joined.
     moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("id").alias("set_id"), "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -354,16 +366,3 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return sig.join(moved, "set_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
-
-
-def _tokens(sets: DataFrame) -> DataFrame:
-    """(id, x): each set's shingles, a row each."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
-            many = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
-            if len(many):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(many)), pa.array(np.concatenate(grams))], names=["id", "x"])
-
-    return sets.select("id", "grams").mapInArrow(apply, "id binary, x long")
