@@ -62,7 +62,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.session_key(spark))
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_private"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

@@ -18,15 +18,21 @@ Separators stay. What fails validation (an octet of 300, 31 February) stays as
 it is. Defined results: a null text stays null, an empty one empty; rows and
 columns other than ``text`` are passed on; an empty table gives no rows; a very
 long text is scanned whole.
+
+The key is the caller's secret: whoever knows it can undo the pseudonyms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import cache
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "demonstration key"
+#: Session setting with the secret key; equal keys give equal pseudonyms in all runs.
+KEY_SETTING = "spark.evidentia.pseudonyms.key"
 _NO, _OCTET = "(?![0-9A-Za-z])", "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried.
 PATTERNS = (
@@ -161,7 +167,7 @@ def kind_of(match: Column) -> Column:
     return out
 
 
-def pseudonym(match: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(match: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(match, key))
         .when(kind == "ip", _ip(match, key))
@@ -175,13 +181,23 @@ def pseudonym(match: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with private values in ``text`` replaced, and ``pii_kinds``, the kinds found in order."""
+@cache
+def _drawn_key() -> str:
+    return token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of ``KEY_SETTING``, or one drawn for this driver process, which nobody can know later."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn_key()
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str | None = "pii_kinds") -> DataFrame:
+    """``docs`` with private values in ``text`` replaced, and in a column ``kinds``, unless it is None, the kinds found in order."""
     source = F.col(text)
     found = F.when(source.rlike("[0-9@]") & source.rlike(ANY), F.regexp_extract_all(source, F.lit(ANY), 0))
     made = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
     changed = F.zip_with(F.split(source, ANY, -1), made, lambda gap, m: F.concat(gap, F.coalesce(pseudonym(m["m"], m["kind"], key), F.lit(""))))
-    return docs.withColumns({
-        text: F.when(found.isNull(), source).otherwise(F.array_join(changed, "")),
-        "pii_kinds": F.coalesce(F.transform(made, lambda m: m["kind"]), F.array().cast("array<string>")),
-    })
+    columns = {text: F.when(found.isNull(), source).otherwise(F.array_join(changed, ""))}
+    if kinds:
+        columns[kinds] = F.coalesce(F.transform(made, lambda m: m["kind"]), F.array().cast("array<string>"))
+    return docs.withColumns(columns)

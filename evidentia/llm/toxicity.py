@@ -3,15 +3,17 @@
 Categories are predicted in turn: junk, toxic, toxic junk. Each category's
 logistic model sees the text's features and the probabilities of the earlier
 categories. In training these come out of fold: models fitted on the other
-folds predict each row, so later models learn from probabilities as good as
-those they will see.
+folds predict each row, on features chosen without its fold, so later models
+learn from probabilities as good as those they will see. Equal texts are in one
+fold.
 
 Features are rates per word of hashed words and word beginnings (4, 6 and 7
 bytes), which also tell compounds in languages that build them. The model is
 fitted on at most ``LABELLED_ROWS`` labelled documents, those with the smallest
 hashes of their ids, and on the ``FEATURES`` hashes that tell the categories
-apart best. It is a few kilobytes and goes to every task; scoring is one pass
-over whole texts without a shuffle.
+apart best. Spark counts the hashes; a table of the hash space and the chosen
+features of the sample reach the driver. The model is a few kilobytes and goes
+to every task; scoring is one pass over whole texts without a shuffle.
 
 Defined results: a null text is empty; a text without words has no rates and
 gets the model's base probabilities; without labelled rows all probabilities
@@ -22,15 +24,15 @@ by ``reject``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .shingles import NOT_LETTERS, Words, runs
 
 CATEGORIES = ("junk", "toxic", "toxic_junk")
@@ -112,24 +114,27 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> tuple[np.ndarray, ...]:
-    """A model per column of ``y``; earlier probabilities come out of fold."""
-    fold = np.arange(len(x)) % folds
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: Sequence[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """A model per column of ``y``; earlier probabilities come out of fold.
+
+    ``chosen`` has the columns of ``x`` to use without each fold, and last those to use with all rows.
+    """
     earlier = np.zeros((len(x), 0))
     weights = []
     for k in range(y.shape[1]):
-        seen = np.hstack([x, earlier])
-        weights.append(logistic(seen, y[:, k]))
+        weights.append(logistic(np.hstack([x[:, chosen[-1]], earlier]), y[:, k]))
         if k + 1 < y.shape[1]:
             out = np.empty(len(x))
-            for f in range(folds):
-                out[fold == f] = predict(seen[fold == f], logistic(seen[fold != f], y[fold != f, k]))
+            for f, columns in enumerate(chosen[:-1]):
+                seen = np.hstack([x[:, columns], earlier])
+                own = fold == f
+                out[own] = predict(seen[own], logistic(seen[~own], y[~own, k])) if own.any() and not own.all() else y[:, k].mean()
             earlier = np.hstack([earlier, out[:, None]])
     return tuple(weights)
 
 
 def _sparse(sample: DataFrame) -> DataFrame:
-    """Each labelled text's distinct hashes and rates."""
+    """Each labelled text's distinct hashes and rates; (text, doc_id, quality, toxic, fold) come in."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +146,26 @@ def _sparse(sample: DataFrame) -> DataFrame:
                 rate = pa.array((100 * count / np.maximum(many, 1)[cell >> _SPACE_BITS]).astype(np.float32))
                 offsets = pa.array(ptr.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[begin:end], batch.column(2)[begin:end], batch.column(3)[begin:end], pa.ListArray.from_arrays(offsets, index), pa.ListArray.from_arrays(offsets, rate)],
-                    names=["doc_id", "quality", "toxic", "h", "rate"],
+                    [*(batch.column(i)[begin:end] for i in range(1, 5)), pa.ListArray.from_arrays(offsets, index), pa.ListArray.from_arrays(offsets, rate)],
+                    names=["doc_id", "quality", "toxic", "fold", "h", "rate"],
                 )
 
-    return sample.mapInArrow(apply, "doc_id long, quality int, toxic int, h array<int>, rate array<float>")
+    return sample.mapInArrow(apply, "doc_id long, quality int, toxic int, fold int, h array<int>, rate array<float>")
+
+
+def choose(counts: np.ndarray, rows: np.ndarray, many: int = FEATURES) -> np.ndarray:
+    """The hashes whose documents differ most from all in a category.
+
+    ``counts`` has for each hash the documents that hold it: all, junk, toxic; ``rows`` the same of the sample.
+    """
+    present = counts[:, 0].astype(float)
+    score = np.zeros(len(counts))
+    for k in (1, 2):
+        share = rows[k] / max(rows[0], 1)
+        spread = np.sqrt(np.maximum(present * share * (1 - share), 1e-9))
+        score = np.maximum(score, np.where(present >= 5, np.abs(counts[:, k] - present * share) / (spread + 1), 0))
+    best = np.argsort(-score, kind="stable")[:many]
+    return best[score[best] > 0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Chain:
@@ -155,32 +175,43 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Chain:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The sample has `rows` rows of three numbers at most, so it may be sent to every task.
-    # Where a doc_id repeats, its least text counts, so no more than `rows` rows reach the driver.
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("text", "doc_id", "quality", "toxic")
-    found = _sparse(sample).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "toxic", "quality")]).combine_chunks()
+    # Where a doc_id repeats, its least text counts, so no more than `rows` rows are fitted.
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    sparse = materialize(_sparse(sample.select("text", "doc_id", "quality", "toxic", fold)), "labelled")
+
+    kinds = [F.lit(True), F.col("quality") == 0, F.col("toxic") == 1]
+    sums = [F.count_if((F.col("fold") == f) & kind).alias(f"n{f}{k}") for f in range(FOLDS) for k, kind in enumerate(kinds)]
+    sizes = np.array(sparse.agg(*sums).first(), dtype=float).reshape(FOLDS, 3)
     column = np.full(1 << _SPACE_BITS, -1, dtype=np.int32)
-    if not found.num_rows:
+    if not sizes[:, 0].sum():
         return Chain(column, 0, ())
-    junk, toxic = (found[c].to_numpy() == v for c, v in (("quality", 0), ("toxic", 1)))
+    found = sparse.select("fold", "quality", "toxic", F.explode("h").alias("h")).groupBy("h").agg(*sums).toArrow()
+    counts = np.zeros((FOLDS, len(column), 3), dtype=np.float32)
+    for f in range(FOLDS):
+        for k in range(3):
+            counts[f, found["h"].to_numpy(), k] = found[f"n{f}{k}"].to_numpy()
+    whole = counts.sum(axis=0)
+    picks = [*(choose(whole - counts[f], sizes.sum(axis=0) - sizes[f]) for f in range(FOLDS)), choose(whole, sizes.sum(axis=0))]
+    used = np.unique(np.concatenate(picks))
+    place = np.full(len(column), -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.zeros((batch.num_rows, len(used)), dtype=np.float32)
+            at = place[batch.column(4).flatten().to_numpy()]
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(4).value_lengths().to_numpy(zero_copy_only=False))
+            x[owner[at >= 0], at[at >= 0]] = np.minimum(batch.column(5).flatten().to_numpy(), 5.0)[at >= 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "toxic", "fold", "x"])
+
+    sample = sparse.mapInArrow(narrow, "doc_id long, quality int, toxic int, fold int, x binary").toArrow()
+    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "quality")])
+    x = np.frombuffer(b"".join(v.as_py() for v in sample["x"]), dtype=np.float32).reshape(sample.num_rows, len(used))
+    junk, toxic = (sample[c].to_numpy() == v for c, v in (("quality", 0), ("toxic", 1)))
     y = np.stack([junk, toxic, junk & toxic], axis=1).astype(float)
-
-    owner = np.repeat(np.arange(found.num_rows), pc.list_value_length(found["h"]).to_numpy())
-    h = pc.list_flatten(found["h"]).to_numpy().astype(np.int64)
-    rate = np.minimum(pc.list_flatten(found["rate"]).to_numpy(), 5.0)
-    present = np.bincount(h, minlength=len(column))
-    score = np.zeros(len(column))
-    for k in range(2):  # how far a hash's documents differ from all in this category
-        share = y[:, k].mean()
-        hits = np.bincount(h, weights=y[owner, k], minlength=len(column))
-        spread = np.sqrt(np.maximum(present * share * (1 - share), 1e-9))
-        score = np.maximum(score, np.where(present >= 5, np.abs(hits - present * share) / (spread + 1), 0))
-    best = np.argsort(-score, kind="stable")[:FEATURES]
-    best = best[score[best] > 0]
-    column[best] = np.arange(len(best))
-    x = np.zeros((len(y), len(best)))
-    at = column[h]
-    np.add.at(x, (owner[at >= 0], at[at >= 0]), rate[at >= 0])
-    return Chain(column, len(best), fit_chain(x, y))
+    column[picks[-1]] = np.arange(len(picks[-1]))
+    return Chain(column, len(picks[-1]), fit_chain(x, y, sample["fold"].to_numpy(), [place[p] for p in picks]))
 
 
 def _per_batch(chain: Chain, act: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], at: int) -> Callable:

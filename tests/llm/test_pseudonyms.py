@@ -2,7 +2,9 @@ import datetime
 import hashlib
 import re
 
-from evidentia.llm.pseudonyms import KEY, ROUNDS, pseudonymize
+from evidentia.llm.pseudonyms import ROUNDS, pseudonymize, session_key
+
+KEY = "a key for tests"
 
 SF = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, m string, kind string"
@@ -42,7 +44,7 @@ def number(s):
 
 
 def run(spark, texts):
-    out = pseudonymize(spark.createDataFrame([(i, t, "m", "k") for i, t in enumerate(texts)], DOCS)).collect()
+    out = pseudonymize(spark.createDataFrame([(i, t, "m", "k") for i, t in enumerate(texts)], DOCS), KEY).collect()
     assert [set(r.asDict()) for r in out[:1]] in ([], [{"doc_id", "text", "m", "kind", "pii_kinds"}])
     return {r.doc_id: r for r in out}
 
@@ -68,7 +70,7 @@ def test_numbers_ips_and_dates_match_brute_force(spark):
 def test_planted_values_go_and_stay_linked(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: r.text for r in pseudonymize(docs).collect()}
+    after = {r.doc_id: r.text for r in pseudonymize(docs, KEY).collect()}
     shapes = [r"[A-Za-z0-9.]+@[\w-]+(?:\.[\w-]+)+", r"(?<![0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9])", r"\+1 \(\d{3}\) 555-\d{4}", r"(?<![0-9A-Za-z])\d{16}(?![0-9A-Za-z])"]
     names, seen = {}, 0
     for i, text in before.items():
@@ -86,7 +88,7 @@ def test_planted_values_go_and_stay_linked(spark):
 def test_what_fails_validation_stays(spark):
     texts = ["300.1.1.1", "2023-02-31", "31/13/2020", "", None, "deadbeef0123456789012345", "v 1.2.3.4.5", "12345", "é" * 50_000, "a@b", "x" * 300_000]
     assert [r.text for _, r in sorted(run(spark, texts).items())] == texts
-    assert pseudonymize(spark.createDataFrame([], DOCS)).count() == 0
+    assert pseudonymize(spark.createDataFrame([], DOCS), KEY).count() == 0
 
 
 def test_emails_keep_form_and_are_permuted(spark):
@@ -94,3 +96,11 @@ def test_emails_keep_form_and_are_permuted(spark):
     got = [r.text for _, r in sorted(run(spark, texts).items())]
     assert len(set(got)) == len(texts) - 0
     assert all(re.fullmatch(r"[a-z][A-Z]\.[a-z]-[0-9]@mail\.example\.org", t) for t in got[:-2])
+
+
+def test_the_key_is_secret_and_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "call 555-123-4567", ["mine"])], "doc_id long, text string, pii_kinds array<string>")
+    mine, other = (pseudonymize(docs, k, kinds=None).first() for k in (session_key(spark), "another"))
+    assert mine.pii_kinds == ["mine"]
+    assert len({mine.text, other.text, "call 555-123-4567"}) == 3
+    assert session_key(spark) == session_key(spark) and len(session_key(spark)) == 64
