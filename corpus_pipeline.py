@@ -1,5 +1,13 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again.
 
+Every stage takes null and empty texts, repeated rows, empty tables and columns
+of any names: a stage passes on all columns it is given. Null texts are not
+toxic, have no copies and no benchmark items, stay null, and are not taken by
+the mix, as they have no words. Rows with a null doc_id are kept by all stages
+but the mix's draw, which takes them as documents of their own; of repeated rows
+with one doc_id and text, one stays. The last stage adds ``size, source_size,
+target, copies, taken`` in place of columns of these names.
+
 ``ORACLE_SQL`` is None: SQL cannot express the trained classifier, the latent
 search and the random rounding; ``tests/llm/test_pipeline.py`` holds the near-duplicate
 stage against brute force and the others against what their decisions must show.
@@ -41,18 +49,20 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values become pseudonyms of the same format; only the numbers of IP addresses may change their length."""
-    return pseudonyms.pseudonymize(docs).drop("pii_kinds")
+    return pseudonyms.pseudonymize(docs, pseudonyms.session_key(spark), kinds=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their number of copies; the others go."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size")
-    taken = taken.agg(F.max("copies").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    same = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size")]
-    return sized.join(taken.hint("merge"), same).select(
-        *(sized[c] for c in docs.columns), sized["size"], "source_size", "target", "copies", (F.col("copies") * sized["size"]).alias("taken")
-    )
+    keys = ["_doc", "_source", "_size"]
+    result = ["source_size", "target", "copies"]
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+    taken = taken.agg(F.first("source_size").alias("_source_size"), F.first("target").alias("_target"), F.max("copies").alias("_copies"))
+    kept = [c for c in docs.columns if c not in ("size", "taken", *result)]
+    sized = docs.select(*(F.col(f"`{c}`") for c in kept), mixing.word_count(F.col("text")).alias("size"))
+    same = [sized[c].eqNullSafe(taken[k]) for c, k in zip(("doc_id", "source", "size"), keys, strict=True)]
+    joined = sized.join(taken.hint("merge"), same)
+    return joined.select(*(sized[f"`{c}`"] for c in kept), sized["size"], *(F.col(f"_{c}").alias(c) for c in result), (F.col("_copies") * sized["size"]).alias("taken"))
 
 
 STAGES = [
