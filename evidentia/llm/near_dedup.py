@@ -48,7 +48,7 @@ ROWS = 4
 #: Chance, at most, that a pair right at the threshold shares no band.
 MISS = 1e-5
 #: Hubs that a bucket's members are compared with before prefix filtering takes the rest.
-HUBS = 3
+HUBS = 2
 #: Members are near a hub up to this multiple of the cost that a link with the hub allows.
 NEAR = 6
 #: Rounds, before all others meet, in which the holders of a rare difference meet just one of them.
@@ -264,30 +264,29 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).distinct()
 
 
-def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after all pairs of ``members`` that may link have met.
+def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int, stars: int = STARS) -> DataFrame:
+    """Labels after all pairs of ``members`` (with their ``comp``) that may link have met.
 
-    First each token's holders meet one of them, for ``STARS`` rounds or until
-    that links nothing; most components are one by then, and only members of
-    different components meet in the last round.
+    First each token's holders meet one of them, for ``stars`` rounds; most
+    components are one by then, and only members of different components meet
+    in the last round.
     """
     tested = None
-    for turn in range(STARS + 1):
-        current = _labelled(members, labels)
-        rows = materialize(_prefixes(_several(current, ["hub"]), percent), "prefixes")
+    for turn in range(stars + 1):
+        current = members if turn == 0 else _several(_labelled(members.drop("comp"), labels), ["hub"])
+        rows = materialize(_prefixes(current, percent), "prefixes")
         if rows.isEmpty():
             break
-        pairs = _star_pairs(rows, percent) if turn < STARS else _all_pairs(rows, percent)
+        pairs = _star_pairs(rows, percent) if turn < stars else _all_pairs(rows, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
         pairs = materialize(pairs, "pairs")
         found = materialize(confirmed(pairs).distinct(), "found")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = connected_components(links)
+            labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(found))
         pairs = pairs.select("hub", "y_id", "z_id")
         tested = pairs if tested is None else tested.unionByName(pairs)
-    return links, labels
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -334,7 +333,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # 2. Members near one hub, by the differences from it.
     near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]), "near")
-    members = near.select("hub", "id", "rep", "cost", "room", "linked", "delta")
+    members = near.drop("hub_rep")
     deltas = near.select("hub", "id", "delta")
 
     def by_differences(met: DataFrame) -> DataFrame:
@@ -343,21 +342,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         enough = F.size(F.array_intersect("y_delta", "z_delta")) * (100 + percent) >= F.col("y_cost") + F.col("z_cost") - F.col("room")
         return met.where(enough).select(F.col("y_rep").alias("a"), F.col("z_rep").alias("b"))
 
-    links, labels = _resolved(members, by_differences, links, labels, percent)
+    labels = _resolved(members, by_differences, labels, percent)
 
     # 3. Members far from all their hubs, by their shingles.
     if not rows.isEmpty():
-        rest = materialize(_several(_labelled(rows, labels), ["key"]).select("id", "rep", "n").distinct(), "rest")
+        rest = materialize(_several(_labelled(rows, labels), ["key"]).select("id", "rep", "n", "comp").distinct(), "rest")
         shingles = _shingles(sets.join(rest.select("id"), "id", "left_semi"))
         cost = (F.col("n") * percent).alias("cost")
-        members = rest.join(shingles, "id").select(F.lit(b"").alias("hub"), "id", "rep", cost, F.lit(0).cast("long").alias("room"), F.lit(False).alias("linked"), "delta")
+        members = rest.join(shingles, "id").select(F.lit(b"").alias("hub"), "id", "rep", "comp", cost, F.lit(0).cast("long").alias("room"), F.lit(False).alias("linked"), "delta")
 
         def by_sets(met: DataFrame) -> DataFrame:
             met = met.where(_near(F.col("y_cost"), F.col("z_cost"), percent))
             pairs = met.select(F.col("y_id").alias("id"), F.col("y_rep").alias("rep"), F.col("z_id").alias("hub"), F.col("z_rep").alias("hub_rep"))
             return _compared(pairs, sets, percent).where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
 
-        links, labels = _resolved(materialize(members, "rest"), by_sets, links, labels, percent)
+        labels = _resolved(materialize(members, "rest"), by_sets, labels, percent, stars=0)
 
     # Most documents keep their own name; only the others are joined.
     moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("id").alias("set_id"), "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
