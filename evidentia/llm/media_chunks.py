@@ -34,7 +34,9 @@ CUT_BITS, LEAST, MOST = 11, 512, 16384
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << (32 - CUT_BITS))
 CUT = "doc_id long, key long, n_bytes long, file_id binary, digests array<binary>"
-FILES = "file_id binary, chunks array<struct<digest: binary, data: binary>>"
+FILES = "file_id binary, whole boolean, chunks array<struct<digest: binary, data: binary>>"
+#: Files, about, that one copy of a popular chunk serves.
+SPREAD = 512
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -115,7 +117,7 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Files, each with its chunk list; bytes only of the chunks it owns.
+    """Files, each with its chunk list; bytes only of the chunks it owns, ``whole`` if these are all.
 
     ``docs`` has (text, file_id, foreign): the digests among the file's chunks
     that another file owns. A null file_id takes the text as it is.
@@ -123,7 +125,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = [], []
+            ids, whole, lists = [], [], []
             for text, file_id, foreign in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 media = to_media(payload_of(text)[1])
                 found = hashlib.sha256(media).digest()
@@ -134,8 +136,9 @@ def store(docs: DataFrame) -> DataFrame:
                     own.append({"digest": digest, "data": None if digest in others else data})
                     others.add(digest)  # a chunk that a file repeats is stored once
                 ids.append(found)
+                whole.append(not foreign)
                 lists.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))], names=["file_id", "chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(whole, pa.bool_()), pa.array(lists, pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))], names=["file_id", "whole", "chunks"])
 
     return docs.select("text", "file_id", "foreign").mapInArrow(apply, FILES)
 
@@ -178,13 +181,18 @@ def round_trip(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs).withColumn("special", may_be_among(special, F.col("key")))
     plain = rows.where(~F.col("special")).withColumn("file_id", F.lit(None).cast("binary")).withColumn("foreign", F.lit(None).cast("array<binary>"))
     joined = rows.where("special").join(first.join(foreign, "file_id", "left").hint("merge"), "key")
-    stored = materialize(store(plain).unionByName(store(joined).dropDuplicates(["file_id"])), "chunk_store")
-
-    # Bytes of shared chunks go to the files that refer to them.
-    wanted = shared.where("file_id <> holder")
-    bytes_of = stored.join(shared.where("file_id = holder").select("file_id").distinct(), "file_id", "left_semi").select(F.explode("chunks").alias("c")).select("c.*").where("data is not null")
-    others = wanted.join(bytes_of, "digest").groupBy("file_id").agg(F.collect_list(F.struct("digest", "data")).alias("others"))
+    once = joined.withColumn("same", F.sha2("text", 256)).dropDuplicates(["key", "file_id", "same"])  # rows lie by key already
+    stored = materialize(store(plain).unionByName(store(once)), "chunk_store")
+
+    # Bytes of shared chunks go to the files that refer to them; files that own all theirs are rebuilt where they lie.
+    wanted = shared.where("file_id <> holder").select("file_id", "digest")
+    many = wanted.groupBy("digest").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("copies"))
+    owners = stored.where(may_be_among(shared.where("file_id = holder").select(F.col("file_id").alias("key")), F.col("file_id")))
+    pieces = owners.select(F.explode("chunks").alias("c")).select("c.*").where("data is not null")
+    pieces = pieces.where(may_be_among(many.select(F.col("digest").alias("key")), F.col("digest"))).join(many.hint("merge"), "digest")
+    pieces = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    salted = wanted.join(many.hint("merge"), "digest").withColumn("salt", F.pmod(F.xxhash64("file_id"), F.col("copies")).cast("int")).drop("copies")
+    others = salted.join(pieces, ["digest", "salt"]).groupBy("file_id").agg(F.collect_list(F.struct("digest", "data")).alias("others"))
     empty = F.lit(None).cast("array<struct<digest: binary, data: binary>>")
-    poor = foreign.select("file_id")
-    rebuilt = rebuild(stored.join(poor, "file_id", "left_anti").withColumn("others", empty)).unionByName(rebuild(stored.join(others, "file_id")))
+    rebuilt = rebuild(stored.where("whole").withColumn("others", empty)).unionByName(rebuild(stored.where("not whole").join(others, "file_id")))
     return listed.select("doc_id", "n_bytes", "file_id").join(rebuilt, "file_id").drop("file_id")
