@@ -45,7 +45,7 @@ def op4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archives, then read responses with their payloads and revisits by their headers."""
     warc.register(spark)
-    path = scratch_path(spark, "warc")
+    path = warc.qualified(spark, scratch_path(spark, "warc"))
     warc.deduplicated(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
     read = spark.read.format("warc")
     full = read.load(path).where("record_type = 'response'").select(
