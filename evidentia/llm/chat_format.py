@@ -2,9 +2,15 @@
 
 The template is data: for each role the text before and after a turn, and
 whether the turn's own text counts for the loss. Control strings cannot occur
-inside a turn, since ``<`` and the backslash are escaped there: a backslash
-becomes ``\\b`` and ``<`` becomes ``\\l``; undoing first ``\\l``, then ``\\b``
-gives the text back.
+inside a turn, since ``<``, ``>`` and the backslash are escaped there, as
+``\\l``, ``\\g`` and ``\\b``; undoing first the others, then ``\\b`` gives the
+text back. Marks are checked when a template is made: they must begin with ``<``
+and end with ``>``, no mark before a turn may begin another one, and a role's
+place is in the mark before it, closed by ``>``, so any template can be read back.
+
+The formatted text comes with its loss mask, the spans that count for the loss
+in code points; what is read back under the mask is cut out of the text by these
+spans, not guessed from roles.
 
 Turns are ordered by turn number (null last), then role and text, so ties and
 repeated rows have one order. A null or empty text is empty; a null role is the
@@ -37,6 +43,20 @@ class Template:
     roles: tuple[tuple[str, Turn], ...] = (("system", Turn()), ("user", Turn()), ("assistant", Turn(loss=True)))
     others: Turn = Turn()
 
+    def __post_init__(self):
+        starts = []
+        for role, turn in (*self.roles, (None, self.others)):
+            marks = (*turn.before.split("{role}", 1), turn.after)
+            inner = "".join(marks)
+            if not (turn.before.startswith("<") and turn.before.endswith(">") and turn.after.startswith("<") and turn.after.endswith(">")) or "\\" in inner:
+                raise ValueError(f"marks of {role or 'other'} turns must be in angle brackets, without backslashes")
+            if role is None and "{role}" not in turn.before:
+                raise ValueError("the mark of other turns must name the role")
+            starts.append(turn.before.replace("{role}", role if role is not None else "{role}"))
+        for a in starts:
+            if any(a != b and b.startswith(a) for b in starts):
+                raise ValueError(f"{a} begins another mark")
+
 
 #: State and role, then the next state. A conversation is valid if it ends in a state of ``FINAL``.
 MACHINE = {
@@ -49,11 +69,15 @@ FINAL = ("answered",)
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
+    for plain, code in (("\\", "\\b"), ("<", "\\l"), (">", "\\g")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    for plain, code in ((">", "\\g"), ("<", "\\l"), ("\\", "\\b")):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def end_state(roles: Column, machine: dict[tuple[str, str], str] | None = None) -> Column:
@@ -96,40 +120,69 @@ def segments(turns: DataFrame, template: Template | None = None, machine: dict[t
 
 
 def formatted(parts: DataFrame) -> DataFrame:
-    """conv_id, formatted, valid from ``segments``."""
+    """conv_id, formatted, loss (the spans that count, in code points) and valid from ``segments``."""
     text = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    return parts.select("conv_id", text.alias("formatted"), "valid")
+    sizes = F.transform("segments", lambda s: F.struct(F.length(s["text"]).alias("size"), s["loss"].alias("loss")))
+    # Turns are three segments each, the middle one its text, so places are sums over turns.
+    ends = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("spans")),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["size"]).alias("at"),
+            F.when(s["loss"], F.concat(acc["spans"], acc["at"].cast("string"), F.lit(":"), (acc["at"] + s["size"]).cast("string"), F.lit(","))).otherwise(acc["spans"]).alias("spans"),
+        ),
+        lambda acc: acc["spans"],
+    )
+    pairs = F.filter(F.split(ends, ","), lambda x: x != "")
+    loss = F.transform(pairs, lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("start"), F.substring_index(x, ":", -1).cast("int").alias("stop")))
+    return parts.select("conv_id", text.alias("formatted"), loss.alias("loss"), "valid")
 
 
 def read_back(texts: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, formatted, valid and turns (array of role, text, loss) from formatted text.
+    """conv_id, formatted, valid, turns (array of role and text) and kept (the text under the loss mask).
 
-    The default marks are read: a turn begins after ``<turn `` and its role
-    ends at the first ``>``, which role names don't hold.
+    ``<`` and ``>`` occur in marks only, so a turn is a mark, a text without
+    angle brackets, and another mark; the template tells which role it names.
     """
     template = template or Template()
-    loss = [name for name, turn in template.roles if turn.loss]
-    pieces = F.slice(F.split("formatted", "<turn "), F.lit(2), F.size(F.split("formatted", "<turn ")))
+    turns = (*template.roles, (None, template.others))
 
-    def parse(piece: Column) -> Column:
-        role = unescape(F.substring_index(piece, ">", 1))
-        text = F.substring(piece, F.length(F.substring_index(piece, ">", 1)) + 2, F.length(piece))
-        text = F.substring(text, F.lit(1), F.length(text) - len("</turn>"))
-        return F.struct(role.alias("role"), unescape(text).alias("text"), role.isin(loss).alias("loss"))
+    def literal(mark: str) -> str:
+        return "".join("\\" + c if c in r".^$|?*+()[]{}-&~#" else c for c in mark)
+
+    marks = {(t.before.replace("{role}", "\0" if role is None else role), t.after) for role, t in turns}
+    pattern = "|".join(literal(b).replace("\0", "[^<>]*") + "[^<>]*" + literal(a) for b, a in sorted(marks, key=lambda m: "\0" in m[0]))
+    pieces = F.regexp_extract_all("formatted", F.lit(f"(?s){pattern}"), 0)
 
-    return texts.select("conv_id", "formatted", "valid", F.transform(pieces, parse).alias("turns"))
+    def parse(piece: Column) -> Column:
+        role = text = F.lit(None).cast("string")
+        for name, turn in reversed(turns):
+            if name is None:
+                head, tail = turn.before.split("{role}", 1)
+                rest = F.substring(piece, F.lit(len(head) + 1), F.length(piece))
+                role = unescape(F.substring_index(rest, tail, 1))
+                body = F.substring(rest, F.length(F.substring_index(rest, tail, 1)) + len(tail) + 1, F.length(rest))
+                text = F.substring(body, F.lit(1), F.length(body) - len(turn.after))
+            else:
+                mark = turn.before.replace("{role}", name)
+                own = piece.startswith(mark) & piece.endswith(turn.after)
+                role = F.when(own, F.lit(name)).otherwise(role)
+                text = F.when(own, F.substring(piece, F.lit(len(mark) + 1), F.length(piece) - len(mark) - len(turn.after))).otherwise(text)
+        return F.struct(role.alias("role"), unescape(text).alias("text"))
+
+    kept = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
+    return texts.select("conv_id", "formatted", "valid", F.transform(pieces, parse).alias("turns"), kept.alias("kept"))
 
 
 def digests(read: DataFrame) -> DataFrame:
     """One row per conversation with the digests of what was read back."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    kept = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(kept).cast("long").alias("loss_chars"),
-        F.sha2(kept, 256).alias("loss_sha256"),
+        F.length("kept").cast("long").alias("loss_chars"),
+        F.sha2("kept", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )

@@ -115,8 +115,8 @@ ORACLE_SQL: dict[str, str] = {
             select conv_id, t,
                 array_to_string(list_transform(t, lambda x: x.role || chr(10) || x.text || chr(10)), '') as whole,
                 coalesce(array_to_string(list_transform(list_filter(t, lambda x: x.role = 'assistant'), lambda x: x.text), ''), '') as kept,
-                array_to_string(list_transform(t, lambda x: '<turn ' || replace(replace(x.role, '\', '\b'), '<', '\l') || '>'
-                    || replace(replace(x.text, '\', '\b'), '<', '\l') || '</turn>'), '') as formatted,
+                array_to_string(list_transform(t, lambda x: '<turn ' || replace(replace(replace(x.role, '\', '\b'), '<', '\l'), '>', '\g') || '>'
+                    || replace(replace(replace(x.text, '\', '\b'), '<', '\l'), '>', '\g') || '</turn>'), '') as formatted,
                 array_to_string(list_transform(t, lambda x: x.role), ' ') as roles
             from turns
         )

@@ -112,3 +112,27 @@ def test_repeated_documents_bring_one_labelled_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_sparse", lambda sample: (seen.extend(sorted((r.doc_id, r.text) for r in sample.collect())), sparse(sample))[1])
     toxicity.fit(docs, labels)
     assert seen == [(1, "text 0"), (2, "other"), (3, None)]
+
+
+def test_chat_reads_any_template_and_odd_rows(spark):
+    """Null and tied turns, repeated rows, roles with marks in them, an empty table, clashing columns, and marks of another template."""
+    other = chat_format.Template(
+        roles=(("user", chat_format.Turn("<u>", "</u>")), ("assistant", chat_format.Turn("<[bot]>", "<end>", loss=True)), ("critic", chat_format.Turn("<c {role}>", "</c>", loss=True))),
+        others=chat_format.Turn("<other {role}>", "<end>"),
+    )
+    rows = [
+        (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "us>er", "x"), (1, 0, None, None), (1, 1, "assistant", "<end>\\\\g</turn>\\n"), (1, 2, "critic", "</c><u>"),
+        (2, 5, "assistant", "y" * 100_000), (2, 7, "assistant", ""),
+    ]
+    schema = "conv_id long, turn long, role string, text string, segments string, loss string"
+    frame = spark.createDataFrame([(*r, "s", "l") for r in rows], schema)
+    for template in (None, other):
+        loss = {name for name, turn in (template or chat_format.Template()).roles if turn.loss}
+        got = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(chat_format.segments(frame, template)), template).collect()}
+        for conv in (1, 2):
+            turns = sorted(((t is None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+            assert [(t.role, t.text) for t in got[conv].turns] == [t[2:] for t in turns]
+            assert got[conv].kept == "".join(t[3] for t in turns if t[2] in loss)
+    assert chat_format.digests(chat_format.read_back(chat_format.formatted(chat_format.segments(frame.limit(0))))).count() == 0
+    with pytest.raises(ValueError):
+        chat_format.Template(others=chat_format.Turn("<turn>"))
