@@ -139,3 +139,73 @@ KIND_RANK = {"page data": 4, "range": 3, "onwards": 2, "single": 1}
 PROVIDER_MIN_SCORE, PROVIDER_MAX_KM, PROVIDER_NEAR_KM, PROVIDER_FAR_KM = 0.8, 60.0, 3.0, 8.0
 TOKENS_PER_CHAR, PROMPT_TOKENS = 3.5, 900
 SEARCH_USD, BATCH_DISCOUNT, CACHE_WRITE, CACHE_READ = 0.01, 0.5, 1.25, 0.1
+
+# The labels of register pages and the texts that stand between them.
+PROJECT_LABELS = {
+    "project_type": "Project Type",
+    "status": "Project Status",
+    "approved": "Approved Date",
+    "proposed_completion": "Proposed Date of Completion",
+    "revised_completion": "Revised Proposed Date of Completion",
+}
+PROJECT_STOPS = ("Are there", "Is the", "Address Details")
+ADDRESS_HEADING = "Address Details"
+ADDRESS_LABELS = {
+    "district": "District",
+    "mandal": "Mandal",
+    "village": "Village/City/Town",
+    "street": "Street",
+    "locality": "Locality",
+    "pin": "Pin Code",
+}
+ADDRESS_STOPS = ("Land mark", "Landmark")
+NO_VALUE = ("na", "n/a", "-")
+#: Longest value of a label; longer ones are the page's other text.
+VALUE_CHARS = 80
+
+# Which addresses of a listing site are project pages, and where their fields stand.
+LISTING_SITES = {
+    "housing": {
+        "page": r"housing\.com/in/buy/projects/page/\d+-([^/?#]+)",
+        "name": (("slug", r"^(.*?)(?:-by-.*)?$"),),
+        "locality": (("title", r"\bin\s+([^,|-]+),\s*Hyderabad"),),
+        "builder": (("slug", r"-by-(.*?)(?:-in-[a-z0-9-]+)?$"),),
+    },
+    "squareyards": {
+        "page": r"squareyards\.com/hyderabad-(?:residential|commercial)-property/([^/]+)/\d+/project",
+        "name": (("title", r"^(.*?)(?:,| - |$)"),),
+        "locality": (("title", r"^(?:(?! - )[^,])*,((?:(?! - )[^,])*),"),),
+        "builder": (),
+    },
+    "magicbricks": {
+        "page": r"magicbricks\.com/([^/?#]+?)-pdpid-",
+        "name": (("title", r"^(.+?)\s+in\s+[^,|]+,\s*Hyderabad"), ("title", r"^([^,]*)")),
+        "locality": (("title", r"^.+?\s+in\s+([^,|]+),\s*Hyderabad"),),
+        "builder": (),
+    },
+    "99acres": {
+        "page": r"99acres\.com/([^/?#]+?)-npxid-r\d+",
+        "name": (("title", r"^([^,]*)"),),
+        "locality": (),
+        "builder": (),
+    },
+}
+LISTING_NOISE = r"(?i)\b(?:FAQs?|Price List|Prices?|Reviews?|Floor Plans?|Brochure|Resale|Photos|Overview|Rera)\b.*$"
+
+# The two labels of a completion date that was changed.
+FIRST_COMPLETION = r"(?i)(?:original|proposed)(?:\s+proposed)?(?:\s+date\s+of)?\s+completion(?:\s+date)?\s*[:\-]?"
+NEXT_COMPLETION = r"(?i)revised(?:\s+proposed)?(?:\s+date\s+of)?\s+completion(?:\s+date)?\s*[:\-]?"
+#: Characters in which a completion date follows its label.
+COMPLETION_CHARS = 40
+
+# Rupee amounts in evidence, and in listings, which have their own grammar.
+PRICE_RANGE = rf"(?i){RUPEE}\s*{PRICE_NUMBER}\s*(?:{PRICE_UNIT})?\s*(?:-|–|—|to)\s*{RUPEE}?\s*{PRICE_NUMBER}\s*{PRICE_UNIT}"
+PRICE_ONE = rf"(?i){RUPEE}\s*{PRICE_NUMBER}\s*{PRICE_UNIT}(?!\s*(?:/|per)\s*(?:sq|month))"
+PRICE_FULL = rf"(?i){RUPEE}\s*(\d{{1,3}}(?:,\d{{2,3}}){{2,4}})(?!\s*(?:/|per|\d))"
+PRICE_PER_SQFT = rf"(?i){RUPEE}\s*([\d,]{{3,7}}|\d+(?:\.\d+)?\s*k)\s*(?:/|per)\s*(?:sq\.?\s*ft|sqft|sq\.?\s*feet)"
+LISTING_UNIT = r"(cr|crores?|l|lacs?|lakhs?)"
+LISTING_RANGE = rf"(?i)(?:₹|rs\.?|inr)\s*(\d+(?:\.\d+)?)\s*{LISTING_UNIT}?\s*(?:-|–|to)\s*(?:₹|rs\.?|inr)?\s*(\d+(?:\.\d+)?)\s*{LISTING_UNIT}\b"
+LISTING_ONE = rf"(?i)(?:₹|rs\.?|inr)\s*(\d+(?:\.\d+)?)\s*{LISTING_UNIT}\b"
+LISTING_SQFT = r"(?i)(?:₹|rs\.?|inr)\s*([\d,]{3,7})\s*(?:/|per)\s*sq\.?\s*ft"
+#: Characters before an amount in which the project's name has to stand, and around the name that are compared with it.
+NAME_BEFORE, NAME_AROUND = 220, 45

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -267,6 +269,21 @@ def clean_locality(n: Column) -> Column:
     return F.when((n == "") | n.rlike(fixed.LOCALITY_JUNK) | (F.length(n) > 26) | (F.length(norm(n)) < 4), "").otherwise(n)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_positions(text: Column, word: Column, most: int | None = None) -> Column:
+    """Where ``word``, which isn't empty, stands in the text without overlaps; the first ``most`` places."""
+    gaps = F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1)
+    many = F.size(gaps) - 1
+    gaps = F.slice(gaps, F.lit(1), many if most is None else F.least(many, F.lit(most)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda a, gap: F.struct((a["at"] + F.length(gap) + F.length(word)).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(gap))).alias("found"))
+    return F.aggregate(gaps, start, step, lambda a: a["found"])
+
+
 def occurrences(text: Column, rx: str) -> Column:
     """Non-overlapping matches as ``array<struct<pos, match>>``, pos from 0."""
     cuts, hits = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))

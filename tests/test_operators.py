@@ -224,3 +224,23 @@ def test_stream(spark):
     run()
     got = {r.gkey: r.sources for r in state.KeyedTable(spark, f"{home}/state/verdicts", ["gkey"]).current().collect()}
     assert got == {"g": 2, "h": 1}
+
+
+def test_register_pairs_and_listing_sites(spark):
+    """Changed completion dates near the name, and one page of each listing site."""
+    m = T.matcher(F.lit("Green Valley"), F.lit("Kokapet"), F.lit("Hyderabad"), T.strings([]))
+    text = "Green Valley Kokapet. Original Completion Date: 31-12-2024 Revised Proposed Date of Completion: 30/06/2026. Revised completion 01/01/2030"
+    page = spark.createDataFrame([("g", "https://x.in/p", "Green Valley", text, 3)], "gkey string, url string, title string, text string, seq long").withColumn("m", m)
+    pairs = evidence.register_pairs(page, TODAY).collect()
+    assert [(tuple(p.orig), tuple(p.rev), p.relevance, p.seq) for p in pairs] == [((2024, 12), (2026, 6), 1.0, 3000)]
+    rows = [
+        ("squareyards", "https://www.squareyards.com/hyderabad-residential-property/lake-view/123/project", "Lake View, Kokapet, Hyderabad - Price List"),
+        ("magicbricks", "https://www.magicbricks.com/lake-view-pdpid-4d42", "Lake View Price in Kokapet, Hyderabad"),
+        ("99acres", "https://www.99acres.com/lake-view-kokapet-npxid-r1", "Lake View Kokapet, Hyderabad"),
+        ("99acres", "https://www.99acres.com/search", "Flats"),
+    ]
+    frame = spark.createDataFrame(rows, "site string, url string, title string")
+    got = [r[0] and tuple(r[0]) for r in frame.select(recorded.listing_fields(F.col("site"), F.col("url"), F.col("title"))).collect()]
+    assert got == [("Lake View", "Kokapet", ""), ("Lake View", "Kokapet", ""), ("Lake View Kokapet", "", ""), None]
+    none = spark.range(1).select(recorded.register_detail(F.lit("no labels")).alias("d"), recorded.register_certificate(F.lit("")).alias("c"), recorded.register_number(F.lit("P 0240 0000 123"))).first()
+    assert set(none.d) == {""} and set(none.c) == {""} and none[2] == "P02400000123"
