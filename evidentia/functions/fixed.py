@@ -164,7 +164,7 @@ NO_VALUE = ("na", "n/a", "-")
 VALUE_CHARS = 80
 
 # Which addresses of a listing site are project pages, and where their fields stand.
-LISTING_SITES = {
+LISTING_PAGES = {
     "housing": {
         "page": r"housing\.com/in/buy/projects/page/\d+-([^/?#]+)",
         "name": (("slug", r"^(.*?)(?:-by-.*)?$"),),
