@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions import money
 from .functions import text as T
 from .operators import evidence, fusion, review, state
-from .plans import discovery, enrich
-from .queries import _MON, _sql_norm, _t, query
+from .plans import discovery, enrich, report
+from .queries import _MON, _sql_norm, _t, candidates, query
 from .sources import recorded, sheet
 
 TODAY = dt.date(2025, 6, 15)
@@ -287,7 +287,7 @@ def review_verdicts(spark, sf_dir):
 
 
 @query("""with l as (select o_orderkey as seq, 'https://l.in/' || o_orderkey as url, substr(o_orderpriority, 3) as site, 'Emerald ' || o_custkey as name, case when o_orderstatus = 'O' then 'B' || o_orderkey else '' end as builder,
-        case when o_totalprice > 200000 then o_totalprice::bigint || ' L' end as price from orders)
+        case when o_totalprice > 200000 then floor(o_totalprice)::bigint || ' L' end as price from orders)
     select 'emerald ' || substr(name, 9) || '|kokapet' as lkey, array_to_string(list_sort(list(distinct site)), ', ') as sites, arg_min(url, seq) as url, arg_min(builder, case when builder <> '' then seq end) as builder,
         arg_min(price, case when price is not null then seq end) as price, min(seq) as seq from l group by name""")
 def listing_merge(spark, sf_dir):
@@ -295,7 +295,7 @@ def listing_merge(spark, sf_dir):
     key, name = F.col("o_orderkey").cast("string"), F.concat(F.lit("Emerald "), F.col("o_custkey").cast("string"))
     rows = _t(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("seq"), F.concat(F.lit("https://l.in/"), key).alias("url"), F.substr("o_orderpriority", F.lit(3)).alias("site"), F.when(F.col("o_orderstatus") == "F", F.upper(name)).otherwise(name).alias("name"), F.lit("Kokapet").alias("locality"),
-        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("B"), key)).otherwise("").alias("builder"), F.lit("").alias("rera_no"), F.when(F.col("o_totalprice") > 200000, F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(" L"))).alias("price"),
+        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("B"), key)).otherwise("").alias("builder"), F.lit("").alias("rera_no"), F.when(F.col("o_totalprice") > 200000, F.concat(F.floor("o_totalprice").cast("long").cast("string"), F.lit(" L"))).alias("price"),
         F.lit("").alias("price_sqft"), F.lit("").alias("possession"),
     )
     return discovery.merged_listings(rows).select("lkey", "sites", "url", "builder", "price", "seq")
@@ -400,3 +400,98 @@ def unanswered(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     cache = c.where("c_mktsegment <> 'MACHINERY'").select(key.alias("q"))
     return recorded.uncached(c.select(F.col("c_custkey").cast("string").alias("gkey"), key.alias("query")), cache).select("gkey")
+
+
+STATUS = Cases(
+    "said",
+    "ready building",
+    [("Ready to move homes. Ready to move now, ready to move in, immediate possession.", 3, 0), ("Under construction; a new launch.", 0, 2), ("Ready for possession, tower B under-construction.", 1, 1), ("Quiet streets.", 0, 0)],
+)
+
+
+@query(f"""with s as (select o_custkey as gkey, ready, building from orders join {STATUS.sql("o_orderkey")})
+    select gkey, 'Ready to Move' as label, sum(ready)::bigint as n from s group by gkey having sum(ready) > 0 union all select gkey, 'Under Construction', sum(building)::bigint from s group by gkey having sum(building) > 0""")
+def status_words(spark, sf_dir):
+    """Status words of each customer's orders as pages, three at most of each kind and page."""
+    o = STATUS.deal(spark, _t(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_custkey").alias("gkey"), F.col("said").alias("text"))
+    return evidence.status_counts(o).withColumn("n", F.col("n").cast("long"))
+
+
+@query("""with c as (select l_partkey as gkey, l_orderkey::varchar as url, l_linestatus = 'O' as reg, l_extendedprice / 60000 as score, l_orderkey * 10 + l_linenumber as seq,
+        case when l_linenumber < 4 then strftime(l_shipdate, '%Y-%m') else strftime(l_shipdate, '%Y') end as date from lineitem),
+    n as (select *, row_number() over (partition by gkey, reg order by score desc, seq) as n from c), t as (select *, least(10, count(*) filter (reg) over (partition by gkey)) as own from n where n <= 15),
+    d as (select gkey, string_agg(date || '@' || url, ';' order by not reg, n) as dates from t where case when reg then n <= 10 else n <= greatest(15 - own, 5) end group by gkey),
+    u as (select gkey, url, min(seq) as seq from c group by gkey, url), s as (select *, row_number() over (partition by gkey order by seq) as n from u)
+    select d.gkey, dates, urls from d join (select gkey, string_agg(url, ';' order by n) as urls from s where n <= 12 group by gkey) using (gkey)""")
+def evidence_packs(spark, sf_dir):
+    """What a reviewer of each part sees, with its order lines as search results and dates."""
+    c = candidates(spark, sf_dir)
+    r = c.select("gkey", "url", "seq", F.lit("Green Valley").alias("title"), F.lit("Kokapet").alias("snippet"), _green_valley().alias("m"))
+    p = evidence.evidence_pack(r, c)
+    return p.select("gkey", F.array_join(F.transform("dates", lambda d: F.concat_ws("@", d["date"], d["url"])), ";").alias("dates"), F.array_join(F.transform("snippets", lambda x: x["url"]), ";").alias("urls"))
+
+
+@query(RESULTS_SQL.format(key="o_custkey") + """, m as (select count(*) as a, count(*) filter (found) as b, count(*) filter (found and label = 'High') as c, count(*) filter (found and label = 'Low') as d, count(*) filter (price_label = 'High') as e,
+        count(*) filter (label = 'Skipped') as f, coalesce(sum(rkey % 5), 0)::bigint as g from r)
+    select 'Rows' as "Metric", a as "Value" from m union all select 'Dates found', b from m union all select 'Dates confirmed (High or Medium)', c from m union all select 'Dates unconfirmed (Low)', d from m union all select 'Prices confirmed', e from m
+    union all select 'Skipped', f from m union all select 'Searches', g from m""")
+def report_summary(spark, sf_dir):
+    return report.summary(_verdicts(spark, sf_dir).withColumn("queries", F.col("rkey").cast("long") % 5))
+
+
+def _projects(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as registered projects 5 km apart, the projects on file and what was looked up.
+
+    Of three, one is on file with its number, one with its name, one isn't.
+    """
+    key, k = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    number, empty = F.concat(F.lit("P02"), F.lpad(key, 9, "0")), F.lit("")
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", key.alias("k"), F.concat(F.lit("Crest"), key).alias("name"), (F.lit(17.0) + k % 20 * 0.05).alias("lat"), (F.lit(78.0) + F.floor(k / 20) * 0.05).alias("lon"), number.alias("rera_no"))
+    fields = {c: empty for c in ("revised_completion", "proposed_completion", "project_type", "locality", "village", "mandal", "district", "pin", "detail_url")}
+    register = s.withColumns({"key": F.col("k"), "promoter": F.concat(F.lit("B"), "k"), "type_ok": F.lit(True), "in_footprint": k % 7 != 0} | fields)
+    known = s.where(k % 3 != 2).select(
+        F.when(k % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("Known"), "k")).alias("building_name"), "lat", "lon", F.when(k % 3 == 0, F.col("rera_no")).otherwise("").alias("rera_norm"), k.alias("seq"),
+    )
+    found = s.select(F.concat(F.lit("a:"), "k").alias("cid"), *(empty.alias(c) for c in ("builder", "rera_no", "possession", "price_sqft")), F.when(k % 2 == 0, "₹1 Cr").otherwise("").alias("price"))
+    return register, known, found
+
+
+def _listings(register: DataFrame) -> DataFrame:
+    empty = F.lit("")
+    return register.select(
+        F.col("s_suppkey").alias("seq"), F.concat(F.lit("https://l.in/"), "k").alias("url"), F.lit("housing").alias("site"), F.upper("name").alias("name"), F.concat(F.lit("Loc "), "k").alias("locality"),
+        *(empty.alias(c) for c in ("builder", "rera_no", "price_sqft", "possession")), F.when(F.col("s_suppkey") % 5 == 0, "₹90 L").otherwise("").alias("price"),
+    )
+
+
+@query("""select s_suppkey::varchar as key, case s_suppkey % 3 when 0 then 'Yes (same RERA number)' when 1 then 'Yes (name match 1.00, 0.0 km)' else '' end as onboarded,
+    case s_suppkey % 3 when 0 then 'Known' || s_suppkey when 1 then 'Crest' || s_suppkey else '' end as onboarded_as, case when s_suppkey % 2 = 0 then '₹1 Cr' else '' end as price from supplier where s_suppkey % 7 <> 0""")
+def register_matches(spark, sf_dir):
+    register, known, found = _projects(spark, sf_dir)
+    return discovery.register_set(register, known, found).select("key", "onboarded", "onboarded_as", "price")
+
+
+@query("""select case when s_suppkey % 7 <> 0 then 'Crest' || s_suppkey else 'CREST' || s_suppkey end as name, case when s_suppkey % 7 <> 0 then 'RERA register + listing sites' else 'listing sites (housing)' end as found_in,
+    case when s_suppkey % 7 <> 0 then 'P02' || lpad(s_suppkey::varchar, 9, '0') else '' end as rera_id, case when s_suppkey % 5 = 0 then '₹90 L' when s_suppkey % 7 <> 0 and s_suppkey % 2 = 0 then '₹1 Cr' else '' end as price
+    from supplier where s_suppkey % 3 = 2 or (s_suppkey % 7 = 0 and s_suppkey % 3 = 0)""")
+def new_projects(spark, sf_dir):
+    """Registered and listed projects that are not on file; the localities past the 440th have no coordinates."""
+    register, known, found = _projects(spark, sf_dir)
+    geo = register.where("s_suppkey < 440").select(F.concat(F.lit("loc "), "k").alias("lkey"), "lat", "lon")
+    a = discovery.register_set(register, known, found)
+    c = discovery.listing_set(_listings(register), known, geo, a, 10.0)
+    new = discovery.all_new(discovery.with_listing_values(a, c), c)
+    return new.select(F.col("Project Name").alias("name"), F.col("Found In").alias("found_in"), F.col("RERA ID").alias("rera_id"), F.col("Price").alias("price"))
+
+
+@query("""with s as (select s_suppkey as k, s_suppkey % 7 <> 0 as a from supplier where s_nationkey % 4 <> 0)
+    select k::varchar as cid, case when a then 'Yes' else 'No' end as in_set_a, case when a then 'P02' || lpad(k::varchar, 9, '0') else '' end as rera_no, case when a then 'B' || k else '' end as builder,
+        case when k % 3 = 1 then 'Yes (name match 1.00, 0.0 km)' when k % 3 = 0 and a then 'Yes (same RERA number)' else '' end as onboarded from s""")
+def place_matches(spark, sf_dir):
+    """Map places where the projects stand; some are cafes."""
+    register, known, found = _projects(spark, sf_dir)
+    category = F.when(F.col("s_nationkey") % 4 == 0, "Cafe").otherwise("Apartment building")
+    nations = _t(spark, sf_dir, "supplier").select("s_suppkey", category.alias("category"))
+    places = register.join(nations, "s_suppkey").select(F.col("k").alias("cid"), F.col("name").alias("title"), "category", F.lit("x").alias("address"), "lat", "lon", F.lit(4.1).alias("rating"), F.lit(10).alias("reviews"), F.lit("q").alias("query"))
+    b = discovery.place_set(places, known, found, discovery.register_set(register, known, found), 10.0)
+    return b.select("cid", "in_set_a", "rera_no", "builder", "onboarded")
