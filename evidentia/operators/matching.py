@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import fixed
 from ..functions.geo import KM_PER_DEGREE, cell, haversine_km, near_cells, planar_km
 from ..functions.text import norm
+from ..session import materialize
 
 
 def tokens(name: Column) -> Column:
@@ -83,15 +84,17 @@ def nearest(left: DataFrame, right: DataFrame, key: str, value: str, start_km: f
     """Nearest right row of each left row, ``key, nearest, nearest_km``; ties go to the smallest ``value``.
 
     The radius grows eightfold for the rows that found none, so most rows meet a
-    few cells only. Rows with nothing within ``most_km`` (more than the country
-    spans) are left out.
+    few cells only; each round's finds are a written table, so a round reads its own
+    rows and does not repeat the ones before. Rows with nothing within ``most_km``
+    (more than the country spans) are left out.
     """
-    todo, out, km = left, None, start_km
+    todo, out, km = left.where("lat is not null and lon is not null"), None, start_km
     while True:
-        pairs = radius_pairs(todo, right, km)
         best = F.min(F.struct("km", F.col(value).alias("nearest"))).alias("b")
-        found = pairs.groupBy(key).agg(best).select(key, "b.nearest", F.col("b.km").alias("nearest_km"))
+        pairs = radius_pairs(todo, right, km).groupBy(key).agg(best)
+        found = materialize(pairs.select(key, "b.nearest", F.col("b.km").alias("nearest_km")), "nearest")
         out = found if out is None else out.unionByName(found)
-        if km >= most_km:
+        todo = materialize(todo.join(found.select(key), key, "left_anti"), "unplaced")
+        if km >= most_km or todo.isEmpty():
             return out
-        todo, km = todo.join(found.select(key), key, "left_anti"), min(km * 8, most_km)
+        km = min(km * 8, most_km)
