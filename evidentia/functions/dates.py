@@ -19,6 +19,7 @@ DATE_TYPE = "struct<year:int,month:int,precision:string>"
 PLACED_TYPE = "struct<start:int,rank:int,year:int,month:int,precision:string>"
 PRECISIONS = ["day", "month", "quarter", "year"]
 
+# The forms of months and days in dates.
 _NAME = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 _DAY = r"(0?[1-9]|[12]\d|3[01])"
 _MONTH = r"(0?[1-9]|1[0-2])"

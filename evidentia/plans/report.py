@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import compare_dates, sheet_date
 from ..functions.money import compare_price, format_inr, sheet_price
 
+# The headings of the reports' columns, here and in full_report.
 POSSESSION_COLUMNS = {
     "display": "Possession Date", "iso": "Possession (YYYY-MM)", "precision": "Date Precision", "status": "Project Status",
     "label": "Confidence", "confidence": "Confidence Score", "sources": "Sources Agreeing", "rera_date": "RERA Date",

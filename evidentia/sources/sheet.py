@@ -64,6 +64,7 @@ def search_queries(e: DataFrame, mode: str = "full") -> DataFrame:
     q = lambda *parts: F.concat_ws(" ", *parts)
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     lit = F.lit
+    # The words of the searches, in each mode.
     portals = "site:99acres.com OR site:magicbricks.com OR site:housing.com OR site:squareyards.com"
     rows = {
         "possession": [
