@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType
 
 from evidentia.session import materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "materialize", "may_be_among", "scratch_path", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "materialize", "may_be_among", "scratch_path", "shared_dir", "table"]
 
 #: Bytes, about, that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
@@ -31,18 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bits_of(bits: DataFrame) -> bytes:
+    """A bitmap of ``FILTER_BITS`` bits in which each ``bit`` (long, from 0) is set: 1 MB at any input size."""
+    places = bits.select((F.col("bit") + 1).alias("bit"))
+    parts = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    found = {r.bucket: r.bits for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()}
+    width = 32768 // 8
+    return b"".join(bytes(found.get(i + 1, b"")).ljust(width, b"\0") for i in range(FILTER_BITS // 32768))
+
+
 def may_be_among(keys: DataFrame, key: Column) -> Column:
     """Whether ``key`` may be among ``keys``; never wrong about those that are.
 
-    The bitmap has ``FILTER_BITS`` bits at any input size, 1 MB, so it can be
-    sent to every task. Where it fills up, more rows take the joined path.
+    The bitmap is bounded, so it can be sent to every task. Where it fills up,
+    more rows take the joined path.
     """
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
-    parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-    bits = {r.bucket: r.bits for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()}
-    width = 32768 // 8
-    table = b"".join(bytes(bits.get(i + 1, b"")).ljust(width, b"\0") for i in range(FILTER_BITS // 32768))
-    held = keys.sparkSession.sparkContext.broadcast(table)
+    held = keys.sparkSession.sparkContext.broadcast(bits_of(keys.select(F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("bit"))))
 
     @F.pandas_udf(BooleanType())
     def known(n: pd.Series) -> pd.Series:
