@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import BATCH_BYTES
+from .shared import BATCH_BYTES, mapped
 
 #: Words of the table of known words, and the longest it holds.
 CACHED, CACHED_CHARS = 1 << 19, 64
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids")
                     yield pa.RecordBatch.from_arrays([*(batch.column(i)[begin : at + 1] for i in range(len(kept))), own], names=schema.names)
                     begin, ids, size = at + 1, [], 0
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`")).mapInArrow(apply, schema)
+    return mapped(docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`")), apply, schema)
 
 
 def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "text") -> DataFrame:
@@ -199,4 +199,4 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "text")
             texts = [voc.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(apply, schema)
+    return mapped(rows.select(*(F.col(f"`{c}`") for c in kept)), apply, schema)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructType
 
 from evidentia.session import materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "materialize", "may_be_among", "scratch_path", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "mapped", "materialize", "may_be_among", "scratch_path", "shared_dir", "table"]
 
 #: Bytes, about, that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` for columns of any names (it takes a dot for a field's); ``apply`` reads them by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(apply, schema)
+
+
 def bits_of(bits: DataFrame) -> bytes:
     """A bitmap of ``FILTER_BITS`` bits in which each ``bit`` (long, from 0) is set: 1 MB at any input size."""
     places = bits.select((F.col("bit") + 1).alias("bit"))

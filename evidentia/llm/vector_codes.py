@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import materialize
+from .shared import mapped, materialize
 
 #: Rows whose distances are held at once.
 ROWS = 2048
@@ -196,14 +196,15 @@ def encode(vectors: DataFrame, books: Codebooks, column: str = "embedding") -> D
             arrays = [*(taken.column(i) for i in range(len(kept))), pa.array([codes[i] for i in order], pa.string()), pa.array([errors[i] for i in order], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return vectors.select(*(F.col(f"`{f.name}`") for f in kept), _doubles(vectors, column).alias(column)).mapInArrow(apply, schema)
+    return mapped(vectors.select(*(F.col(f"`{f.name}`") for f in kept), _doubles(vectors, column)), apply, schema)
 
 
 def compress(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", label: str = "label") -> DataFrame:
     """``encode`` with codebooks fitted on the same rows, and ``label_error`` and ``codebooks_sha256``."""
     books = fit(vectors, id_column, column)
     coded = materialize(encode(vectors.drop("label_error", "codebooks_sha256"), books, column), "codes")
-    most = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MOST)).cast("long")
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    most = F.when(total > MOST, MOST).otherwise(total).cast("long")
     # Written, so that Spark knows its size and can split a hot label's rows in the join.
     totals = materialize(coded.groupBy(F.col(f"`{label}`").alias("of")).agg(most.alias("label_error")), "label-errors")
     joined = coded.join(totals, coded[f"`{label}`"].eqNullSafe(totals["of"]), "left").drop("of")
