@@ -44,8 +44,6 @@ from .shared import BATCH_BYTES, mapped
 
 #: Words of the table of known words, and the longest it holds.
 CACHED, CACHED_CHARS = 1 << 19, 64
-#: Above any id, and above any place in a word.
-PAIR, PLACES = 1 << 20, 1 << 40
 #: Characters after which a long text is cut at the next white space.
 PIECE = 1 << 20
 #: The pattern of the byte-level pre-tokenizer; a fixed value.
@@ -76,10 +74,13 @@ class Vocabulary:
         letters = byte_letters()
         self.first = [ids[c] for c in letters]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        #: Rank of each mergeable pair, and the symbol that the merge of a rank makes.
-        self.rank_of, self.result = {}, []
+        #: By left symbol the ranks of its merges with a right one, and the symbol that the merge of a rank makes.
+        none: dict[int, int] = {}
+        self.after, self.result = [none] * (max(ids.values()) + 1), []
         for rank, (a, b) in enumerate(pairs):
-            self.rank_of[ids[a] * PAIR + ids[b]] = rank
+            if self.after[ids[a]] is none:
+                self.after[ids[a]] = {}
+            self.after[ids[a]][ids[b]] = rank
             self.result.append(ids[a + b])
         value = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in marks}
@@ -91,18 +92,22 @@ class Vocabulary:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, by rank, then place."""
-        n, rank_of, result = len(symbols), self.rank_of, self.result
-        right = [*range(1, n), -1]
-        left = list(range(-1, n - 1))
-        # An entry is rank * PLACES + place, so that the queue compares plain integers.
-        queue = [rank * PLACES + i for i, (a, b) in enumerate(pairwise(symbols)) if (rank := rank_of.get(a * PAIR + b)) is not None]
+        n, after, result = len(symbols), self.after, self.result
+        # An entry is a rank and a place in one integer; for usual words it is a small one.
+        shift = n.bit_length()
+        places = (1 << shift) - 1
+        queue = [rank << shift | i for i, (a, b) in enumerate(pairwise(symbols)) if (rank := after[a].get(b)) is not None]
+        if not queue:
+            return symbols
         heapify(queue)
+        right, left = [*range(1, n), -1], list(range(-1, n - 1))
         while queue:
-            rank, i = divmod(heappop(queue), PLACES)
+            entry = heappop(queue)
+            i, rank = entry & places, entry >> shift
             j, symbol = right[i], symbols[i]
             if symbol < 0 or j < 0:
                 continue  # stale: a symbol is gone
-            new, now = result[rank], rank_of.get(symbol * PAIR + symbols[j])
+            new, now = result[rank], after[symbol].get(symbols[j])
             if now != rank and (now is None or result[now] != new):
                 continue  # stale: another neighbour
             symbols[i], symbols[j] = new, -1
@@ -110,10 +115,10 @@ class Vocabulary:
             right[i] = k
             if k >= 0:
                 left[k] = i
-                if (now := rank_of.get(new * PAIR + symbols[k])) is not None:
-                    heappush(queue, now * PLACES + i)
-            if h >= 0 and (now := rank_of.get(symbols[h] * PAIR + new)) is not None:
-                heappush(queue, now * PLACES + h)
+                if (now := after[new].get(symbols[k])) is not None:
+                    heappush(queue, now << shift | i)
+            if h >= 0 and (now := after[symbols[h]].get(new)) is not None:
+                heappush(queue, now << shift | h)
         return [s for s in symbols if s >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -196,7 +201,10 @@ def decode(rows: DataFrame, path: str, column: str = "ids", into: str = "text")
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(held.value)
         for batch in batches:
-            texts = [voc.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(at)]
+            texts = []
+            for ids in batch.column(at):
+                own = ids.values if ids.is_valid else pa.array([], pa.int32())
+                texts.append(voc.decode(own.to_pylist() if own.null_count else own.to_numpy().tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return mapped(rows.select(*(F.col(f"`{c}`") for c in kept)), apply, schema)
