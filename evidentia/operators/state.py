@@ -1,10 +1,8 @@
-"""Keyed state as Parquet tables, work selection and budgets."""
+"""Work selection, budgets and rows that replace others by key; ``keyed_table`` keeps such rows in files."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,35 +11,6 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-class KeyedTable:
-    """A keyed table in versions: each write is a new folder, named in a one-row pointer table.
-
-    Readers see a whole version or the one before; a failed write leaves no trace
-    in what they read.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
-
-    def current(self) -> DataFrame | None:
-        pointer = self._fs_list(f"{self.path}/versions")
-        if not pointer:
-            return None
-        return self.spark.read.parquet(f"{self.path}/data/{max(pointer).split('-', 1)[1]}")
-
-    def write(self, new: DataFrame) -> None:
-        old = self.current()
-        name = uuid.uuid4().hex
-        (new if old is None else upsert(old, new, self.key)).write.parquet(f"{self.path}/data/{name}")
-        n = len(self._fs_list(f"{self.path}/versions"))
-        self.spark.range(1).write.parquet(f"{self.path}/versions/{n:08d}-{name}")
-
-    def _fs_list(self, path: str) -> list[str]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-
-
 def todo(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(done.select(*key), key, "left_anti")
 

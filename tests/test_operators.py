@@ -14,7 +14,7 @@ from evidentia.operators import evidence, fusion, matching, review, state
 from evidentia.plans import discovery, enrich, report
 from evidentia.session import materialize
 from evidentia.sources import recorded, sheet
-from evidentia.streaming.ingest import CANDIDATES, follow_candidates
+from evidentia.streaming.ingest import CANDIDATES
 
 TODAY = dt.date(2025, 6, 15)
 
@@ -100,12 +100,6 @@ def test_radius_and_nearest(spark):
 
 
 def test_state(spark):
-    home = tempfile.mkdtemp()
-    t = state.KeyedTable(spark, f"{home}/t", ["k"])
-    assert t.current() is None
-    t.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
-    t.write(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"))
-    assert sorted(map(tuple, t.current().collect())) == [(1, "a"), (2, "c"), (3, "d")]
     costs = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 1.0)], "k int, c double")
     assert [r.k for r in state.budget_prefix(costs, F.col("c"), 7, [F.asc("k")], F.floor(F.col("k") / 2)).collect()] == [1]
     rows = spark.createDataFrame([(0, "x", True, "High", "2025-01", "t1"), (1, "x", False, "Not found", "", "t2"), (2, "y", False, "Low", "", "t3")], "row_idx int, rkey string, found boolean, label string, iso string, updated string")
@@ -213,19 +207,6 @@ def test_evidence_pack_and_pages(spark):
     assert len(pack.snippets) == 12 and [d.score for d in pack.dates] == [round(i / 100, 2) for i in range(29, 14, -1)]
 
 
-def test_stream(spark):
-    home = tempfile.mkdtemp()
-    rows = [cand(1, "housing.com", "2025-12", 0.9, True, "structured"), cand(2, "99acres.com", "2025-12", 0.6, True, gkey="h")]
-    spark.createDataFrame(rows[:1], CANDIDATES).write.mode("append").parquet(f"{home}/in")
-    run = lambda: follow_candidates(spark, f"{home}/in", f"{home}/state", f"{home}/cp", TODAY).awaitTermination()
-    run()
-    spark.createDataFrame([rows[1], cand(3, "99acres.com", "2025-12", 0.6, True)], CANDIDATES).write.mode("append").parquet(f"{home}/in")
-    run()
-    run()
-    got = {r.gkey: r.sources for r in state.KeyedTable(spark, f"{home}/state/verdicts", ["gkey"]).current().collect()}
-    assert got == {"g": 2, "h": 1}
-
-
 def test_register_pairs_and_listing_sites(spark):
     """Changed completion dates near the name, and one page of each listing site."""
     m = T.matcher(F.lit("Green Valley"), F.lit("Kokapet"), F.lit("Hyderabad"), T.strings([]))
