@@ -12,7 +12,6 @@ from pyspark.sql.types import DoubleType
 from ..functions import fixed
 from ..functions.geo import KM_PER_DEGREE, cell, haversine_km, near_cells, planar_km
 from ..functions.text import norm
-from ..session import materialize
 
 
 def tokens(name: Column) -> Column:
@@ -78,23 +77,3 @@ def radius_pairs(left: DataFrame, right: DataFrame, km: float, planar: bool = Fa
     rc = right.where("r_lat is not null and r_lon is not null").withColumns({"_x": cell(F.col("r_lat"), size), "_y": cell(F.col("r_lon"), wide)})
     dist = (planar_km if planar else haversine_km)(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     return lc.join(rc, ["_x", "_y"]).withColumn("km", dist).where(F.col("km") <= km).drop("_x", "_y")
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str, value: str, start_km: float = 5.0, most_km: float = 4000.0) -> DataFrame:
-    """Nearest right row of each left row, ``key, nearest, nearest_km``; ties go to the smallest ``value``.
-
-    The radius grows eightfold for the rows that found none, so most rows meet a
-    few cells only; each round's finds are a written table, so a round reads its own
-    rows and does not repeat the ones before. Rows with nothing within ``most_km``
-    (more than the country spans) are left out.
-    """
-    todo, out, km = left.where("lat is not null and lon is not null"), None, start_km
-    while True:
-        best = F.min(F.struct("km", F.col(value).alias("nearest"))).alias("b")
-        pairs = radius_pairs(todo, right, km).groupBy(key).agg(best)
-        found = materialize(pairs.select(key, "b.nearest", F.col("b.km").alias("nearest_km")), "nearest")
-        out = found if out is None else out.unionByName(found)
-        todo = materialize(todo.join(found.select(key), key, "left_anti"), "unplaced")
-        if km >= most_km or todo.isEmpty():
-            return out
-        km = min(km * 8, most_km)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import norm
-from ..operators.matching import best_match, name_similarity, nearest, radius_pairs, token_pairs
+from ..operators.matching import best_match, name_similarity, radius_pairs, token_pairs
+from ..operators.nearest import nearest
 
 
 def against_known(rows: DataFrame, known: DataFrame, key: str, name: str, rera: Column, match_km: float) -> DataFrame:
@@ -28,7 +29,7 @@ def against_known(rows: DataFrame, known: DataFrame, key: str, name: str, rera:
     k = known.select(F.col("building_name").alias("k_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "rera_norm", F.col("seq").alias("k_seq"))
     by_id = k.where("rera_norm <> ''").groupBy(F.col("rera_norm").alias("_rera")).agg(F.min_by("k_name", "k_seq").alias("id_name"))
     small = r.select(key, name, "lat", "lon")
-    near = nearest(small, k, key, "k_name")
+    near = nearest(small, k, key, "k_name", "k_seq")
     close = name_similarity(radius_pairs(small, k, match_km), name, "k_name", 0.8).where("sim >= 0.8")
     close = close.groupBy(key).agg(F.min_by(F.struct("k_name", "sim", "km"), "k_seq").alias("c"))
     names = small.where("lat is null or lon is null")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, fixed, geo, money
 from .functions import text as T
-from .operators import evidence, fusion, matching, review, state
+from .operators import evidence, fusion, matching, nearest, review, state
 from .sources import recorded
 
 TODAY = dt.date(1996, 6, 15)
@@ -280,7 +280,7 @@ def haversine_nearest(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 7).alias("a"), (F.col("c_custkey") * 3).alias("o"))
     c = c.select("c_custkey", _at("a")[0].alias("lat"), _at("o")[1].alias("lon"))
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", s_lat.alias("r_lat"), s_lon.alias("r_lon"))
-    near = matching.nearest(c, s, "c_custkey", "s_suppkey", start_km=40.0)
+    near = nearest.nearest(c, s, "c_custkey", "s_suppkey")
     return near.select("c_custkey", F.round("nearest_km", 2).alias("nearest_km"))
 
 

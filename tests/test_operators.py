@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.operators import nearest
 from evidentia.operators import evidence, fusion, matching, review, state
 from evidentia.plans import discovery, enrich, report
 from evidentia.session import materialize
@@ -96,7 +97,7 @@ def test_radius_and_nearest(spark):
 
     assert {(r.k, r.r) for r in matching.radius_pairs(left, right, 150).collect()} == {(p[0], q[0]) for p in a for q in b if km(p, q) <= 150}
     assert {(r.k, r.r) for r in matching.radius_pairs(left, right, 150, planar=True).collect()} == {(p[0], q[0]) for p in a for q in b if math.dist(p[1:], q[1:]) * 111 <= 150}
-    assert {r.k: r.nearest for r in matching.nearest(left, right, "k", "r", 20).collect()} == {p[0]: min(b, key=lambda q: km(p, q))[0] for p in a}  # noqa: B023
+    assert {r.k: r.nearest for r in nearest.nearest(left, right, "k", "r").collect()} == {p[0]: min(b, key=lambda q: km(p, q))[0] for p in a}  # noqa: B023
 
 
 def test_state(spark):
