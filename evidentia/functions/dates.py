@@ -25,11 +25,17 @@ _DAY = r"(0?[1-9]|[12]\d|3[01])"
 _MONTH = r"(0?[1-9]|1[0-2])"
 
 
+def _numbers(first: int, last: int, digits: int) -> str:
+    """A group that matches the numbers of a range, a branch for each ten."""
+    tens = ((t, max(first, t * 10) % 10, min(last, t * 10 + 9) % 10) for t in range(first // 10, last // 10 + 1))
+    return "(" + "|".join(f"{t:0{digits - 1}d}[{lo}-{hi}]" for t, lo, hi in tens) + ")"
+
+
 def _patterns(today: dt.date) -> list[tuple[str, str, int, str]]:
     """Precision, pattern, group of the year, kind of the month. Only valid days, months and years match."""
     last = today.year + fixed.YEARS_AHEAD
-    year = "(" + "|".join(str(y) for y in range(fixed.MIN_YEAR, min(last, 2049) + 1)) + ")"
-    short = "(" + "|".join(f"{y - 2000:02d}" for y in range(2000, min(last, 2099) + 1)) + ")"
+    year = _numbers(fixed.MIN_YEAR, min(last, 2049), 4)
+    short = _numbers(0, min(last, 2099) - 2000, 2)
     return [
         ("day", rf"(?i)\b{_DAY}(?:st|nd|rd|th)?[\s\-/.,]*{_NAME}[\s\-/.,']*{year}\b", 3, "name2"),
         ("month", rf"(?i)\b{_NAME}[\s\-/.,']*{year}\b", 2, "name1"),

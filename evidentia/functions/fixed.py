@@ -96,6 +96,8 @@ PLACE_CATEGORIES = r"(?i)apartment|housing|condominium|residential|villa|gated|t
 LISTING_SITES = {"99acres": "99acres.com", "magicbricks": "magicbricks.com", "housing": "housing.com", "squareyards": "squareyards.com"}
 REGISTER_TYPES = ["residential", "commercial", "mixed"]
 REGISTER_ID = r"\b(P0\d{10})\b"
+#: Names too wide to be a locality.
+WIDE_PLACES = ["hyderabad", "secunderabad", "telangana"]
 LOCALITY_JUNK = r"(?i)\d|\b(near|opp|opposite|beside|behind|besides|ward|survey|sy|plot|road|rd|street|lane|x ?roads?|junction|circle|main|block|phase|part|adjacent)\b"
 LOCALITY_SUFFIX = r"(?i)\s*(\(.*?\)|\b(village|mandal|municipality|telangana|hyderabad|old village|gp|nagar panchayat)\b)\s*"
 

@@ -16,8 +16,8 @@ def strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` over ``value`` worked out once: plain reuse of a column would repeat it, inside lambdas for each element."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` worked out once, however often it is used: plain reuse of a column would repeat it, inside lambdas for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -264,16 +264,18 @@ def clean_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"(?i)^\s*(?:bank\s+)?auction\s+(?:propert(?:y|ies)|bazaar)\s*[-:|]\s*", ""))
 
 
+def title_case(n: Column) -> Column:
+    """Names in capitals with the first letter of each word only; others as they are."""
+    words = F.split(F.lower(n), r"(?<![a-z])(?=[a-z])")
+    titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+    return F.when((n == F.upper(n)) & (n != F.lower(n)), titled).otherwise(n)
+
+
 def clean_locality(n: Column) -> Column:
     n = F.regexp_replace(squeeze(F.regexp_replace(F.coalesce(n, F.lit("")), fixed.LOCALITY_SUFFIX, " ")), r"^[ ,\-]+|[ ,\-]+$", "")
     return F.when((n == "") | n.rlike(fixed.LOCALITY_JUNK) | (F.length(n) > 26) | (F.length(norm(n)) < 4), "").otherwise(n)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_positions(text: Column, word: Column, most: int | None = None) -> Column:
     """Where ``word``, which isn't empty, stands in the text without overlaps; the first ``most`` places."""
     gaps = F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1)

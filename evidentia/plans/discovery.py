@@ -1,6 +1,6 @@
 """Projects not yet on file, from a register, listing sites and map places.
 
-Tables: ``register`` (key, name, promoter, last_modified, detail_url, extension_cert, and the
+Tables: ``register`` (key, seq, name, promoter, last_modified, detail_url, extension_cert, and the
 detail fields with lat, lon, type_ok, in_footprint, rera_no), ``listings`` (seq, url, site,
 name, locality, builder, rera_no, price, price_sqft, possession), ``places`` (cid, title,
 category, address, lat, lon, rating, reviews, query), ``found`` (web lookups: cid, builder,
@@ -72,10 +72,10 @@ def listing_set(listings: DataFrame, known: DataFrame, geo: DataFrame, a: DataFr
     c = merged_listings(listings).withColumn("place", norm(F.col("locality"))).join(inside, "place", "left").drop("place")
     c = against_known(c, known, "lkey", "name", F.col("rera_no"), 3.0).where(F.col("nearest_km").isNull() | (F.col("nearest_km") <= radius_km + 2))
     right = a.select(F.col("key").alias("a_key"), F.col("name").alias("a_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("rera_no").alias("a_rera"), F.col("builder").alias("a_builder"),
-                     _unless("revised_completion", "proposed_completion").alias("rera_possession"), F.col("onboarded").alias("a_onboarded"), F.col("onboarded_as").alias("a_as"))
+                     _unless("revised_completion", "proposed_completion").alias("rera_possession"), F.col("onboarded").alias("a_onboarded"), F.col("onboarded_as").alias("a_as"), F.col("seq").alias("a_seq"))
     pairs = token_pairs(c.select("lkey", "name", "lat", "lon"), right, "name", "a_name")
     planar = F.hypot(F.col("lat") - F.col("r_lat"), F.col("lon") - F.col("r_lon")) * 111.0
-    pairs = name_similarity(pairs.where(planar.isNull() | (planar <= 3.0)), "name", "a_name", 0.8).withColumn("a_seq", F.hash("a_key"))
+    pairs = name_similarity(pairs.where(planar.isNull() | (planar <= 3.0)), "name", "a_name", 0.8)
     hit = F.struct("a_key", "a_rera", "a_builder", "rera_possession", "a_onboarded", "a_as")
     best = best_match(pairs, ["lkey"], hit, seq="a_seq").select("lkey", "match.*")
     c = c.join(best, "lkey", "left")
@@ -98,8 +98,8 @@ def place_set(places: DataFrame, known: DataFrame, found: DataFrame, a: DataFram
     p = places.where(F.col("category").rlike(fixed.PLACE_CATEGORIES)).withColumnRenamed("title", "name")
     b = against_known(p, known, "cid", "name", F.lit(""), 1.0).where(F.col("nearest_km") <= radius_km)
     right = a.select(F.col("key").alias("a_key"), F.col("name").alias("a_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("builder").alias("a_builder"), F.col("rera_no").alias("a_rera"),
-                     _unless("revised_completion", "proposed_completion").alias("a_possession"), "project_type", F.col("price").alias("a_price"), F.col("onboarded").alias("a_onboarded"), F.col("onboarded_as").alias("a_as"))
-    pairs = name_similarity(radius_pairs(b.select("cid", "name", "lat", "lon"), right, 1.5, planar=True), "name", "a_name", 0.75).withColumn("a_seq", F.hash("a_key"))
+                     _unless("revised_completion", "proposed_completion").alias("a_possession"), "project_type", F.col("price").alias("a_price"), F.col("onboarded").alias("a_onboarded"), F.col("onboarded_as").alias("a_as"), F.col("seq").alias("a_seq"))
+    pairs = name_similarity(radius_pairs(b.select("cid", "name", "lat", "lon"), right, 1.5, planar=True), "name", "a_name", 0.75)
     hit = F.struct("a_key", "a_name", "a_builder", "a_rera", "a_possession", "project_type", "a_price", "a_onboarded", "a_as")
     best = best_match(pairs, ["cid"], hit, seq="a_seq", least=0.75).select("cid", "match.*")
     e = found.select("cid", F.col("builder").alias("e_builder"), F.col("rera_no").alias("e_rera"), F.col("possession").alias("e_possession"), F.col("price").alias("e_price"), F.lit(True).alias("looked"))

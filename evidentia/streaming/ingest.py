@@ -19,7 +19,7 @@ COMPACT_EVERY = 16
 
 def candidate_table(spark: SparkSession, state: str, buckets: int = 256) -> KeyedTable:
     """All candidates so far, in buckets by entity."""
-    return KeyedTable(spark, f"{state}/candidates", ["gkey", "url", "seq"], ["gkey"], buckets)
+    return KeyedTable(spark, f"{state}/candidates", ["gkey", "url", "domain", "seq", "year", "month"], ["gkey"], buckets)
 
 
 def verdict_table(spark: SparkSession, state: str, buckets: int = 256) -> KeyedTable:
@@ -34,14 +34,14 @@ def follow_candidates(spark: SparkSession, source: str, state: str, checkpoint:
     adds their verdicts as a run: old candidates of other buckets are not read and nothing is written
     again, until runs are folded every ``COMPACT_EVERY`` batches. Each table keeps the
     stream's last batch with the rows, in one commit, so a batch that is run again, whole or from
-    its middle, adds nothing twice. Of repeated candidates of an entity, url and seq the one of highest score counts.
+    its middle, adds nothing twice. Of candidates repeated with their url, place and date the one of highest score counts.
     """
     candidates, verdicts = candidate_table(spark, state, buckets), verdict_table(spark, state, buckets)
 
     def batch(rows: DataFrame, n: int) -> None:
         # The stream's id is in its checkpoint: with another checkpoint batches count anew.
         writer = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        candidates.write(rows, F.struct("score", "year", "month", "domain", "context"), writer, n)
+        candidates.write(rows, F.struct("score", "kind", "context"), writer, n)
         every = candidates.lookup(rows.select("gkey"))
         if every is None or verdicts.write(date_fusion(every, today), None, writer, n) is None:
             return

@@ -448,7 +448,7 @@ def _projects(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     number, empty = F.concat(F.lit("P02"), F.lpad(key, 9, "0")), F.lit("")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", key.alias("k"), F.concat(F.lit("Crest"), key).alias("name"), (F.lit(17.0) + k % 20 * 0.05).alias("lat"), (F.lit(78.0) + F.floor(k / 20) * 0.05).alias("lon"), number.alias("rera_no"))
     fields = {c: empty for c in ("revised_completion", "proposed_completion", "project_type", "locality", "village", "mandal", "district", "pin", "detail_url")}
-    register = s.withColumns({"key": F.col("k"), "promoter": F.concat(F.lit("B"), "k"), "type_ok": F.lit(True), "in_footprint": k % 7 != 0} | fields)
+    register = s.withColumns({"key": F.col("k"), "seq": k, "promoter": F.concat(F.lit("B"), "k"), "type_ok": F.lit(True), "in_footprint": k % 7 != 0} | fields)
     known = s.where(k % 3 != 2).select(
         F.when(k % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("Known"), "k")).alias("building_name"), "lat", "lon", F.when(k % 3 == 0, F.col("rera_no")).otherwise("").alias("rera_norm"), k.alias("seq"),
     )
@@ -484,14 +484,17 @@ def new_projects(spark, sf_dir):
     return new.select(F.col("Project Name").alias("name"), F.col("Found In").alias("found_in"), F.col("RERA ID").alias("rera_id"), F.col("Price").alias("price"))
 
 
-@query("""with s as (select s_suppkey as k, s_suppkey % 7 <> 0 as a from supplier where s_nationkey % 4 <> 0)
-    select k::varchar as cid, case when a then 'Yes' else 'No' end as in_set_a, case when a then 'P02' || lpad(k::varchar, 9, '0') else '' end as rera_no, case when a then 'B' || k else '' end as builder,
-        case when k % 3 = 1 then 'Yes (name match 1.00, 0.0 km)' when k % 3 = 0 and a then 'Yes (same RERA number)' else '' end as onboarded from s""")
+@query("""with s as (select s_suppkey as k, s_suppkey % 7 <> 0 as a, s_suppkey % 2 = 0 as twin from supplier where s_nationkey % 4 <> 0)
+    select k::varchar as cid, case when a then 'Yes' else 'No' end as in_set_a, case when a then case when twin then 'P03' else 'P02' end || lpad(k::varchar, 9, '0') else '' end as rera_no,
+        case when a then case when twin then 'T' else 'B' end || k else '' end as builder,
+        case when k % 3 = 1 then 'Yes (name match 1.00, 0.0 km)' when k % 3 = 0 and a and not twin then 'Yes (same RERA number)' else '' end as onboarded from s""")
 def place_matches(spark, sf_dir):
-    """Map places where the projects stand; some are cafes."""
+    """Map places where the projects stand; some are cafes. Every project has a twin of its name, which the register lists before it if its key is even, else after it."""
     register, known, found = _projects(spark, sf_dir)
+    k = F.col("s_suppkey")
+    twins = register.withColumns({"key": F.concat(F.lit("t"), "k"), "seq": F.when(k % 2 == 0, -k).otherwise(k + 1_000_000_000), "promoter": F.concat(F.lit("T"), "k"), "rera_no": F.concat(F.lit("P03"), F.lpad("k", 9, "0"))})
     category = F.when(F.col("s_nationkey") % 4 == 0, "Cafe").otherwise("Apartment building")
     nations = _t(spark, sf_dir, "supplier").select("s_suppkey", category.alias("category"))
     places = register.join(nations, "s_suppkey").select(F.col("k").alias("cid"), F.col("name").alias("title"), "category", F.lit("x").alias("address"), "lat", "lon", F.lit(4.1).alias("rating"), F.lit(10).alias("reviews"), F.lit("q").alias("query"))
-    b = discovery.place_set(places, known, found, discovery.register_set(register, known, found), 10.0)
+    b = discovery.place_set(places, known, found, discovery.register_set(register.unionByName(twins), known, found), 10.0)
     return b.select("cid", "in_set_a", "rera_no", "builder", "onboarded")

@@ -177,6 +177,7 @@ def test_discovery(spark):
     )
     for c in ("revised_completion", "proposed_completion", "project_type", "locality", "village", "mandal", "district", "pin", "detail_url"):
         register = register.withColumn(c, F.lit(c[:3]))
+    register = register.withColumn("seq", F.substring("key", 2, 1).cast("long"))
     found = spark.createDataFrame([("a:a1", "", "", "", "₹1 Cr", "")], "cid string, builder string, rera_no string, possession string, price string, price_sqft string")
     a = discovery.register_set(register, known, found)
     assert {r.key: r.onboarded for r in a.collect()} == {"a1": "", "a2": "Yes (same RERA number)", "a3": "Yes (name match 1.00, 0.0 km)"}
