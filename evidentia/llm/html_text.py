@@ -1,25 +1,30 @@
 """Main text of web pages: flat text blocks, judged by a small decision tree.
 
 A page is cut into blocks at its block tags. Each block has its word count and
-link density, those of the blocks before and after it, and one weak mark from
-the tags around it: an article, none, a hint of other things (a form, a class
-like ``cookie`` or ``comments``), or tags for them (navigation, footer). An
-article or main part resets hints of its wrappers. A decision tree, trained on
-the labelled table below whenever the operator starts, tells main text from the
-rest: the mark moves how many words a block needs, and links count everywhere.
-
-Spark deals out pages; a page is parsed whole in one pass, without a tree of
-elements. Defined results: a null or empty page has the empty text; tags left
-open are closed by what follows them; markup that never ends runs to the end of
-the page; repeated rows each get their row; an empty table gives no rows;
-extra columns are passed on by ``extract`` unless they are called ``text`` or
-``n_chars``.
+link density, those of the blocks before and after it, and one mark from the
+tags around it: an article; none; a place for other things by its layout (a
+class like ``sidebar`` or ``menu``); or other things themselves (navigation,
+footers, asides, forms, classes like ``comments`` or ``cookie-notice``). An article
+or main part resets what wrappers say of layout, and a form around it. A class counts as a whole:
+all its words have to be such words, so ``ad-free`` and ``with-sidebar`` are
+no marks. A decision tree, trained when the operator starts on the blocks of
+the labelled pages below, tells main text from the rest: other things are out
+at any length, words and links decide outside of articles, and within one runs
+of short links among links are menus.
+
+Spark deals out pages; a page is parsed whole in one pass, in linear time,
+without a tree of elements. Defined results: a null or empty page has the
+empty text; tags left open are closed by what follows them, end tags without a
+start are passed over; markup that never ends runs to the end of the page;
+repeated rows each get their row; an empty table gives no rows; extra columns
+are passed on by ``extract`` unless they are called ``text`` or ``n_chars``.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,55 +33,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled blocks: words, link density, the same of the previous and the next block (0, 0 at the
-#: ends), mark (1 in an article, -1 in a hinted part, -2 in tags for other things); then 1 for main text.
-LABELLED = (
-    (60, 0.0, 45, 0.0, 80, 0.0, 1, 1), (1, 0.0, 60, 0.0, 1, 0.0, 1, 1), (2, 0.0, 0, 0.0, 90, 0.0, 1, 1),
-    (9, 0.0, 3, 1.0, 70, 0.0, 1, 1), (35, 0.2, 50, 0.0, 40, 0.1, 1, 1), (14, 0.0, 30, 0.0, 12, 1.0, 1, 1),
-    (120, 0.05, 9, 0.0, 0, 0.0, 1, 1), (6, 0.4, 40, 0.0, 40, 0.0, 1, 1), (4, 1.0, 50, 0.0, 60, 0.0, 1, 0),
-    (3, 0.0, 2, 0.0, 4, 0.0, 1, 1), (8, 0.0, 1, 1.0, 2, 0.0, 1, 1), (25, 0.6, 30, 0.0, 45, 0.0, 1, 0),
-    (1, 0.0, 8, 0.1, 2, 0.0, 1, 1), (2, 0.0, 1, 0.0, 2, 0.0, 1, 1), (1, 0.0, 1, 0.0, 0, 0.0, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0), (2, 1.0, 30, 0.0, 2, 1.0, 1, 0), (3, 0.0, 1, 1.0, 1, 1.0, 1, 0),
-    (5, 0.0, 0, 0.0, 0, 0.0, 1, 1), (1, 0.0, 40, 0.0, 40, 0.0, 1, 1), (4, 0.0, 4, 0.0, 1, 1.0, 1, 1),
-    (12, 0.8, 4, 1.0, 9, 0.9, 1, 0), (2, 0.5, 2, 0.5, 2, 0.5, 1, 0), (1, 0.0, 3, 1.0, 3, 1.0, 1, 0),
-    (6, 0.0, 2, 0.0, 90, 0.0, 1, 1), (20, 0.6, 3, 1.0, 15, 0.7, 1, 0), (3, 0.0, 2, 0.0, 0, 0.0, 1, 1),
-    (1, 0.0, 1, 1.0, 2, 0.0, 1, 1), (1, 0.0, 6, 1.0, 90, 0.0, 1, 1), (2, 0.0, 40, 0.0, 3, 1.0, 1, 1),
-    (40, 0.0, 3, 1.0, 4, 1.0, 1, 1), (18, 0.1, 2, 1.0, 2, 1.0, 1, 1), (60, 0.9, 50, 0.0, 60, 0.0, 1, 0),
-    (1, 0.0, 5, 0.0, 12, 0.0, -1, 0), (8, 0.0, 60, 0.0, 60, 0.0, -1, 0), (12, 0.1, 60, 0.0, 0, 0.0, -1, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (12, 0.0, 1, 1.0, 8, 0.0, -1, 0),
-    (20, 0.1, 60, 0.0, 0, 0.0, -1, 0), (16, 0.0, 1, 0.0, 30, 0.0, -1, 0), (70, 0.9, 50, 0.0, 2, 1.0, -1, 0),
-    (30, 0.0, 70, 0.0, 25, 0.0, -1, 1), (50, 0.0, 8, 0.0, 40, 0.0, -1, 1), (90, 0.0, 90, 0.0, 90, 0.0, -1, 1),
-    (45, 0.0, 3, 1.0, 30, 0.0, -1, 1), (70, 0.3, 50, 0.0, 2, 1.0, -1, 1), (100, 0.0, 20, 0.0, 10, 0.0, -1, 1),
-    (1, 1.0, 0, 0.0, 2, 1.0, -2, 0), (2, 1.0, 2, 1.0, 2, 1.0, -2, 0), (5, 0.0, 4, 0.0, 3, 0.0, -2, 0),
-    (30, 0.0, 70, 0.0, 25, 0.0, -2, 0), (45, 0.0, 3, 0.0, 40, 0.0, -2, 0), (60, 0.1, 12, 0.0, 0, 0.0, -2, 0),
-    (75, 0.0, 40, 0.0, 6, 1.0, -2, 0), (140, 0.6, 80, 0.0, 90, 0.0, -2, 0), (110, 0.0, 60, 0.0, 90, 0.0, -2, 1),
-    (180, 0.1, 5, 0.0, 70, 0.0, -2, 1), (140, 0.0, 120, 0.0, 2, 1.0, -2, 1),
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 1), (40, 0.1, 8, 0.0, 30, 0.0, 0, 1), (25, 0.0, 60, 0.0, 2, 1.0, 0, 1),
-    (90, 0.2, 0, 0.0, 45, 0.0, 0, 1), (18, 0.0, 40, 0.0, 35, 0.0, 0, 1), (7, 0.0, 3, 1.0, 80, 0.0, 0, 1),
-    (3, 0.0, 55, 0.0, 60, 0.0, 0, 1), (5, 0.0, 1, 1.0, 40, 0.0, 0, 1), (30, 0.0, 1, 1.0, 0, 0.0, 0, 1),
-    (16, 0.0, 0, 0.0, 0, 0.0, 0, 1), (22, 0.3, 30, 0.0, 25, 0.0, 0, 1), (4, 0.0, 30, 0.0, 20, 0.1, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0, 0), (1, 1.0, 3, 0.5, 1, 1.0, 0, 0),
-    (6, 0.9, 50, 0.0, 5, 1.0, 0, 0), (12, 0.8, 4, 1.0, 9, 0.9, 0, 0), (30, 0.9, 2, 1.0, 40, 0.9, 0, 0),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0), (4, 0.0, 3, 0.0, 2, 1.0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0),
-    (1, 0.0, 4, 0.0, 3, 0.0, 0, 0), (5, 0.7, 25, 0.0, 0, 0.0, 0, 0), (20, 0.6, 3, 1.0, 15, 0.7, 0, 0),
-    (2, 1.0, 4, 0.0, 60, 0.0, 0, 0), (15, 0.7, 60, 0.0, 1, 1.0, 0, 0),
+from .shared import mapped
+
+#: Pages whose blocks are labelled: ``+n`` stands for a block of n words of main text, ``-n`` for one of others, ``@`` around either for a link.
+LABELLED_PAGES = (
+    # An article among menus, notices, comments and a footer, with short paragraphs, sources and a list of tags in it.
+    "<header><div>-2</div><nav><ul><li>@-1@<li>@-2@<li>@-1@</ul></nav></header><div class='cookie-notice'>-36</div><div class='ad'>-12</div><article><header><h1>+9</h1></header><p>+60</p><p>+3</p><p>+120</p>"
+    "<p>+35 @+7@</p><ul><li>@+5@<li>@+6@<li>@+8@</ul><p>+1</p><p>+40</p><div class='share-buttons'>@-1@</div><ul><li>@-1@<li>@-1@<li>@-2@<li>@-1@<li>@-1@</ul><section class='comments'><h2>-1</h2><p>-80</p><p>-14</p></section></article>"
+    "<aside><h3>-2</h3><p>-120</p><p>-30</p></aside><form><p>-60</p><label>-1</label></form><footer>-12</footer>",
+    # A short article with a linked headline; its page has a long footer and a form around all of it.
+    "<form><nav>@-1@ @-1@</nav><div class='post-list sidebar'><p>@-4@</p></div><article class='post'><h1>@+9@</h1><p>+2</p><p>+14</p><p>+1</p></article><div class='related'><p>@-50@</p><p>-30</p></div></form><footer><p>-140</p><p>@-3@</p></footer>",
+    "<main><h1>@+4@</h1><p>+25</p><p>@+30@</p><p>@+3@</p><p>+6</p></main><div id='comments'><p>-60</p><p>-110</p></div>",
+    # Nothing is marked: links before and after, a heading, long and short paragraphs, a notice.
+    "<div>@-1@</div><div>@-2@</div><div>@-3@</div><div>-3</div><h1>+7</h1><div>+90</div><div>+40 @+5@</div><div>+4</div><div>+60</div><div>+3</div><div>+25</div><div>@-5@</div><div>@-6@ -1</div><div>@-12@ -3</div><div>-5</div>",
+    "<div>+80</div><ul><li>@-4@<li>@-5@<li>@-6@<li>@-5@</ul><div>@-55@</div><div>+55</div><ul><li>@-7@<li>@-9@<li>@-8@</ul><div>+20</div><div>@-20@</div><div>+110</div>",
+    "<h2>+5</h2><p>+30</p><p>+18</p><p>+22 @+9@</p><p>+45</p><div>@-2@</div><div>-4</div><div>-2</div>",
+    "<p>-2</p><p>-4</p><p>-3</p><p>@-30@ -3</p><p>-1</p>", "<p>+16</p>", "<p>+70</p><p>@-60@ -4</p>", "<p>@-15@ -7</p><p>@-1@</p>", "<p>-2</p>",
+    # Layout names around main text and around other things.
+    "<div class='sidebar'><p>@-3@</p><p>+50</p><p>+45</p><p>@-2@</p></div>", "<div class='menu'><p>-12</p><p>-4</p><p>@-40@</p></div>", "<div class='widget'><p>-8</p><p>-16</p><p>@-1@</p></div>",
+    "<div class='sidebar'><p>+30</p><p>+90</p><p>+70 @+20@</p></div><div class='toolbar'>@-20@ -8</div><div class='navigation'>-10</div>",
+    "<nav><p>-45</p></nav><aside><p>-75</p></aside><footer><p>-180</p></footer><form><p>-110</p></form><div class='newsletter'><p>-30</p></div><div class='advert'><p>-90</p></div>",
 )
 #: Tags that end a block.
-BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
-)
-#: Tags around other things than the article.
-OTHER = frozenset("nav footer aside button select option fieldset dialog menu label legend".split())
-#: Words of class, id and role attributes that hint at the same; layout classes hold them too.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " comment comments disqus replies respond sidebar menu nav navbar navigation navigationmenu breadcrumb breadcrumbs pagination pager footer masthead toolbar"
-    " share sharing social related recommended newsletter subscribe subscription signup login search widget contentinfo complementary".split()
-)
-_ARTICLE_HINTS = frozenset("article post entry story main".split())
-_OUTSIDE = ("", False, False, False)
-_CLOSED_BY_SAME = frozenset("li dt dd td th tr option".split())
+BLOCK = frozenset((
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "label", "legend",
+    "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr",
+    "ul",
+))
+#: Tags of other things than the article.
+OTHER = frozenset(("nav", "footer", "aside", "button", "select", "option", "fieldset", "dialog", "menu", "label", "legend"))
+#: Words of class, id and role attributes for other things, at any place in a page.
+THINGS = frozenset((
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+    "notice", "notices", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus", "replies", "respond", "footer", "share", "sharing", "social",
+    "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "contentinfo",
+))
+#: Words for the layout, which may also name a wrapper of the article.
+LAYOUT = frozenset((
+    "sidebar", "menu", "nav", "navbar", "navigation", "navigationmenu", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "toolbar", "search", "widget", "banner", "complementary",
+))
+#: Words that may stand beside them in one class.
+BUILDING = frozenset((
+    "site", "page", "main", "box", "block", "bar", "wrap", "wrapper", "container", "section", "area", "list", "item", "items", "form", "inner", "outer", "top", "bottom",
+    "slot", "unit", "buttons", "button", "links", "link", "text", "body", "content", "title", "thread", "global", "primary", "secondary", "policy",
+))
+_ARTICLE_HINTS = frozenset(("article", "post", "entry", "story", "main"))
+_OUTSIDE = ("", False, False, False, False)
+_CLOSED_BY_SAME = frozenset(("li", "dt", "dd", "td", "th", "tr", "option"))
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|title|textarea)(?![a-z0-9-])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -90,6 +94,21 @@ _LABELS = re.compile(r"(?<![^\s/\"'])(?:(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)
 _WORD = re.compile(r"[a-z]+")
 
 
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class, id and role name other things, a part of the layout, an article, a header."""
+    things = places = articles = header = False
+    for found in _LABELS.findall(attributes):
+        for token in "".join(found).lower().split():
+            words = set(_WORD.findall(token))
+            if words & THINGS and words <= THINGS | LAYOUT | BUILDING:
+                things = True
+            elif words & LAYOUT and words <= LAYOUT | BUILDING:
+                places = True
+            articles = articles or bool(words & _ARTICLE_HINTS)
+            header = header or words == {"header"} or ("header" in words and words <= BUILDING | {"header"})
+    return things, places, articles, header
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
@@ -101,7 +120,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without markup."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag; within tags for other things, a hint of them, an article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag; within other things, a form, a layout part, an article
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     in_link, at = False, 0
@@ -111,8 +131,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 n = text.count(" ") + 1
-                _, other, hinted, article = stack[-1] if stack else _OUTSIDE
-                out.append(Block(text, n, min(1.0, len(" ".join(linked).split()) / n), -2 if other else -1 if hinted else int(article)))
+                _, other, form, layout, article = stack[-1] if stack else _OUTSIDE
+                out.append(Block(text, n, min(1.0, len(" ".join(linked).split()) / n), -2 if other or form else -1 if layout else int(article)))
         parts.clear()
         linked.clear()
 
@@ -140,37 +160,50 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            # Only what is open is looked for: each step of the search closes an element.
+            while open_tags[tag]:
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
                     break
             in_link = in_link and tag in ("p", "div")
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in _CLOSED_BY_SAME and stack and stack[-1][0] == tag:
-            stack.pop()
+        if stack and (stack[-1][0] == "p" or (tag in _CLOSED_BY_SAME and stack[-1][0] == tag)):
+            open_tags[stack.pop()[0]] -= 1
         if tag == "hr":
             continue
-        _, other, hinted, article = stack[-1] if stack else _OUTSIDE
-        labels = {w for found in _LABELS.findall(m["attributes"]) for w in _WORD.findall("".join(found).lower())} if "=" in m["attributes"] else frozenset()
-        own_header = tag == "header" or "header" in labels
-        if tag in ("article", "main") and not article:
-            hinted = False
-        other = other or tag in OTHER
-        hinted = hinted or tag == "form" or (tag not in ("html", "body", "main") and bool(labels & HINTS)) or (own_header and not article and not labels & _ARTICLE_HINTS)
-        article = article or tag in ("article", "main") or (tag in ("div", "section") and bool(labels & _ARTICLE_HINTS))
-        stack.append((tag, other, hinted, article))
+        _, other, form, layout, article = stack[-1] if stack else _OUTSIDE
+        things, places, articles, header = _marks(m["attributes"]) if "=" in m["attributes"] else (False, False, False, False)
+        inner = tag in ("article", "main")
+        if inner and not article:
+            form = layout = False  # these may be around a whole page
+        root = tag in ("html", "body")
+        other = other or tag in OTHER or (things and not root)
+        form = form or tag == "form"
+        layout = layout or (places and not root and tag != "main") or ((tag == "header" or header) and not article and not articles)
+        article = article or inner or (tag in ("div", "section") and articles)
+        stack.append((tag, other, form, layout, article))
+        open_tags[tag] += 1
     say(page[at:])
     close()
     return out
 
 
+def labelled(pages: tuple[str, ...] = LABELLED_PAGES) -> list[tuple[float, ...]]:
+    """Features of the labelled pages' blocks, then 1 for main text."""
+    rows = []
+    for page in pages:
+        linked = re.sub(r"@([^@]*)@", r"<a href=x>\1</a>", page)
+        found = blocks(re.sub(r"([+-])(\d+)", lambda m: " ".join([f"{m[1]}w"] * int(m[2])), linked))
+        rows += [(*f, float(b.text[0] == "+")) for f, b in zip(_features(found), found, strict=True)]
+    return rows
+
+
 class Tree:
     """A binary decision tree grown by Gini impurity until its leaves are pure or ``depth`` is reached."""
 
-    def __init__(self, rows: tuple[tuple[float, ...], ...] = LABELLED, depth: int = 8):
-        table = np.array(rows, dtype=float)
+    def __init__(self, rows: list[tuple[float, ...]] | None = None, depth: int = 8):
+        table = np.array(rows or labelled(), dtype=float)
         self.root = self._grow(table[:, :-1], table[:, -1], depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
@@ -198,10 +231,15 @@ class Tree:
         return node
 
 
+def _features(found: list[Block]) -> list[tuple[float, ...]]:
+    """Words and link density of each block, of the one before and the one after it (0, 0 at the ends), and its mark."""
+    sizes = [(0, 0.0), *((b.words, b.link_density) for b in found), (0, 0.0)]
+    return [(*sizes[i + 1], *sizes[i], *sizes[i + 2], b.mark) for i, b in enumerate(found)]
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
-    sizes = [(0, 0.0), *((b.words, b.link_density) for b in found), (0, 0.0)]
-    return "\n".join(b.text for i, b in enumerate(found) if tree.accepts((*sizes[i + 1], *sizes[i], *sizes[i + 2], b.mark)))
+    return "\n".join(b.text for b, f in zip(found, _features(found), strict=True) if tree.accepts(f))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -216,4 +254,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             arrays = [*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "text", "n_chars"])
 
-    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(column)).mapInArrow(apply, schema)
+    return mapped(pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`")), apply, schema)

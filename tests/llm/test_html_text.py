@@ -1,7 +1,9 @@
 import html
 import re
 
-from evidentia.llm.html_text import LABELLED, Tree, blocks, extract, main_text
+import time
+
+from evidentia.llm.html_text import Tree, blocks, extract, labelled, main_text
 
 SF = "/root/testdata/sf0.1"
 PAGES = "page_id long, url string, html string, text string"
@@ -30,14 +32,47 @@ def test_words_and_links_decide_and_marks_only_lean():
     assert main_text(wrapped, tree).split("\n") == ["Head", "Short one.", LONG]  # the inner main resets its wrapper's hint
     hinted = f'<div class="content sidebar-left"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>Popular posts</p></div>'
     assert main_text(hinted, tree).split("\n") == [LONG, LONG]
-    assert main_text(f"<form><p>{LONG}</p></form>", tree) == LONG
     links = "".join(f"<li><a href=/{i}>See story number {i} too</a></li>" for i in range(6))
-    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><p><a href=x>{LONG}</a></p><p>The end.</p></article>", tree).split("\n") == [LONG, "The end."]
+    assert main_text(f"<div><p>{LONG}</p><ul>{links}</ul><p><a href=x>{LONG}</a></p><p>{LONG}</p></div>", tree).split("\n") == [LONG, LONG]
+    menu = "".join(f"<li><a href=/{i}>tag{i}</a>" for i in range(6))
+    assert main_text(f"<article><p>{LONG}</p><ul>{menu}</ul></article>", tree) == LONG
     assert main_text(f'<article><p>{LONG}</p></article><div class="related"><p><a href=x>{LONG}</a></p></div><footer>{LONG}</footer>', tree) == LONG
     same = [tree.accepts((n, 0.0, 0, 0.0, 0, 0.0, 0)) for n in (2, 60)]  # without a mark, words tell
     assert same == [False, True] and not tree.accepts((60, 0.9, 0, 0.0, 0, 0.0, 0))
 
 
+def said(n, word="said"):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+def test_other_things_are_out_at_any_length_and_articles_are_whole():
+    tree = Tree()
+    story = "<h1>A headline of six words</h1><p>Short.</p><p>" + said(40, "story") + "</p>"
+    kept = main_text(f"<article>{story}</article>", tree)
+    assert kept.split("\n") == ["A headline of six words", "Short.", said(40, "story")]
+    for n in (3, 20, 36, 60, 80, 120, 400):
+        for other in (
+            '<section class="comments"><p>{}</p></section>', '<div id="comments"><p>{}</p></div>', '<div class="cookie-notice">{}</div>', "<footer>{}</footer>", "<aside><p>{}</p></aside>", "<form><p>{}</p></form>",
+            '<div class="advert">{}</div>', '<ol class="comment-list"><li><article class="comment-body"><p>{}</p></article></ol>', '<div class="site-footer"><p>{}</p><p>{}</p></div>', '<div class="newsletter signup-form">{}</div>',
+        ):
+            other = other.replace("{}", said(n))
+            assert main_text(f"<article>{story}</article>{other}", tree) == kept, other
+            assert main_text(f"{other}<main>{story}</main>", tree) == kept, other
+            if "<form" not in other:
+                assert main_text(f"<article>{story}{other}</article>", tree) == kept, other
+    for around in ('<article class="post ad-free">{}</article>', '<div class="layout with-sidebar"><article>{}</article></div>', '<form id="page"><article>{}</article></form>', '<div class="sidebar"><main>{}</main></div>', '<article id="no-comments" class="menu-open">{}</article>'):
+        assert main_text(around.format(story), tree) == kept, around
+    linked = f"<article><h1><a href=/x>A headline of six words</a></h1><p>Short.</p><p>{said(40, 'story')}</p><ul><li><a href=1>The first source of it</a><li><a href=2>A second source of it</a><li><a href=3>And one more of them</a></ul></article>"
+    assert main_text(linked, tree).split("\n") == [*kept.split("\n"), "The first source of it", "A second source of it", "And one more of them"]
+
+
+def test_end_tags_without_a_start_take_linear_time():
+    for hard in ("<div>" * 100_000 + "</p></h1>" * 100_000, ("</div><div></span></b></p>" * 20_000), "<p><div>" * 60_000 + "</p>" * 60_000, "<li><ul>" * 60_000 + "</li></td>" * 60_000, "<section>" * 50_000 + "x</article>" * 50_000):
+        began = time.perf_counter()
+        blocks(hard)
+        assert time.perf_counter() - began < 3, hard[:30]
+
+
 def test_long_attributes():
     tree = Tree()
     for size in (4096, 4097, 100_000):
@@ -54,8 +89,8 @@ def test_long_attributes():
 
 
 def test_tree_fits_its_table():
-    tree = Tree()
-    assert all(tree.accepts(row[:-1]) == bool(row[-1]) for row in LABELLED)
+    tree, rows = Tree(), labelled()
+    assert len(rows) > 100 and all(tree.accepts(row[:-1]) == bool(row[-1]) for row in rows)
     assert len(blocks(PAGE)) > 10
 
 
