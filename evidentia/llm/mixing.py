@@ -15,7 +15,9 @@ over. So a source misses its target by about a part of a small document.
 
 Randomness comes from hashes of ids and the seed, so reruns agree. Groups are
 dealt by a hash within the source and hold about ``GROUP`` documents, however
-large the source is; only ids and sizes are shuffled.
+large the source is; rows that repeat an id and size are counted and dealt in
+chunks of ``GROUP`` at most, so no id makes a large group. Only ids and sizes
+are shuffled.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is
 a source of its own, last in order; repeated rows are documents of their own;
@@ -39,7 +41,7 @@ WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 GROUP = 4096
 #: Fractions this close to 0 or 1 are whole.
 EPS = 1e-9
-ROWS = "doc_id long, source string, size long, part string, slot long, p double, done boolean"
+ROWS = "doc_id long, source string, size long, chunk long, part string, slot long, p double, done boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -118,13 +120,28 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     return salted.groupBy("source", "part", "slot").applyInPandas(apply, ROWS)
 
 
+def _dealt(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (doc_id, source, size) with a ``chunk`` that at most ``GROUP`` equal rows share."""
+    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP)))
+    counted = materialize(counted.withColumn("chunk", chunks), "dealt")
+    # Chunks of an often repeated row are spread before they become rows again.
+    several = counted.where("n > 1").repartition("doc_id", "chunk").withColumn("m", F.least(F.lit(GROUP), F.col("n") - F.col("chunk") * GROUP))
+    several = several.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    columns = ["doc_id", "source", "size", "chunk"]
+    return counted.where("n = 1").select(columns).unionByName(several.select(columns))
+
+
+def _slot(fan: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "size", "chunk", F.lit(seed)), F.lit(fan))
+
+
 def _tree(rows: DataFrame, most: int, seed: int) -> DataFrame:
     """Settle all but one document of each (source, part), level by level."""
     settled, level = [], 0
     while True:
         fan = max(1, -(-most // GROUP))
-        slot = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.lit(fan))
-        out = materialize(_level(rows.withColumn("slot", slot), level, seed), "mix")
+        out = materialize(_level(rows.withColumn("slot", _slot(fan, seed + level)), level, seed), "mix")
         if fan == 1:
             return _union([*settled, out])
         settled.append(out.where("done"))
@@ -142,7 +159,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, text, source)."""
     sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
     goal = materialize(targets(sizes, weights, share, most), "targets")
-    per_source = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["*"], "source_size", "target")
+    dealt = _dealt(sizes)
+    per_source = dealt.join(goal, dealt["source"].eqNullSafe(goal["source"])).select(dealt["*"], "source_size", "target")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     each = per_source.withColumn("base", F.floor(copies + EPS)).withColumn("p", F.greatest(copies - F.floor(copies + EPS), F.lit(0.0)))
 
@@ -157,7 +175,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     split = each.join(half, F.col("source").eqNullSafe(F.col("of")))
     split = split.withColumn("part", F.when(power > F.col("half"), "large").otherwise("small")).withColumn("done", F.lit(False))
-    columns = ["doc_id", "source", "size", "part", "p", "done"]
+    columns = ["doc_id", "source", "size", "chunk", "part", "p", "done"]
     trivial = (F.col("size") == 0) | (F.col("p") <= EPS)
     open_rows = split.where(~trivial)
     large = _tree(open_rows.where("part = 'large'").select(columns), largest, seed)

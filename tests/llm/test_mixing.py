@@ -71,3 +71,20 @@ def test_unbiased_over_groups(spark):
 def test_word_count(spark):
     row = spark.range(1).select(word_count(F.lit(" a\u00a0b \t c\r\nd ")).alias("n")).first()
     assert row.n == 3
+
+
+def test_repeats_of_one_row_make_no_large_group(spark):
+    from pyspark.sql import functions as F
+
+    from evidentia.llm.mixing import GROUP, _dealt, _slot
+
+    docs = spark.range(20_000).selectExpr("7L as doc_id", "'a b c' as text", "'s' as source").unionByName(spark.range(5000).selectExpr("id as doc_id", "'a b' as text", "'s' as source")).repartition(8)
+    dealt = _dealt(docs.selectExpr("doc_id", "source", "cast(3 as long) as size"))
+    assert dealt.count() == 25_000
+    groups = dealt.groupBy(_slot(7, 1)).count().agg(F.max("count")).first()[0]
+    assert groups <= 3 * GROUP and dealt.groupBy("doc_id", "chunk").count().agg(F.max("count")).first()[0] <= GROUP
+    out = mix(docs)
+    assert out.count() == 25_000
+    total, target = out.agg(F.sum("taken"), F.max("target")).first()
+    assert abs(total - target) <= 6 and out.where("taken > 2 * size").isEmpty()
+    assert sorted(map(tuple, mix(docs).select("doc_id", "taken").collect())) == sorted(map(tuple, out.select("doc_id", "taken").collect()))
