@@ -6,20 +6,24 @@ and coordinate ``j`` is the smallest ``pi`` of the places moved on by ``j``.
 Bands of four coordinates name the buckets; two sets that share a bucket are
 candidates, and every link is confirmed on the full sets.
 
-Nothing here lists all pairs of a bucket. Equal sets are one class, and in each
-bucket every class is compared with one hub. What is left to find are links
-between two members of a bucket, and these follow from how the members differ
-from their hub: with D shingles of the hub missing and A of their own added,
-sets x and y are similar enough just if their differences have
+Equal sets are one class, and in each bucket every class is compared with one
+hub. What is left to find are links between two members of a bucket, and these
+follow from how the members differ from their hub: with D shingles of the hub
+missing and A of their own added, sets x and y are similar enough just if their
+differences have
 
     (100 + p) * shared >= cost(x) + cost(y) - (100 - p) * |hub|,   cost = 100 D + p A
 
-members in common. Members near the hub meet only if they share one of their
-rarest differences, as many of these as the rule leaves to chance; in a family
-of edited copies those are the edits of each copy, so members meet that have
-edits in common. Members far from their hub choose another hub among
-themselves; those far from ``HUBS`` hubs meet by the same rule with an empty
-hub, which is prefix filtering on the rarest shingles.
+members in common. Differences that the same members hold are one unit, as those
+of one edit are. Members meet by their rarest units, as many of these as the
+rule leaves to chance; where more than ``FEW`` of different components hold the
+same one, they meet one of them and are split by the next unit that they have in
+common, and so on, until few are left or all have in common what the rule asks
+for. So a family of edited copies makes rows in proportion to its members, also
+where all are just below the threshold; at most ``FEW`` others are met through a
+row. Members far from their hub choose another hub among themselves; those far
+from ``HUBS`` hubs meet by the same rule with an empty hub, which is prefix
+filtering on the rarest shingles.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing; rows that share a ``doc_id`` count as one vertex, also
@@ -51,8 +55,10 @@ MISS = 1e-5
 HUBS = 2
 #: Members are near a hub up to this multiple of the cost that a link with the hub allows.
 NEAR = 6
-#: Rounds, before all others meet, in which the holders of a rare difference meet just one of them.
-STARS = 1
+#: Members with the same rarest units that meet in pairs; more are split by their next one.
+FEW = 32
+#: Members of like cost, up to this factor, are told what to have in common by the least cost among them.
+SPAN = 1.2
 #: Pairs, about, that meet one copy of their hub's set.
 SPREAD = 512
 _SIGMA, _PI = np.uint64(0x5851F42D4C957F2D), np.uint32(0x2545F491)
@@ -199,85 +205,89 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _prefixes(members: DataFrame, percent: int) -> DataFrame:
-    """The rarest tokens of ``members`` (hub, id, rep, comp, cost, room, linked, delta), a row each, by place.
+def _units(members: DataFrame) -> DataFrame:
+    """``members`` (hub, id, rep, comp, cost, room, linked, delta) with ``us``, their units by rarity, and ``rest``.
 
-    Tokens are the differences of a member from its hub. Those that one
-    component only holds can't be shared with another, so they
-    come first in everyone's order and are dropped; others follow by how many
-    hold them. Of what a pair needs in common, each member may leave out all but
-    one from the end of its order. Members linked to the hub need no others of
-    their kind. One that isn't linked needs
-
-    - ``long``: at least its cost beyond the room, and that again from the partner;
-    - ``small``: twice its cost less the room, if the partner's is no smaller;
-
-    and with such a partner any member needs more than its own cost (``short``).
-    ``left`` counts the tokens from this one on: no more can follow in common.
+    Tokens are the differences of a member from its hub. Those that one component only holds can't be
+    shared with another and are dropped; those with the same holders (told by two 64-bit
+    checksums of their ids) are a unit, whose weight is their number. ``rest`` has the weight of a
+    unit and all after it.
     """
     keyed = members.select("hub", "id", "comp", F.explode("delta").alias("x"))
-    held = keyed.groupBy("hub", "x").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    own = keyed.join(held.select("hub", "x", "held"), ["hub", "x"]).groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
-    whole = 100 + percent
-    beyond = F.col("cost") - F.col("room")
-    size = F.size("delta")
-    alone = size - F.size("xs")
-    long = size - F.ceil(beyond / 100) + 1 - alone
-    short = size - F.floor(F.col("cost") / whole) - alone
-    small = size - F.ceil((beyond + F.col("cost")) / whole) + 1 - alone
-    ranked = members.join(own, ["hub", "id"]).select(
-        *(c for c in members.columns if c != "delta"),
-        "xs",
-        F.when(~F.col("linked"), long).otherwise(0).cast("int").alias("long"),
-        F.when(F.col("linked"), short).otherwise(F.least(long, short)).cast("int").alias("short"),
-        F.when(F.col("linked"), short).otherwise(F.least(long, short, small)).cast("int").alias("first"),
-    )
-    many = F.greatest("first", "long", F.lit(0))
-    rows = ranked.where(many > 0).select(
-        "hub", "id", "rep", "comp", "cost", "room", "linked", "first", "short", "long", F.size("xs").alias("all"), F.posexplode(F.slice("xs", F.lit(1), many)).alias("at", "e")
-    )
-    return rows.withColumn("x", F.col("e.x")).withColumn("left", F.col("all") - F.col("at")).drop("e", "all")
-
-
-def _may_link(y: str, z: str, percent: int) -> Column:
-    """Whether enough may be in common if this is the first common token."""
-    return F.least(F.col(f"{y}left"), F.col(f"{z}left")) * (100 + percent) >= F.col(f"{y}cost") + F.col(f"{z}cost") - F.col(f"{z}room")
+    sums = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
+    held = keyed.groupBy("hub", "x").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *sums).where("lo < hi")
+    held = materialize(held.select("hub", "x", "held", "s1", "s2"), "held")
+    own = keyed.select("hub", "id", "x").join(held, ["hub", "x"]).groupBy("hub", "id", "held", "s1", "s2").agg(F.count("*").cast("int").alias("w"))
+    own = own.groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("held", "s1", "s2", "w"))).alias("us"))
+    rest = F.transform("us", lambda u, i: F.aggregate(F.slice("us", i + 1, F.size("us")), F.lit(0), lambda a, v: a + v["w"]))
+    return members.drop("delta", "comp").join(own, ["hub", "id"]).withColumn("rest", rest)
 
 
-def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Of each token's holders, the one of least cost with all those of other components."""
-    star = rows.groupBy("hub", "x").agg(F.min(F.struct("cost", "id", "rep", "comp", "left")).alias("s"))
-    met = rows.join(star, ["hub", "x"]).where((F.col("comp") != F.col("s.comp")) & _may_link("s.", "", percent))
-    return met.select("hub", "room", F.col("s.id").alias("y_id"), F.col("s.rep").alias("y_rep"), F.col("s.cost").alias("y_cost"), *(F.col(c).alias(f"z_{c}") for c in ("id", "rep", "cost"))).distinct()
+def _level(b: Column, base: Column) -> Column:
+    """Least cost of level ``b``: level 0 has all that are linked to the hub, level 1 begins beyond."""
+    return F.when(b == 0, 0.0).otherwise(base * F.pow(F.lit(SPAN), b - 1) * (1 - 1e-9))
 
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that have one of the tokens of their prefixes in common."""
+def _needs(units: DataFrame, percent: int) -> DataFrame:
+    """A row (..., own, b, need) for each level ``b`` up to its ``own``: what a member has in common with any partner, if one of the two is of level ``b`` and none below.
 
-    def side(name: str) -> DataFrame:
-        return rows.select("hub", "x", F.col("room").alias(f"{name}_room"), *(F.col(c).alias(f"{name}_{c}") for c in ("id", "rep", "comp", "cost", "linked", "at", "left", "short", "first", "long")))
-
-    y = side("y").where("y_at < y_first")
-    z = side("z").where("z_at < z_long")
-    after = F.struct("y_cost", "y_id") < F.struct("z_cost", "z_id")
-    met = y.join(z, ["hub", "x"]).where((F.col("y_comp") != F.col("z_comp")) & (F.col("y_linked") | ((F.col("z_at") < F.col("z_short")) & after)) & _may_link("y_", "z_", percent))
-    return met.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).distinct()
-
-
-def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int, stars: int = STARS) -> DataFrame:
-    """Labels after all pairs of ``members`` (with their ``comp``) that may link have met.
-
-    First each token's holders meet one of them, for ``stars`` rounds; most
-    components are one by then, and only members of different components meet
-    in the last round.
+    A pair has (cost + cost - room) / (100 + p) tokens in common, and the partner's cost is that of
+    ``b`` at least, and p for each token in common. Two members linked to the hub are in one component, so one linked to
+    it only looks for those that are not.
     """
-    tested = None
-    for turn in range(stars + 1):
-        current = members if turn == 0 else _several(_labelled(members.drop("comp"), labels), ["hub"])
-        rows = materialize(_prefixes(current, percent), "prefixes")
-        if rows.isEmpty():
-            break
-        pairs = _star_pairs(rows, percent) if turn < stars else _all_pairs(rows, percent)
+    whole, base = 100 + percent, F.greatest("room", F.lit(1))
+    own = F.when(F.col("linked") | (F.col("cost") <= F.col("room")), 0).otherwise(1 + F.floor(F.log(F.col("cost") / base) / math.log(SPAN)))
+    rows = units.withColumn("own", own.cast("int")).withColumn("b", F.explode(F.sequence(F.when(F.col("room") > 0, 0).otherwise(1), F.greatest("own", F.when(F.col("room") > 0, 0).otherwise(1)))))
+    b = F.col("b")
+    apart = F.greatest(F.ceil((F.col("cost") - F.col("room")) / 100), F.ceil((F.col("cost") + _level(b, base) - F.col("room")) / whole), F.lit(1))
+    need = F.when(F.col("own") == 0, F.floor(F.col("cost") / whole) + 1).otherwise(apart)
+    most = F.when(b == 0, F.col("room")).otherwise(_level(b + 1, base) * (1 + 1e-6)) / percent
+    return rows.withColumn("need", need.cast("int")).where((F.col("need") <= F.element_at("rest", 1)) & ((b == F.col("own")) | (F.col("need") <= most)))
+
+
+_ROW = ["hub", "b", "id", "rep", "cost", "room", "own", "need"]
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """Each row once for each next unit (from ``at`` on) after which enough may still follow; ``bound`` is what has to be reached."""
+    places = F.filter(F.sequence("at", F.size("us")), lambda j: (j < F.size("us")) & (F.coalesce(F.get("rest", j), F.lit(0)) + F.col("w") >= F.col("bound")))
+    rows = rows.withColumn("j", F.explode(places))
+    unit = F.get("us", F.col("j"))
+    return rows.select(*_ROW, F.xxhash64("key", unit["s1"], unit["s2"]).alias("key"), (F.col("j") + 1).alias("at"), (F.col("w") + unit["w"]).alias("w"), F.coalesce(F.get("rest", F.col("j") + 1), F.lit(0)).alias("left"))
+
+
+def _met(y: str, z: str, percent: int) -> Column:
+    """Of different components, and enough may be in common: what is, and what both may still have."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    return (c(y, "comp") != c(z, "comp")) & ((c(y, "w") + F.least(c(y, "left"), c(z, "left"))) * (100 + percent) >= c(y, "cost") + c(z, "cost") - c(y, "room"))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """From rows (group, n, most, lead) of mixed groups: pairs of few members, of those that have all in common that is needed, and of the others with one."""
+    group = ["hub", "b", "key"]
+    together = rows.where((F.col("n") <= FEW) | (F.col("need") <= F.col("w")))
+    side = lambda name: together.select(*group, "n", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "rep", "comp", "cost", "room", "own", "w", "left")))
+    both = side("y").join(side("z").drop("n"), group)
+    both = both.where((F.col("y_id") < F.col("z_id")) & ((F.col("y_own") == F.col("b")) | (F.col("z_own") == F.col("b"))) & _met("y_", "z_", percent))
+    star = rows.where((F.col("n") > FEW) & _met("lead.", "", percent))
+    star = star.select("hub", "room", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "rep", "cost")), *(F.col(c).alias(f"z_{c}") for c in ("id", "rep", "cost")))
+    return both.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).unionByName(star).distinct()
+
+
+def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after all ``members`` (with their ``comp``) that may link have met, or are of one component."""
+    units = materialize(_units(members), "units")
+    shape = units.select("hub", "id", "us", "rest")
+    start = _needs(units, percent).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0), "w": F.lit(0), "bound": F.col("need")})
+    rows, tested = materialize(_grown(start), "prefixes"), None
+    while not rows.isEmpty():
+        rows = materialize(_labelled(rows, labels), "labelled")
+        lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
+        beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
+        groups = rows.groupBy("hub", "b", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"), F.min(beyond).alias("next"))
+        groups = materialize(groups.where("lo < hi and lead is not null").drop("lo", "hi"), "groups")
+        mixed = materialize(rows.join(groups, ["hub", "b", "key"]), "mixed")
+        pairs = _pairs(mixed, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -286,6 +296,9 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
             labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(found))
         pairs = pairs.select("hub", "y_id", "z_id")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        # Large groups go on with the next unit; who has all it needs only with those that need more.
+        large = mixed.where((F.col("n") > FEW) & F.col("next").isNotNull()).withColumn("bound", F.greatest("need", "next"))
+        rows = materialize(_grown(large.drop("n", "lead", "next", "left", "comp").join(shape, ["hub", "id"])), "prefixes")
     return labels
 
 
@@ -356,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = met.select(F.col("y_id").alias("id"), F.col("y_rep").alias("rep"), F.col("z_id").alias("hub"), F.col("z_rep").alias("hub_rep"))
             return _compared(pairs, sets, percent).where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
 
-        labels = _resolved(materialize(members, "rest"), by_sets, labels, percent, stars=0)
+        labels = _resolved(materialize(members, "rest"), by_sets, labels, percent)
 
     # Most documents keep their own name; only the others are joined.
     moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("id").alias("set_id"), "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
