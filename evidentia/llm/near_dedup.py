@@ -55,8 +55,10 @@ MISS = 1e-5
 HUBS = 2
 #: Members are near a hub up to this multiple of the cost that a link with the hub allows.
 NEAR = 6
-#: Members with the same rarest units that meet in pairs; more are split by their next one.
-FEW = 32
+#: Members with the same units that always meet in pairs; more are split by their next one, where that makes less than one row for ``PAID`` pairs.
+FEW, PAID = 32, 4
+#: Rounds, before all others meet, in which the holders of a unit meet just one of them.
+STARS = 1
 #: Members of like cost, up to this factor, are told what to have in common by the least cost among them.
 SPAN = 1.2
 #: Pairs, about, that meet one copy of their hub's set.
@@ -253,7 +255,10 @@ def _grown(rows: DataFrame) -> DataFrame:
     places = F.filter(F.sequence("at", F.size("us")), lambda j: (j < F.size("us")) & (F.coalesce(F.get("rest", j), F.lit(0)) + F.col("w") >= F.col("bound")))
     rows = rows.withColumn("j", F.explode(places))
     unit = F.get("us", F.col("j"))
-    return rows.select(*_ROW, F.xxhash64("key", unit["s1"], unit["s2"]).alias("key"), (F.col("j") + 1).alias("at"), (F.col("w") + unit["w"]).alias("w"), F.coalesce(F.get("rest", F.col("j") + 1), F.lit(0)).alias("left"))
+    grown = rows.select(*_ROW, "rest", F.xxhash64("key", unit["s1"], unit["s2"]).alias("key"), (F.col("j") + 1).alias("at"), (F.col("w") + unit["w"]).alias("w"))
+    after = F.slice("rest", F.col("at") + 1, F.size("rest"))
+    more = F.size(F.filter(after, lambda r: r + F.col("w") >= F.col("need")))
+    return grown.select(*_ROW, "key", "at", "w", F.coalesce(F.get("rest", F.col("at")), F.lit(0)).alias("left"), more.alias("more"))
 
 
 def _met(y: str, z: str, percent: int) -> Column:
@@ -263,42 +268,59 @@ def _met(y: str, z: str, percent: int) -> Column:
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """From rows (group, n, most, lead) of mixed groups: pairs of few members, of those that have all in common that is needed, and of the others with one."""
+    """From rows of mixed groups (with ``lead`` and whether they are ``split``): pairs within groups that aren't, of members that have all in common that is needed, and of the others with one."""
     group = ["hub", "b", "key"]
-    together = rows.where((F.col("n") <= FEW) | (F.col("need") <= F.col("w")))
-    side = lambda name: together.select(*group, "n", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "rep", "comp", "cost", "room", "own", "w", "left")))
-    both = side("y").join(side("z").drop("n"), group)
+    together = rows.where(~F.col("split") | (F.col("need") <= F.col("w")))
+    side = lambda name: together.select(*group, *(F.col(c).alias(f"{name}_{c}") for c in ("id", "rep", "comp", "cost", "room", "own", "w", "left")))
+    both = side("y").join(side("z"), group)
     both = both.where((F.col("y_id") < F.col("z_id")) & ((F.col("y_own") == F.col("b")) | (F.col("z_own") == F.col("b"))) & _met("y_", "z_", percent))
-    star = rows.where((F.col("n") > FEW) & _met("lead.", "", percent))
-    star = star.select("hub", "room", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "rep", "cost")), *(F.col(c).alias(f"z_{c}") for c in ("id", "rep", "cost")))
-    return both.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).unionByName(star).distinct()
-
-
-def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int) -> DataFrame:
-    """Labels after all ``members`` (with their ``comp``) that may link have met, or are of one component."""
-    units = materialize(_units(members), "units")
-    shape = units.select("hub", "id", "us", "rest")
-    start = _needs(units, percent).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0), "w": F.lit(0), "bound": F.col("need")})
-    rows, tested = materialize(_grown(start), "prefixes"), None
-    while not rows.isEmpty():
-        rows = materialize(_labelled(rows, labels), "labelled")
-        lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
-        beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
-        groups = rows.groupBy("hub", "b", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"), F.min(beyond).alias("next"))
-        groups = materialize(groups.where("lo < hi and lead is not null").drop("lo", "hi"), "groups")
-        mixed = materialize(rows.join(groups, ["hub", "b", "key"]), "mixed")
-        pairs = _pairs(mixed, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(confirmed(pairs).distinct(), "found")
-        if not found.isEmpty():
-            labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(found))
-        pairs = pairs.select("hub", "y_id", "z_id")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # Large groups go on with the next unit; who has all it needs only with those that need more.
-        large = mixed.where((F.col("n") > FEW) & F.col("next").isNotNull()).withColumn("bound", F.greatest("need", "next"))
-        rows = materialize(_grown(large.drop("n", "lead", "next", "left", "comp").join(shape, ["hub", "id"])), "prefixes")
+    return both.select("hub", F.col("y_room").alias("room"), *(f"{n}_{c}" for n in "yz" for c in ("id", "rep", "cost"))).unionByName(_stars(rows.where("split"), percent)).distinct()
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row's member with the group's lead, the one of least cost."""
+    met = rows.where(_met("lead.", "", percent))
+    return met.select("hub", "room", *(F.col(f"lead.{c}").alias(f"y_{c}") for c in ("id", "rep", "cost")), *(F.col(c).alias(f"z_{c}") for c in ("id", "rep", "cost"))).distinct()
+
+
+def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int, stars: int = STARS) -> DataFrame:
+    """Labels after all ``members`` (with their ``comp``) that may link have met, or are of one component.
+
+    In the first ``stars`` rounds each unit's holders meet one of them; most components are one by then, and units
+    that one component only holds are dropped anew. Then groups meet in pairs or are split.
+    """
+    tested = None
+    for turn in range(stars + 1):
+        current = members if turn == 0 else materialize(_several(_labelled(members.drop("comp"), labels), ["hub"]), "members")
+        units = materialize(_units(current), "units")
+        shape = units.select("hub", "id", "us", "rest")
+        start = _needs(units, percent).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0), "w": F.lit(0), "bound": F.col("need")})
+        rows = materialize(_grown(start), "prefixes")
+        while not rows.isEmpty():
+            lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
+            beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
+            leads = F.count_if(F.col("own") == F.col("b"))
+            labelled = materialize(_labelled(rows, labels), "labelled")
+            groups = labelled.groupBy("hub", "b", "key").agg(
+                F.count("*").alias("n"), leads.alias("leads"), F.sum("more").alias("more"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"), F.min(beyond).alias("next")
+            )
+            split = (F.col("n") > FEW) & F.col("next").isNotNull() & (F.col("leads") * (F.col("n") - (F.col("leads") + 1) / 2) > PAID * F.col("more"))
+            groups = materialize(groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", split.alias("split")), "groups")
+            mixed = materialize(labelled.join(groups, ["hub", "b", "key"]), "mixed")
+            pairs = _pairs(mixed, percent) if turn == stars else _stars(mixed, percent)
+            if tested is not None:
+                pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            found = materialize(confirmed(pairs).distinct(), "found")
+            if not found.isEmpty():
+                labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(found))
+            pairs = pairs.select("hub", "y_id", "z_id")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if turn < stars:
+                break
+            # Who has all it needs goes on only with those that need more.
+            large = mixed.where("split").withColumn("bound", F.greatest("need", "next"))
+            rows = materialize(_grown(large.select(*_ROW, "key", "at", "w", "bound").join(shape, ["hub", "id"])), "prefixes")
     return labels
 
 
@@ -369,7 +391,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = met.select(F.col("y_id").alias("id"), F.col("y_rep").alias("rep"), F.col("z_id").alias("hub"), F.col("z_rep").alias("hub_rep"))
             return _compared(pairs, sets, percent).where("linked").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
 
-        labels = _resolved(materialize(members, "rest"), by_sets, labels, percent)
+        labels = _resolved(materialize(members, "rest"), by_sets, labels, percent, stars=0)
 
     # Most documents keep their own name; only the others are joined.
     moved = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("id").alias("set_id"), "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
