@@ -55,8 +55,9 @@ MISS = 1e-5
 HUBS = 2
 #: Members are near a hub up to this multiple of the cost that a link with the hub allows.
 NEAR = 6
-#: Members with the same units that always meet in pairs; more are split by their next one, where that makes less than one row for ``PAID`` pairs.
-FEW, PAID = 32, 4
+#: Members with the same units that always meet in pairs; more are split by their next one, where that makes less than one row
+#: for ``PAID`` pairs, and only while all groups together would make more than ``EACH`` pairs a member.
+FEW, PAID, EACH = 32, 4, 16
 #: Rounds, before all others meet, in which the holders of a unit meet just one of them.
 STARS = 1
 #: Members of like cost, up to this factor, are told what to have in common by the least cost among them.
@@ -295,7 +296,8 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
         units = materialize(_units(current), "units")
         shape = units.select("hub", "id", "us", "rest")
         start = _needs(units, percent).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0), "w": F.lit(0), "bound": F.col("need")})
-        rows = materialize(_grown(start), "prefixes")
+        rows, links = materialize(_grown(start), "prefixes"), None
+        enough = EACH * units.count()
         while not rows.isEmpty():
             lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
             beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
@@ -304,23 +306,27 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
             groups = labelled.groupBy("hub", "b", "key").agg(
                 F.count("*").alias("n"), leads.alias("leads"), F.sum("more").alias("more"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"), F.min(beyond).alias("next")
             )
-            split = (F.col("n") > FEW) & F.col("next").isNotNull() & (F.col("leads") * (F.col("n") - (F.col("leads") + 1) / 2) > PAID * F.col("more"))
-            groups = materialize(groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", split.alias("split")), "groups")
+            met = F.col("leads") * (F.col("n") - (F.col("leads") + 1) / 2)
+            split = (F.col("n") > FEW) & F.col("next").isNotNull() & (met > PAID * F.col("more"))
+            groups = materialize(groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", met.alias("met"), split.alias("split")), "groups")
+            if (groups.agg(F.sum("met")).first()[0] or 0) <= enough:
+                groups = groups.withColumn("split", F.lit(False))
             mixed = materialize(labelled.join(groups, ["hub", "b", "key"]), "mixed")
             pairs = _pairs(mixed, percent) if turn == stars else _stars(mixed, percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
             pairs = materialize(pairs, "pairs")
             found = materialize(confirmed(pairs).distinct(), "found")
-            if not found.isEmpty():
-                labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(found))
+            links = found if links is None else links.unionByName(found)
             pairs = pairs.select("hub", "y_id", "z_id")
             tested = pairs if tested is None else tested.unionByName(pairs)
-            if turn < stars:
+            if turn < stars or groups.where("split").isEmpty():
                 break
             # Who has all it needs goes on only with those that need more.
             large = mixed.where("split").withColumn("bound", F.greatest("need", "next"))
             rows = materialize(_grown(large.select(*_ROW, "key", "at", "w", "bound").join(shape, ["hub", "id"])), "prefixes")
+        if links is not None and not links.isEmpty():
+            labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(links))
     return labels
 
 
