@@ -223,7 +223,7 @@ def _units(members: DataFrame) -> DataFrame:
     own = keyed.select("hub", "id", "x").join(held, ["hub", "x"]).groupBy("hub", "id", "held", "s1", "s2").agg(F.count("*").cast("int").alias("w"))
     own = own.groupBy("hub", "id").agg(F.array_sort(F.collect_list(F.struct("held", "s1", "s2", "w"))).alias("us"))
     rest = F.transform("us", lambda u, i: F.aggregate(F.slice("us", i + 1, F.size("us")), F.lit(0), lambda a, v: a + v["w"]))
-    return members.drop("delta", "comp").join(own, ["hub", "id"]).withColumn("rest", rest)
+    return members.drop("delta").join(own, ["hub", "id"]).withColumn("rest", rest)
 
 
 def _level(b: Column, base: Column) -> Column:
@@ -248,7 +248,7 @@ def _needs(units: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("need", need.cast("int")).where((F.col("need") <= F.element_at("rest", 1)) & ((b == F.col("own")) | (F.col("need") <= most)))
 
 
-_ROW = ["hub", "b", "id", "rep", "cost", "room", "own", "need"]
+_ROW = ["hub", "b", "id", "rep", "comp", "cost", "room", "own", "need"]
 
 
 def _grown(rows: DataFrame) -> DataFrame:
@@ -302,16 +302,17 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
             lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
             beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
             leads = F.count_if(F.col("own") == F.col("b"))
-            labelled = materialize(_labelled(rows, labels), "labelled")
-            groups = labelled.groupBy("hub", "b", "key").agg(
+            groups = rows.groupBy("hub", "b", "key").agg(
                 F.count("*").alias("n"), leads.alias("leads"), F.sum("more").alias("more"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"), F.min(beyond).alias("next")
             )
             met = F.col("leads") * (F.col("n") - (F.col("leads") + 1) / 2)
             split = (F.col("n") > FEW) & F.col("next").isNotNull() & (met > PAID * F.col("more"))
             groups = materialize(groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", met.alias("met"), split.alias("split")), "groups")
-            if (groups.agg(F.sum("met")).first()[0] or 0) <= enough:
+            total, ends = (0, True) if turn < stars else groups.agg(F.sum("met"), ~F.coalesce(F.max("split"), F.lit(False))).first()
+            ends = ends or total <= enough
+            if ends:
                 groups = groups.withColumn("split", F.lit(False))
-            mixed = materialize(labelled.join(groups, ["hub", "b", "key"]), "mixed")
+            mixed = rows.join(groups, ["hub", "b", "key"])
             pairs = _pairs(mixed, percent) if turn == stars else _stars(mixed, percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
@@ -320,7 +321,7 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
             links = found if links is None else links.unionByName(found)
             pairs = pairs.select("hub", "y_id", "z_id")
             tested = pairs if tested is None else tested.unionByName(pairs)
-            if turn < stars or groups.where("split").isEmpty():
+            if ends:
                 break
             # Who has all it needs goes on only with those that need more.
             large = mixed.where("split").withColumn("bound", F.greatest("need", "next"))
