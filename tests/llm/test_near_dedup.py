@@ -123,3 +123,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (50, 50)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.vertex: r.comp for r in found.collect()} == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_pairs_of_a_family_below_the_threshold_grow_in_proportion(spark, monkeypatch):
+    """Copies with six edits each, drawn from few places and words: hardly any link, but all share some edits with many."""
+    from evidentia.llm import near_dedup
+
+    kept, rows = near_dedup.materialize, {}
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name == "pairs":
+            rows[n] = rows.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counting)
+    for n in (300, 1200):
+        rng = random.Random(3)
+        places = sorted(rng.sample(range(5, 115), 12))
+        texts = []
+        for i in range(n):
+            words = [f"w{j}" for j in range(120)]
+            for p in rng.sample(places, 6):
+                words[p] = f"v{rng.randrange(3)}"
+            texts.append((i, " ".join(words)))
+        near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), 3, 85).count()
+    assert rows[1200] < 6 * rows[300]  # all pairs would be sixteen times as many
