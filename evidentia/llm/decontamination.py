@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import mapped
 from .shingles import NOT_LETTERS, Words, runs
 
 #: Hash buckets of words for document frequencies and TF-IDF.
@@ -366,7 +367,7 @@ def _scan(docs: DataFrame, index: Index):
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark item, with all their columns, block after block."""
     for index in _indexes(docs, benchmark):
-        docs = docs.mapInArrow(_keep(docs, index), docs.schema)
+        docs = mapped(docs, _keep(docs, index), docs.schema)
     return docs
 
 

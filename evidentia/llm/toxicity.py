@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import mapped, materialize
 from .shingles import NOT_LETTERS, Words, runs
 
 CATEGORIES = ("junk", "toxic", "toxic_junk")
@@ -238,4 +238,4 @@ def reject(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
     def act(batch: pa.RecordBatch, p: np.ndarray) -> pa.RecordBatch:
         return batch.filter(pa.array(p[:, CATEGORIES.index("toxic")] < threshold))
 
-    return docs.mapInArrow(_per_batch(chain, act, docs.columns.index("text")), docs.schema)
+    return mapped(docs, _per_batch(chain, act, docs.columns.index("text")), docs.schema)

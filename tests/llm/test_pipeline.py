@@ -136,3 +136,12 @@ def test_chat_reads_any_template_and_odd_rows(spark):
     assert chat_format.digests(chat_format.read_back(chat_format.formatted(chat_format.segments(frame.limit(0))))).count() == 0
     with pytest.raises(ValueError):
         chat_format.Template(others=chat_format.Turn("<turn>"))
+
+
+def test_stages_pass_on_columns_with_dots(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "s", "x"), (2, text, "s", "y"), (2, text, "s", "y"), (3, "something else altogether", "s", "z")], "doc_id long, text string, source string, `a.b` string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert "a.b" in out.columns, name
+        assert {r["a.b"] for r in out.collect()} >= {"x", "z"}, name
