@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,14 +28,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Both stars shrink paths at least geometrically, so few rounds are needed.
     Each round is written to the shared folder, which bounds the plan and
-    survives lost executors. Only one row of totals reaches the driver.
+    survives lost executors. Only one row of totals reaches the driver, from the
+    write itself.
     """
     edges, before = links.where("a <> b").select("a", "b"), None
-    for turn in count():
-        edges = materialize(_small_star(_large_star(edges)), "stars")
-        if turn == 0:
-            continue  # two rounds are needed in any case
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    while True:
+        edges, now = written(_small_star(_large_star(edges)), "stars", total=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if now == before:
             break
         before = now

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, may_be_among
+from .shared import materialize, may_be_among, written
 from .shingles import mix64, runs, shingle_sets
 
 #: Coordinates in a band.
@@ -293,12 +293,16 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
     tested = None
     for turn in range(stars + 1):
         current = members if turn == 0 else materialize(_several(_labelled(members.drop("comp"), labels), ["hub"]), "members")
-        units = materialize(_units(current), "units")
+        units, held = written(_units(current), "units")
+        if not held.rows:
+            break  # no unit is held by several components
         shape = units.select("hub", "id", "us", "rest")
         start = _needs(units, percent).withColumns({"key": F.lit(0).cast("long"), "at": F.lit(0), "w": F.lit(0), "bound": F.col("need")})
-        rows, links = materialize(_grown(start), "prefixes"), None
-        enough = EACH * units.count()
-        while not rows.isEmpty():
+        links, ends = None, False
+        while not ends:
+            rows, grown = written(_grown(start), "prefixes")
+            if not grown.rows:
+                break
             lead = F.min(F.when(F.col("own") == F.col("b"), F.struct("cost", "id", "rep", "comp", "w", "left", "room")))
             beyond = F.when(F.col("need") > F.col("w"), F.col("need"))
             leads = F.count_if(F.col("own") == F.col("b"))
@@ -307,26 +311,27 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
             )
             met = F.col("leads") * (F.col("n") - (F.col("leads") + 1) / 2)
             split = (F.col("n") > FEW) & F.col("next").isNotNull() & (met > PAID * F.col("more"))
-            groups = materialize(groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", met.alias("met"), split.alias("split")), "groups")
-            total, ends = (0, True) if turn < stars else groups.agg(F.sum("met"), ~F.coalesce(F.max("split"), F.lit(False))).first()
-            ends = ends or total <= enough
-            if ends:
+            groups = groups.where("lo < hi and lead is not null").select("hub", "b", "key", "lead", "next", met.alias("met"), split.alias("split"))
+            groups, all_groups = written(groups, "groups", met=F.sum("met"), split=F.max("split"))
+            if not all_groups.rows:
+                break
+            ends = turn < stars or not all_groups.split or all_groups.met <= EACH * held.rows
+            if ends and all_groups.split:
                 groups = groups.withColumn("split", F.lit(False))
             mixed = rows.join(groups, ["hub", "b", "key"])
             pairs = _pairs(mixed, percent) if turn == stars else _stars(mixed, percent)
             if tested is not None:
                 pairs = pairs.join(tested, ["hub", "y_id", "z_id"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            found = materialize(confirmed(pairs).distinct(), "found")
-            links = found if links is None else links.unionByName(found)
+            found, linked = written(confirmed(pairs).distinct(), "found")
+            if linked.rows:
+                links = found if links is None else links.unionByName(found)
             pairs = pairs.select("hub", "y_id", "z_id")
             tested = pairs if tested is None else tested.unionByName(pairs)
-            if ends:
-                break
             # Who has all it needs goes on only with those that need more.
             large = mixed.where("split").withColumn("bound", F.greatest("need", "next"))
-            rows = materialize(_grown(large.select(*_ROW, "key", "at", "w", "bound").join(shape, ["hub", "id"])), "prefixes")
-        if links is not None and not links.isEmpty():
+            start = large.select(*_ROW, "key", "at", "w", "bound").join(shape, ["hub", "id"])
+        if links is not None:
             labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(links))
     return labels
 
@@ -363,8 +368,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         outer = met.join(compared.select("id", "hub", "cost", "room"), ["id", "hub"], "left").where(F.col("cost").isNull() | (F.col("cost") * 100 > (NEAR - 1) * percent * F.col("room")))
         far = F.max((F.col("cost").isNull() | (F.col("cost") > NEAR * F.col("room"))).cast("int"))
         left = outer.groupBy("key").agg(F.count("*").alias("members"), far.alias("far")).where("members > 1 and far = 1").select("key")
-        rows = materialize(outer.select("key", "id", "rep", "n").join(left, "key", "left_semi"), "outer")
-        if rows.isEmpty():
+        rows, others = written(outer.select("key", "id", "rep", "n").join(left, "key", "left_semi"), "outer")
+        if not others.rows:
             break
 
     # Rows with one doc_id are one vertex, whatever their texts.
@@ -387,7 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = _resolved(members, by_differences, labels, percent)
 
     # 3. Members far from all their hubs, by their shingles.
-    if not rows.isEmpty():
+    if others.rows:
         rest = materialize(_several(_labelled(rows, labels), ["key"]).select("id", "rep", "n", "comp").distinct(), "rest")
         shingles = _shingles(sets.join(rest.select("id"), "id", "left_semi"))
         cost = (F.col("n") * percent).alias("cost")

@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
 from evidentia.session import materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "mapped", "materialize", "may_be_among", "scratch_path", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "mapped", "materialize", "may_be_among", "scratch_path", "shared_dir", "table", "written"]
 
 #: Bytes, about, that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
@@ -27,6 +27,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, Row]:
+    """``materialize``, with ``rows`` and the given totals, which the write's own tasks gather.
+
+    Reading them from the table would take further jobs, and each leaves plans
+    and task records with the driver.
+    """
+    seen = Observation()
+    found = F.count(F.lit(1)).alias("rows")
+    out = materialize(df.observe(seen, found, *(c.alias(n) for n, c in totals.items())), name)
+    return out, Row(**seen.get)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Arrow batches are bounded in bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
