@@ -91,6 +91,11 @@ CITY_LIKE = ["navi mumbai", "thane", "pimpri chinchwad", "greater noida", "noida
 ADDRESS_NOISE = r"(?i)\b(road|rd|cross|main|street|st|lane|marg|highway|hwy|near|opp|opposite|behind|floor|plot|survey|sy|off)\b"
 #: Latitude from, to; longitude from, to.
 DISCOVERY_BOX = (16.9, 18.0, 77.9, 79.1)
+# Where questions to the geocoder lie, the parts of its addresses that name a locality and a city, and what a city's name ends in.
+GEOCODED_IN = ("Hyderabad", "Telangana", "India")
+ADDRESS_LOCALITY = ("suburb", "neighbourhood", "quarter", "village")
+ADDRESS_CITY = ("city", "town", "state_district", "county")
+CITY_SUFFIX = r"(?i)\s+(suburban|urban|rural|district|division)\b"
 PLACE_TERMS = ["apartment complex", "gated community", "commercial building"]
 PLACE_CATEGORIES = r"(?i)apartment|housing|condominium|residential|villa|gated|township|commercial building|business park|office building|it park|business center|tech park"
 LISTING_SITES = {"99acres": "99acres.com", "magicbricks": "magicbricks.com", "housing": "housing.com", "squareyards": "squareyards.com"}

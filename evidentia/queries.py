@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import dates, fixed, geo, money
 from .functions import text as T
 from .operators import evidence, fusion, matching, nearest, review, state
-from .sources import recorded
+from .sources import geocoded, recorded
 
 TODAY = dt.date(1996, 6, 15)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,3 +441,61 @@ def unwrap_links(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", recorded.unwrap(wrapped).alias("url"))
 
 
+GEOCODED_SQL = """with answers as (select case s_suppkey % 3 when 0 then 'Block ' || s_nationkey || ', ' || ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_suppkey % 5] || ', Telangana, India'
+            when 1 then 'Block ' || s_nationkey || ', Hyderabad, Telangana, India' else (500000 + s_suppkey % 1000) || ', India' end as query,
+        case when s_suppkey % 11 > 0 then (165 + s_suppkey % 20) / 10.0::double end as lat, (775 + s_suppkey % 17) / 10.0::double as lon, s_suppkey as seq from supplier),
+    last as (select query, arg_max({'lat': lat, 'lon': lon}, seq) as a from answers group by query),
+    places as (select c_custkey, case when c_custkey % 7 > 0 then 'Block ' || c_nationkey end as locality, case when c_custkey % 3 > 0 then c_mktsegment else ' ' end as district,
+        case when c_custkey % 5 > 0 then 500000 + c_custkey % 1000 end as pin from customer),
+    tries as (select c_custkey, 0 as nr, 'locality' as label, locality || ', ' || district || ', Telangana, India' as query from places where trim(district) <> ''
+        union all select c_custkey, 1, 'locality', locality || ', Hyderabad, Telangana, India' from places
+        union all select c_custkey, 2, 'PIN code', pin || ', India' from places)"""
+
+
+def _geocoder(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as places, suppliers as recorded answers."""
+    n, k = F.col("s_suppkey"), F.col("c_custkey")
+    block = F.concat(F.lit("Block "), "s_nationkey", F.lit(", "))
+    segments = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+    asked = F.when(n % 3 == 0, F.concat(block, F.get(segments, (n % 5).cast("int")), F.lit(", Telangana, India")))
+    asked = asked.when(n % 3 == 1, F.concat(block, F.lit("Hyderabad, Telangana, India"))).otherwise(F.concat((500000 + n % 1000).cast("string"), F.lit(", India")))
+    answers = _t(spark, sf_dir, "supplier").select(asked.alias("query"), F.when(n % 11 > 0, (165 + n % 20) / 10).alias("lat"), ((775 + n % 17) / 10).alias("lon"), n.alias("seq"))
+    places = _t(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k % 7 > 0, F.concat(F.lit("Block "), "c_nationkey")).alias("locality"), F.when(k % 3 > 0, F.col("c_mktsegment")).otherwise(" ").alias("district"), F.when(k % 5 > 0, 500000 + k % 1000).alias("pin")
+    )
+    return places, answers
+
+
+@query(f"""{GEOCODED_SQL}, hits as (select c_custkey, arg_min({{'lat': a.lat, 'lon': a.lon, 'lab': label}}, nr) as h from tries join last using (query)
+        where a.lat between 16.9 and 18.0 and a.lon between 77.9 and 79.1 group by c_custkey)
+    select c_custkey, h.lat as geo_lat, h.lon as geo_lon, h.lab as geo_by from places left join hits using (c_custkey)""")
+def geocoded_places(spark, sf_dir):
+    """Places by the first of their questions whose recorded answer lies in the region."""
+    return geocoded.geocode(*_geocoder(spark, sf_dir)).select("c_custkey", "geo_lat", "geo_lon", "geo_by")
+
+
+@query(f"""{GEOCODED_SQL}, known as (select t.*, l.query is not null as known, coalesce(l.a.lat between 16.9 and 18.0 and l.a.lon between 77.9 and 79.1, false) as hit
+        from tries t left join last l using (query) where t.query is not null)
+    select distinct query from known k where not known and not exists (select 1 from known o where o.c_custkey = k.c_custkey and o.nr < k.nr and (o.hit or not o.known))""")
+def geocode_unasked(spark, sf_dir):
+    """What a geocoder has to be asked next."""
+    return geocoded.unasked(*_geocoder(spark, sf_dir))
+
+
+@query("""with answers as (select round(((168 + s_suppkey % 15) / 10.0::double + 0.00003::double) * 10000)::bigint as y, round((778 + s_suppkey % 13) / 10.0::double * 10000)::bigint as x,
+        case when s_suppkey % 2 > 0 then s_name else 'V' || s_nationkey end as loc, case when s_suppkey % 3 > 0 then 'Zone ' || s_nationkey else 'Range' end as town, s_suppkey as seq from supplier),
+    last as (select y, x, arg_max(loc, seq) as loc, arg_max(town, seq) as town from answers group by y, x),
+    r as (select c_custkey, round((168 + c_custkey % 15) / 10.0::double * 10000)::bigint as y, round((778 + c_custkey % 13) / 10.0::double * 10000)::bigint as x,
+        case when c_custkey % 3 = 0 then c_mktsegment else '' end as locality, case when c_custkey % 4 = 0 then 'Pune' else '' end as city from customer)
+    select c_custkey, case when locality || city = '' then coalesce(loc, '') else locality end as locality, case when locality || city = '' then coalesce(town, '') else city end as city
+    from r left join last using (y, x)""")
+def named_coordinates(spark, sf_dir):
+    """Locality and city of rows that have coordinates only, from recorded addresses."""
+    n, k = F.col("s_suppkey"), F.col("c_custkey")
+    answers = _t(spark, sf_dir, "supplier").select(
+        ((168 + n % 15) / 10 + 0.00003).alias("lat"), ((778 + n % 13) / 10).alias("lon"), n.alias("seq"), F.when(n % 2 > 0, F.col("s_name")).otherwise("").alias("suburb"), F.lit(None).cast("string").alias("neighbourhood"),
+        F.lit("").alias("quarter"), F.concat(F.lit("V"), "s_nationkey").alias("village"), F.when(n % 3 > 0, F.concat(F.lit("Zone "), "s_nationkey", F.lit(" Urban"))).alias("city"),
+        F.lit("").alias("town"), F.lit("Range District").alias("state_district"), F.lit("").alias("county"),
+    )
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", ((168 + k % 15) / 10).alias("lat"), ((778 + k % 13) / 10).alias("lon"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("locality"), F.when(k % 4 == 0, "Pune").otherwise("").alias("city"))
+    return geocoded.reverse_geocode(rows, answers).select("c_custkey", "locality", "city")
