@@ -216,3 +216,6 @@ LISTING_ONE = rf"(?i)(?:₹|rs\.?|inr)\s*(\d+(?:\.\d+)?)\s*{LISTING_UNIT}\b"
 LISTING_SQFT = r"(?i)(?:₹|rs\.?|inr)\s*([\d,]{3,7})\s*(?:/|per)\s*sq\.?\s*ft"
 #: Characters before an amount in which the project's name has to stand, and around the name that are compared with it.
 NAME_BEFORE, NAME_AROUND = 220, 45
+# A builder's name after "by" in a title, and what is a date there instead.
+TITLE_BUILDER = r"\bby\s+([A-Z][\w&.'\- ]{2,40}?)(?=\s*(?:[|\-,:(]|in\b|at\b|$))"
+TITLE_DATE = r"(?i)^(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(?:\s|$)|\d)"

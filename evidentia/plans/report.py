@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import compare_dates, sheet_date
@@ -66,3 +67,29 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_tabs(tabs: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Each table as CSV in a folder of its own below ``path``, named by its tab; gives the folders.
+
+    Letters, digits, dots, dashes and underscores of a name stay, all else becomes an
+    underscore; two tabs of one folder are an error. An empty table leaves its header.
+    """
+    folders = {name: f"{path.rstrip('/')}/{re.sub(r'[^A-Za-z0-9._-]+', '_', name).strip('_')}" for name in tabs}
+    if len({f.lower() for f in folders.values()}) < len(tabs):
+        raise ValueError(f"tabs share a folder: {sorted(tabs)}")
+    for name, df in tabs.items():
+        write_csv(df, folders[name])
+    return folders
+
+
+def table_counts(tables: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """``Metric, Value`` rows: the rows of each table, and of those that meet each named condition (null: not met)."""
+    out = None
+    for name, (df, conditions) in tables.items():
+        counts = {name: F.count("*"), **{f"{name}: {k}": F.count_if(F.coalesce(c, F.lit(False))) for k, c in conditions.items()}}
+        one = df.agg(*(c.alias(k) for k, c in counts.items())).unpivot([], [F.col(f"`{k}`") for k in counts], "Metric", "Value")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no tables")
+    return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import dates, fixed, geo, money
 from .functions import text as T
 from .operators import evidence, fusion, matching, nearest, review, state
+from .plans import report
 from .sources import geocoded, recorded
 
 TODAY = dt.date(1996, 6, 15)
@@ -499,3 +500,30 @@ def named_coordinates(spark, sf_dir):
     )
     rows = _t(spark, sf_dir, "customer").select("c_custkey", ((168 + k % 15) / 10).alias("lat"), ((778 + k % 13) / 10).alias("lon"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("locality"), F.when(k % 4 == 0, "Pune").otherwise("").alias("city"))
     return geocoded.reverse_geocode(rows, answers).select("c_custkey", "locality", "city")
+
+
+@query("""with r as (select o_custkey as gkey, o_orderkey as seq, o_orderkey % 4 > 0 and o_orderkey % 5 > 0 as counted,
+        case when o_orderstatus <> 'P' then upper(substr(p, 1, 1)) || lower(substr(p, 2)) else '' end as builder, case when o_orderkey % 3 = 0 then 'P0' || lpad(o_orderkey::varchar, 10, '0') else '' end as rera_no
+        from (select *, split_part(replace(o_orderpriority, ' ', '-'), '-', 2) as p from orders))
+    select gkey, coalesce(arg_min(builder, seq) filter (counted and length(builder) > 2), '') as builder, coalesce(arg_min(rera_no, seq) filter (counted and rera_no <> ''), '') as rera_no from r group by gkey""")
+def web_names(spark, sf_dir):
+    """Each customer's orders as web results about one entity: first builder and first register number."""
+    n = F.col("o_orderkey")
+    builder = F.initcap(F.split_part(F.replace("o_orderpriority", F.lit(" "), F.lit("-")), F.lit("-"), F.lit(2)))
+    by = F.when(F.col("o_orderstatus") == "P", "May 2025").otherwise(builder)
+    results = _t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("gkey"), n.alias("seq"),
+        F.when(n % 5 == 0, "https://own.example/p").otherwise("https://site.example/p").alias("url"),
+        F.concat(F.when(n % 4 == 0, "Quartz Towers").otherwise("Aurelia Heights"), F.lit(" by "), by, F.lit(" in Kokapet")).alias("title"),
+        F.when(n % 3 == 0, F.concat(F.lit("Register number P0"), F.lpad(n.cast("string"), 10, "0"))).alias("snippet"),
+    )
+    m = T.matcher(F.lit("Aurelia Heights"), F.lit("Kokapet"), F.lit("Hyderabad"), F.array().cast("array<string>"))
+    return evidence.web_names(results.withColumn("m", m), own=("own.example",))
+
+
+@query("""select 'customer' as "Metric", count(*) as "Value" from customer union all select 'customer: in debt', count(*) from customer where c_acctbal < 0
+    union all select 'orders', count(*) from orders union all select 'orders: open', count(*) from orders where o_orderstatus = 'O' union all select 'orders: large', count(*) from orders where o_totalprice > 200000""")
+def table_counts(spark, sf_dir):
+    """Rows of tables, and of those that meet conditions."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    return report.table_counts({"customer": (c, {"in debt": F.col("c_acctbal") < 0}), "orders": (o, {"open": F.col("o_orderstatus") == "O", "large": F.col("o_totalprice") > 200000})})
