@@ -321,14 +321,14 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def payload_digest(payload: str) -> Column:
-    """Upper-case base 32 of the SHA-1: five hex digits are four letters."""
-    hexed = F.sha1(payload)
+    """Upper-case base 32 of the SHA-1: five hex digits are four letters. The payload is digested once a row."""
+    groups = F.regexp_extract_all(F.sha1(payload), F.lit("(.{5})"), F.lit(1))
+    bits = F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int"))
 
-    def four(group: Column) -> Column:
-        bits = F.conv(F.substring(hexed, group * 5 + 1, 5), 16, 10).cast("int")
-        return F.concat(*(F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, 1) for s in (15, 10, 5, 0)))
+    def four(b: Column) -> Column:
+        return F.concat(*(F.substring(F.lit(_BASE32), F.shiftright(b, s).bitwiseAND(31) + 1, 1) for s in (15, 10, 5, 0)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    return F.array_join(F.transform(bits, four), "")
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
