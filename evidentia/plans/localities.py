@@ -7,15 +7,18 @@ one before go. A round decides all names that depend on decided ones only, so th
 rounds as the longest chain of names that depend on each other, and no list passes through the driver.
 
 Like names meet by keys instead of in pairs. If a share of ``ALIKE`` of two names' characters lies in
-common blocks, k = (1 - ALIKE) * (both lengths) insertions and deletions at most turn one into the other;
-each touches one part of the first name at most, so of its k + 1 parts one stands in
-the other, at most k places off. A name that holds another holds its first characters.
+common blocks, the names have a common subsequence of M = ALIKE * (both lengths) / 2 characters: names of less
+than ``LONG`` characters wait under all their subsequences of the lengths that count, so hardly any meet but like
+ones. For longer names those are too many: k = (1 - ALIKE) * (both lengths) insertions and deletions at most
+turn one into the other, each touches one part of the first name at most, so of its k + 1 parts one stands in the other,
+at most k places off. A name that holds another has it among its substrings. Names that are taken anyway don't meet.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -30,6 +33,8 @@ from ..session import materialize
 
 #: Share of characters in common blocks, and the shortest new name that may hold another or be held.
 ALIKE, HELD = 0.85, 6
+#: Length from which names meet by parts; there are up to 5,000 subsequences of a shorter name.
+LONG = 20
 
 
 def _edits(a: int, b: int) -> int:
@@ -47,19 +52,35 @@ def _parts(n: int, many: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def own_keys(name: str) -> set[str]:
-    """Keys under which a name waits."""
-    keys = {f"c{name[:HELD]}"}
-    for other in _partners(len(name)):
+def _common(a: int, b: int) -> int:
+    """Length of the common subsequence that like names of these lengths have at least."""
+    return math.ceil(ALIKE / 2 * (a + b) - 1e-9)
+
+
+def same_keys(name: str) -> set[str]:
+    """Subsequences under which like names meet, if both are shorter than ``LONG``."""
+    n = len(name)
+    sizes = {_common(n, other) for other in _partners(n) if other < LONG} if n < LONG else set()
+    return {"".join(c) for size in sizes if size <= n for c in combinations(name, size)}
+
+
+def _long_partners(n: int) -> list[int]:
+    return [other for other in _partners(n) if max(n, other) >= LONG]
+
+
+def part_keys(name: str) -> set[str]:
+    """Parts of a name for partners of which one is ``LONG``."""
+    keys = set()
+    for other in _long_partners(len(name)):
         for i, (at, size) in enumerate(_parts(len(name), _edits(len(name), other) + 1)):
             keys.add(f"{len(name)}.{other}.{i}.{name[at : at + size]}")
     return keys
 
 
-def asked_keys(name: str) -> set[str]:
-    """Keys that a name asks for; of two like names each asks for one of the other's."""
-    keys = {f"c{name[i : i + n]}" for n in range(1, HELD + 1) for i in range(len(name) - n + 1)}
-    for other in _partners(len(name)):
+def asked_part_keys(name: str) -> set[str]:
+    """Parts of such partners that may stand in ``name``."""
+    keys = set()
+    for other in _long_partners(len(name)):
         k = _edits(other, len(name))
         for i, (at, size) in enumerate(_parts(other, k + 1)):
             for begin in range(max(0, at - k), min(len(name) - size, at + k) + 1):
@@ -67,16 +88,34 @@ def asked_keys(name: str) -> set[str]:
     return keys
 
 
-def _keyed(names: DataFrame) -> DataFrame:
-    """(seq, name, own, asked)."""
+def _substrings(name: str) -> set[str]:
+    return {name[a:b] for a in range(len(name)) for b in range(a + 1, len(name) + 1)}
+
+
+def own_keys(name: str) -> set[str]:
+    """Keys under which a name waits."""
+    return {f"c{name}"} | {f"s{k}" for k in same_keys(name)} | part_keys(name)
+
+
+def asked_keys(name: str) -> set[str]:
+    """Keys that a name asks for; of two like names each asks for one of the other's, but the shorter one that is held."""
+    return {f"c{k}" for k in _substrings(name)} | {f"s{k}" for k in same_keys(name)} | asked_part_keys(name)
+
+
+def _keyed(names: DataFrame, keys: Callable[[str], set[str]]) -> DataFrame:
+    """(seq, free, len, key, size): a row for each key of each name, with the key's length; the key is a hash."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lists = [pa.array([sorted(f(t)) for t in texts], pa.list_(pa.string())) for f in (own_keys, asked_keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["seq", "name", "own", "asked"])
+            # A name has thousands of keys.
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = pa.array([list(keys(t)) for t in part.column(2).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), found], names=["seq", "free", "name", "keys"])
 
-    return names.select("seq", "name").mapInArrow(apply, "seq long, name string, own array<string>, asked array<string>")
+    rows = names.select("seq", "free", "name").mapInArrow(apply, "seq long, free boolean, name string, keys array<string>")
+    rows = rows.select("seq", "free", F.length("name").cast("short").alias("len"), F.explode("keys").alias("key"))
+    return rows.select("seq", "free", "len", F.xxhash64("key").alias("key"), F.length("key").cast("short").alias("size"))
 
 
 @F.pandas_udf(BooleanType())
@@ -91,13 +130,29 @@ def _alike(new: pd.Series, old: pd.Series) -> pd.Series:
 
 
 def like_before(names: DataFrame) -> DataFrame:
-    """(seq, before): for each of ``names`` (seq, name; both unique) the earlier ones that it is alike to."""
-    keyed = materialize(_keyed(names), "keyed-names")
-    own = keyed.select(F.col("seq").alias("s1"), F.col("name").alias("n1"), F.explode("own").alias("key"))
-    asked = keyed.select(F.col("seq").alias("s2"), F.col("name").alias("n2"), F.explode("asked").alias("key"))
-    met = own.join(asked, "key").where("s1 <> s2").select(F.least("s1", "s2").alias("before"), F.greatest("s1", "s2").alias("seq"), F.when(F.col("s1") < F.col("s2"), F.struct(F.col("n2").alias("new"), F.col("n1").alias("old"))).otherwise(F.struct(F.col("n1").alias("new"), F.col("n2").alias("old"))).alias("p"))
-    pairs = met.groupBy("seq", "before").agg(F.first("p").alias("p"))
-    return pairs.where(_alike("p.new", "p.old")).select("seq", "before")
+    """(seq, before): for each of ``names`` (seq, name; both unique) the earlier ones that it is alike to.
+
+    Those of the ``free`` ones are left out where ``names`` says which these are.
+    """
+    if "free" not in names.columns:
+        names = names.withColumn("free", F.lit(False))
+    rows = names.select("seq", "free", "name")
+    side = lambda df, i: df.select(F.col("seq").alias(f"s{i}"), F.col("free").alias(f"f{i}"), F.col("len").alias(f"l{i}"), "key", F.col("size").alias(f"z{i}"))
+    later = F.when(F.col("s1") < F.col("s2"), F.col("f2")).otherwise(F.col("f1"))
+    pair = lambda met: met.select(F.greatest("s1", "s2").alias("seq"), F.least("s1", "s2").alias("before")).distinct()
+    # A key counts only at the length that the two names' lengths ask for.
+    short = _keyed(rows.where(F.length("name") < LONG), same_keys)
+    met = side(short.where("not free"), 2).join(side(short, 1).hint("merge"), "key").where("s1 < s2").where(F.col("z1") == F.ceil(F.lit(ALIKE / 2) * (F.col("l1") + F.col("l2")) - 1e-9))
+    pairs = pair(met)
+    # The later one of a name and one that it holds must not be short.
+    held = side(_keyed(rows, lambda t: {t}), 1).join(side(_keyed(rows, _substrings), 2).hint("merge"), "key").where("s1 <> s2").where(~later)
+    held = held.where(F.when(F.col("s1") < F.col("s2"), F.col("l2")).otherwise(F.col("l1")) >= HELD)
+    longer = rows.where(F.length("name") > min(n for n in range(1, LONG) if _long_partners(n)) - 1)
+    parts = side(_keyed(longer, part_keys), 1).join(side(_keyed(longer, asked_part_keys), 2).hint("merge"), "key").where("s1 <> s2").where(~later)
+    pairs = materialize(pairs.unionByName(pair(held)).unionByName(pair(parts)).distinct(), "met-names")
+    by = lambda key, name: rows.select(F.col("seq").alias(key), F.col("name").alias(name))
+    pairs = pairs.join(by("seq", "new"), "seq").join(by("before", "old"), "before")
+    return pairs.where(_alike("new", "old")).select("seq", "before")
 
 
 def first_independent(rows: DataFrame, edges: DataFrame, free: Column) -> DataFrame:
@@ -136,5 +191,5 @@ def localities(known: DataFrame, register: DataFrame) -> DataFrame:
     span = {r.from_known: (r.lo, r.hi) for r in low}
     shift = span[True][1] - span[False][0] + 1 if len(span) == 2 else 0
     both = materialize(both.withColumn("seq", (F.col("seq") + F.when(F.col("from_known"), 0).otherwise(shift)).cast("long")), "names")
-    edges = like_before(both.select("seq", F.col("key").alias("name")))
+    edges = like_before(both.select("seq", F.col("from_known").alias("free"), F.col("key").alias("name")))
     return first_independent(both, edges, F.col("from_known")).select("seq", "name", "from_known")

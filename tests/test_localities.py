@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 from evidentia.functions import fixed
@@ -75,3 +76,12 @@ def test_empty_tables(spark):
     assert localities(none, none).count() == 0
     assert [tuple(r) for r in localities(none, some).collect()] == [(1, "Madhapur-East", False)]
     assert [r.name for r in localities(some, none).collect()] == ["MADHAPUR-EAST"]
+
+
+def test_few_names_meet_but_like_ones():
+    """Names of 8 to 12 letters from few syllables: hardly any are alike, though all share pairs of letters."""
+    rng = random.Random(5)
+    found = sorted({"".join(rng.choice(["an", "er", "in", "th", "ou", "st", "le", "de"]) for _ in range(rng.randrange(4, 7))) for _ in range(3000)})
+    own, asked = Counter(k for n in found for k in own_keys(n)), Counter(k for n in found for k in asked_keys(n))
+    meetings = sum(many * asked[k] for k, many in own.items()) - sum(len(own_keys(n) & asked_keys(n)) for n in found)
+    assert meetings < 60 * len(found)
