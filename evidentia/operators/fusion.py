@@ -107,8 +107,9 @@ def date_fusion(cands: DataFrame, today: dt.date) -> DataFrame:
         F.when(F.col("trusted_domains") == 0, "Low").when((F.col("confidence") >= 0.55) & sure, "High").when(F.col("confidence") >= 0.3, "Medium").otherwise("Low")
     )
     later = F.col("top.year") * 12 + F.coalesce("top.month", F.lit(12)) > today.year * 12 + today.month
+    # Only what the register's date needs is shuffled with it.
     register = (
-        best_per_url(cands.where("is_rera"))
+        best_per_url(cands.where("is_rera").select("gkey", "url", "year", "month", "precision", "score", "seq"))
         .groupBy("gkey")
         .agg(F.max_by(F.struct("year", "month", "precision"), F.struct("score", F.col("month").isNotNull().alias("dated"), (-F.col("seq")).alias("first"))).alias("r"))
         .select("gkey", display(F.col("r.year"), F.col("r.month"), F.col("r.precision")).alias("rera_date"))

@@ -239,3 +239,10 @@ def test_copies_of_names_in_reach_are_compared_once(spark, monkeypatch):
     got = matching.best_in_radius(left, right, "k", "name", "rk", "r_name", 25.0, 0.5, True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 30
     assert seen[0] < 40
+
+
+def test_register_dates_carry_no_other_columns(spark, monkeypatch):
+    seen, plain = [], fusion.best_per_url
+    monkeypatch.setattr(fusion, "best_per_url", lambda c: seen.append(c.columns) or plain(c))
+    fusion.date_fusion(spark.createDataFrame([], CANDIDATES), dt.date(2025, 6, 15))
+    assert sorted(seen[-1]) == ["gkey", "month", "precision", "score", "seq", "url", "year"]
