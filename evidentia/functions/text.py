@@ -57,24 +57,26 @@ def on_domain(h: Column, domains) -> Column:
 
 def tier(url: Column, anchor: Column | None = None) -> Column:
     """How far a site is trusted: blocked, official, rera-mirror, portal, project-site or other."""
-    h = host(url)
-    found = F.when(on_domain(h, fixed.BLOCKED_HOSTS), "blocked")
-    found = found.when(h.endswith(".gov.in") | h.endswith(".nic.in") | on_domain(h, fixed.OFFICIAL_HOSTS), "official")
-    found = found.when(h.contains("rera"), "rera-mirror").when(on_domain(h, fixed.TRUSTED_PORTALS), "portal")
-    if anchor is not None:
-        found = found.when((F.length(anchor) >= 6) & F.contains(F.regexp_replace(h, "[-.]", ""), anchor), "project-site")
-    return found.otherwise("other")
+
+    def of(h: Column) -> Column:
+        found = F.when(on_domain(h, fixed.BLOCKED_HOSTS), "blocked")
+        found = found.when(h.endswith(".gov.in") | h.endswith(".nic.in") | on_domain(h, fixed.OFFICIAL_HOSTS), "official")
+        found = found.when(h.contains("rera"), "rera-mirror").when(on_domain(h, fixed.TRUSTED_PORTALS), "portal")
+        if anchor is not None:
+            found = found.when((F.length(anchor) >= 6) & F.contains(F.regexp_replace(h, "[-.]", ""), anchor), "project-site")
+        return found.otherwise("other")
+
+    return let(host(url), of)
 
 
 def domain_weight(url: Column) -> Column:
-    h = host(url)
-    known = F.regexp_extract(h, r"(?:^|\.)(" + "|".join(map(re.escape, fixed.DOMAIN_WEIGHT)) + r")\z", 1)
+    known = F.regexp_extract(host(url), r"(?:^|\.)(" + "|".join(map(re.escape, fixed.DOMAIN_WEIGHT)) + r")\z", 1)
     weights = F.create_map(*(F.lit(x) for pair in fixed.DOMAIN_WEIGHT.items() for x in pair))
-    t = tier(url)
-    return (
-        F.when(t == "official", fixed.OFFICIAL_WEIGHT)
+    return let(
+        tier(url),
+        lambda t: F.when(t == "official", fixed.OFFICIAL_WEIGHT)
         .when(t == "rera-mirror", fixed.MIRROR_WEIGHT)
-        .otherwise(F.coalesce(F.try_element_at(weights, known), F.lit(fixed.DEFAULT_WEIGHT)))
+        .otherwise(F.coalesce(F.try_element_at(weights, known), F.lit(fixed.DEFAULT_WEIGHT))),
     )
 
 

@@ -54,3 +54,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """Rows dealt over the session's shuffle partitions.
+
+    For narrow rows with much work to do: a table of few bytes is read by few
+    tasks, however many rows it has, and all of the work would be theirs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """``evenly``, as a written table: else filters of the work to come would move below the shuffle."""
+    return materialize(evenly(df), name)

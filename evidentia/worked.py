@@ -17,6 +17,7 @@ from .functions import text as T
 from .operators import evidence, fusion, review, state
 from .plans import discovery, enrich, report
 from .queries import _MON, _sql_norm, _t, candidates, query
+from .session import spread
 from .sources import recorded, sheet
 
 TODAY = dt.date(2025, 6, 15)
@@ -121,9 +122,10 @@ def reject_reasons(spark, sf_dir):
 
 
 def _results(dealt: DataFrame, key: str, snippet: Column) -> DataFrame:
-    """One search result on a trusted portal for each row, about the row's project."""
+    """One search result on a trusted portal for each row, about the row's project; the project's matcher is worked out once, as a table of one row."""
     url = F.concat(F.lit("https://housing.com/in/buy/projects/page/"), F.col(key).cast("string"), F.lit("-green-valley"))
-    return dealt.select(F.col(key).alias("gkey"), url.alias("url"), F.lit("Green Valley Kokapet Hyderabad").alias("title"), snippet.alias("snippet"), F.col(key).alias("seq"), _green_valley().alias("m"))
+    entity = dealt.sparkSession.range(1).select(_green_valley().alias("m"))
+    return dealt.select(F.col(key).alias("gkey"), url.alias("url"), F.lit("Green Valley Kokapet Hyderabad").alias("title"), snippet.alias("snippet"), F.col(key).alias("seq")).join(F.broadcast(entity))
 
 
 DATED = Cases(
@@ -142,7 +144,7 @@ DATED = Cases(
 @query(f"""select c_custkey as gkey, kind, 2015 + c_custkey % 10 as year, month::bigint as month, precision, score::double as score, is_rera, true as trusted, 'housing.com' as domain
     from customer join {DATED.sql("c_custkey")} where kind is not null""")
 def snippet_facts(spark, sf_dir):
-    dealt = DATED.deal(spark, _t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    dealt = DATED.deal(spark, spread(_t(spark, sf_dir, "customer").select("c_custkey"), "customers"), "c_custkey")
     found = evidence.snippet_dates(evidence.matched_snippets(_results(dealt, "c_custkey", _filled("said", 2015 + F.col("c_custkey") % 10))), TODAY)
     return found.select("gkey", "kind", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "precision", F.round("score", 4).alias("score"), "is_rera", "trusted", "domain")
 
