@@ -166,7 +166,7 @@ AMOUNTS = Cases(
 @query(f"""with a as (select c_custkey as gkey, kind, lakhs * (60 + c_custkey % 40) as lo, high, case when per_sqft > 0 then per_sqft + 60 + c_custkey % 40 else 0 end as per from customer join {AMOUNTS.sql("c_custkey")})
     select gkey, kind, (lo * 100000)::double as lo, (coalesce(high, lo) * 100000)::double as hi, per::bigint as per_sqft from a where kind is not null""")
 def snippet_prices(spark, sf_dir):
-    dealt = AMOUNTS.deal(spark, _t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    dealt = AMOUNTS.deal(spark, spread(_t(spark, sf_dir, "customer").select("c_custkey"), "customers"), "c_custkey")
     found = evidence.prices(evidence.matched_snippets(_results(dealt, "c_custkey", _filled("said", 60 + F.col("c_custkey") % 40))), False)
     return found.select("gkey", "kind", "lo", "hi", F.col("per_sqft").cast("long").alias("per_sqft"))
 
