@@ -17,7 +17,7 @@ from .functions import text as T
 from .operators import evidence, fusion, review, state
 from .plans import discovery, enrich, report
 from .queries import _MON, _sql_norm, _t, candidates, query
-from .session import spread
+from .session import materialize, spread
 from .sources import recorded, sheet
 
 TODAY = dt.date(2025, 6, 15)
@@ -179,10 +179,11 @@ CHANGED = Cases("said", "first", [("Original Completion Date: 31-12-2024", "Dec
         case when first is null then 'No - revised date same as original' else 'Yes - extended Dec 2024 -> Jun ' || y end as extension_found from r""")
 def registry_pairs(spark, sf_dir):
     year = 2025 + F.col("c_custkey") % 8
-    dealt = CHANGED.deal(spark, _t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    dealt = CHANGED.deal(spark, spread(_t(spark, sf_dir, "customer").select("c_custkey"), "customers"), "c_custkey")
     revised = F.when(F.col("said") != "Sold out.", F.concat(F.lit(" Revised Proposed Date of Completion: 30/06/"), year.cast("string"))).otherwise("")
-    found = evidence.matched_snippets(_results(dealt, "c_custkey", F.concat(F.lit("RERA P02400001234. "), _filled("said", year), revised)))
-    out = fusion.registry_summary(evidence.snippet_dates(found, TODAY), evidence.register_pairs(found, TODAY), TODAY)
+    found = materialize(evidence.matched_snippets(_results(dealt, "c_custkey", F.concat(F.lit("RERA P02400001234. "), _filled("said", year), revised))), "snippets")
+    dates = materialize(evidence.snippet_dates(found, TODAY), "dates")
+    out = fusion.registry_summary(dates, evidence.register_pairs(found, TODAY), TODAY)
     return out.select("gkey", "rera_orig_display", "rera_current_iso", "rera_current_display", "extension_found")
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from evidentia import worked
 from evidentia.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +11,13 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["snippet_facts", "snippet_prices"])
 def test_rows_of_one_file_are_dealt_to_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_register_dates_and_pairs_read_snippets_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(worked, "materialize", lambda df, name, write=worked.materialize: names.append((name, df.rdd.getNumPartitions())) or write(df, name), raising=False)
+    read = []
+    monkeypatch.setattr(worked.evidence, "register_pairs", lambda found, *a, by=worked.evidence.register_pairs: read.append(found) or by(found, *a))
+    QUERIES["registry_pairs"](spark, SF)
+    assert [n for n, _ in names] == ["snippets", "dates"] and names[0][1] > 1
+    assert "regexp" not in read[0]._jdf.queryExecution().optimizedPlan().toString().lower()  # a written table, not the work itself
