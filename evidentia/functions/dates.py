@@ -50,6 +50,11 @@ def _patterns(today: dt.date) -> list[tuple[str, str, int, str]]:
 
 def placed_date(s: Column, today: dt.date) -> Column:
     """The first date in ``s`` with its place: earliest start, then finest precision; a bare year only if nothing else is there."""
+    # Every form has a year of two digits at least.
+    return let(s, lambda s: F.when(s.rlike("[0-9]{2}"), _placed_date(s, today)))
+
+
+def _placed_date(s: Column, today: dt.date) -> Column:
     found = []
     for precision, rx, year_group, kind in _patterns(today):
         part = lambda g: F.regexp_extract(s, rx, g)  # noqa: B023, E731
@@ -67,8 +72,8 @@ def placed_date(s: Column, today: dt.date) -> Column:
             month = F.lit(None).cast("int")
         name = F.when(part(3) != "", "day").otherwise("month") if precision == "ymd" else F.lit(precision)
         rank = F.array_position(F.array(*map(F.lit, PRECISIONS)), name).cast("int")
-        start = F.regexp_instr(s, F.lit(rx)) - 1
-        found.append(F.when(start >= 0, F.struct(start.alias("start"), rank.alias("rank"), year.alias("year"), month.alias("month"), name.alias("precision")).cast(PLACED_TYPE)))
+        read = lambda start: F.when(start >= 0, F.struct(start.alias("start"), rank.alias("rank"), year.alias("year"), month.alias("month"), name.alias("precision")).cast(PLACED_TYPE))  # noqa: B023, E731
+        found.append(let(F.regexp_instr(s, F.lit(rx)) - 1, read))
     return F.coalesce(F.array_min(F.filter(F.array(*found[:-1]), lambda d: d.isNotNull())), found[-1])
 
 
@@ -91,26 +96,24 @@ def keyword_hits(text: Column, today: dt.date) -> Column:
     """
     every = r"(?i)\b(?:" + "|".join(p for _, _, p in fixed.DATE_KEYWORDS) + r")\b"
 
-    def kind_of(m: Column) -> tuple[Column, Column]:
-        kind = weight = None
-        for k, w, p in fixed.DATE_KEYWORDS:
-            is_k = m.rlike(rf"(?i)^(?:{p})$")
-            kind = F.when(is_k, k) if kind is None else kind.when(is_k, k)
-            weight = F.when(is_k, w) if weight is None else weight.when(is_k, w)
-        return kind, weight
-
-    def one(o: Column) -> Column:
-        end = o["pos"] + F.length(o["match"])
-        window = F.regexp_replace(between(text, end, end + fixed.WINDOW), "(?is)(?:" + fixed.STOP_PATTERN + ").*$", "")
-        return F.struct(o["pos"].alias("pos"), o["match"].alias("match"), placed_date(window, today).alias("d"))
-
-    def shown(h: Column) -> Column:
-        kind, weight = kind_of(h["match"])
-        context = squeeze(between(text, h["pos"] - 50, h["pos"] + F.length(h["match"]) + h["d"]["start"] + 25))
-        return F.struct(kind.alias("kind"), weight.alias("weight"), h["pos"].alias("pos"), h["d"]["year"].alias("year"), h["d"]["month"].alias("month"), h["d"]["precision"].alias("precision"), context.alias("context"))
-
-    hits = F.transform(occurrences(text, every), one)
-    return F.transform(F.filter(hits, lambda h: h["d"].isNotNull() & ~((h["d"]["precision"] == "year") & (h["d"]["start"] > 25))), shown)
+    def kind_of(m: Column) -> Column:
+        return F.coalesce(*(F.when(m.rlike(rf"(?i)^(?:{p})$"), F.struct(F.lit(k).alias("kind"), F.lit(w).alias("weight"))) for k, w, p in fixed.DATE_KEYWORDS))
+
+    def in_text(text: Column) -> Column:
+        def one(o: Column) -> Column:
+            end = o["pos"] + F.length(o["match"])
+            window = F.regexp_replace(between(text, end, end + fixed.WINDOW), "(?is)(?:" + fixed.STOP_PATTERN + ").*$", "")
+            return F.struct(o["pos"].alias("pos"), o["match"].alias("match"), placed_date(window, today).alias("d"))
+
+        def shown(h: Column) -> Column:
+            context = squeeze(between(text, h["pos"] - 50, h["pos"] + F.length(h["match"]) + h["d"]["start"] + 25))
+            row = lambda k: F.struct(k["kind"].alias("kind"), k["weight"].alias("weight"), h["pos"].alias("pos"), h["d"]["year"].alias("year"), h["d"]["month"].alias("month"), h["d"]["precision"].alias("precision"), context.alias("context"))
+            return let(kind_of(h["match"]), row)
+
+        hits = F.transform(occurrences(text, every), one)
+        return F.transform(F.filter(hits, lambda h: h["d"].isNotNull() & ~((h["d"]["precision"] == "year") & (h["d"]["start"] > 25))), shown)
+
+    return let(text, in_text)
 
 
 def precision_factor(p: Column) -> Column:

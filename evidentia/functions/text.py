@@ -289,19 +289,27 @@ def word_positions(text: Column, word: Column, most: int | None = None) -> Colum
 
 
 def occurrences(text: Column, rx: str) -> Column:
-    """Non-overlapping matches as ``array<struct<pos, match>>``, pos from 0."""
-    cuts, hits = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+    """Non-overlapping matches as ``array<struct<pos, match>>``, pos from 0.
+
+    The text is read once for its matches and, where there are any, once for the gaps before them. (``split`` would
+    compile the pattern again for each row.)
+    """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,match:string>>").alias("found"))
-    pairs = F.arrays_zip(F.slice(cuts, 1, F.size(hits)).alias("cut"), hits.alias("hit"))
-    walked = F.aggregate(
-        pairs,
-        start,
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["cut"]) + F.length(p["hit"])).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + F.length(p["cut"])).alias("pos"), p["hit"].alias("match")))).alias("found"),
-        ),
-    )["found"]
-    return F.when(text.isNull() | (F.size(hits) == 0), start["found"]).otherwise(walked)
+
+    def walked(hits: Column) -> Column:
+        gaps = F.regexp_extract_all(text, F.lit(rf"\G(?s:(.*?))(?:{rx})"), F.lit(1))
+        found = F.aggregate(
+            F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
+            start,
+            lambda a, p: F.struct(
+                (a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
+                F.concat(a["found"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("pos"), p["hit"].alias("match")))).alias("found"),
+            ),
+            lambda a: a["found"],
+        )
+        return F.when(F.size(hits) > 0, found).otherwise(start["found"])
+
+    return let(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), walked)
 
 
 def between(text: Column, a: Column, b: Column) -> Column:
