@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, geo
 from ..functions import text as T
 from ..operators.evidence import group_key
-from ..session import materialize
+from ..session import evenly, materialize
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +42,7 @@ def detect_columns(columns: list[str], given: dict[str, str] | None = None) -> d
 def entities(sheet: DataFrame, roles: dict[str, str | None]) -> DataFrame:
     """Normalised entities with row and group keys and the matcher struct, as a written table; the sheet has ``row_idx``."""
     v = lambda role: T.cell(F.col(f"`{roles[role]}`")) if roles.get(role) else F.lit("")
-    e = sheet.select("row_idx", v("name").alias("raw"), v("locality").alias("address"), v("city").alias("c"), geo.parse_coord(v("lat")).alias("lat"), geo.parse_coord(v("lon")).alias("lon"),
+    e = evenly(sheet).select("row_idx", v("name").alias("raw"), v("locality").alias("address"), v("city").alias("c"), geo.parse_coord(v("lat")).alias("lat"), geo.parse_coord(v("lon")).alias("lon"),
                      v("rera").alias("rera"), v("existing").alias("existing"), v("min_price").alias("sheet_min"), v("max_price").alias("sheet_max"))
     e = materialize(e.withColumn("near_city", geo.city_from_coords(F.col("lat"), F.col("lon"))), "cells")
     by_coords = F.coalesce("near_city", F.lit(""))

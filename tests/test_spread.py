@@ -13,7 +13,7 @@ from evidentia.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["snippet_facts", "snippet_prices"])
+@pytest.mark.parametrize("name", ["snippet_facts", "snippet_prices", "entity_rows"])
 def test_rows_of_one_file_are_dealt_to_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() > 1
 
