@@ -211,8 +211,11 @@ def price_fusion(cands: DataFrame) -> DataFrame:
 def namesake_demote(prices: DataFrame, cands: DataFrame, verdicts: DataFrame) -> DataFrame:
     """A page whose closest date is over 12 months from a confirmed verdict is another project's: its prices lose trust."""
     sure = verdicts.where(F.col("found") & F.col("label").isin("High", "Medium") & (F.length("iso") == 7)).select("gkey", ordinal(F.col("iso")).alias("want"))
-    gap = F.min(F.abs(F.col("year") * 12 + F.col("month") - F.col("want")))
-    off = cands.where(F.col("month").isNotNull()).join(sure, "gkey").groupBy("gkey", "url").agg(gap.alias("gap")).where("gap > 12").select("gkey", "url", F.lit(True).alias("off"))
+    gap = F.abs(F.col("year") * 12 + F.col("month") - F.col("want"))
+    # Verdicts are the small side: a table of them spares sorting all candidates. A struct is aggregated by sorting, in
+    # one buffer that can be spilled; by hashing, partial and final table would be held at once.
+    dated = cands.where(F.col("month").isNotNull()).join(sure.hint("shuffle_hash"), "gkey").select("gkey", "url", F.struct(gap.alias("gap")).alias("gap"))
+    off = dated.groupBy("gkey", "url").agg(F.min("gap").alias("gap")).where("gap.gap > 12").select("gkey", "url", F.lit(True).alias("off"))
     bad = F.coalesce("off", F.lit(False)) & F.col("trusted")
     note = F.concat(F.lit("(possession on this page differs - maybe another project) "), "context")
     out = prices.join(off, ["gkey", "url"], "left").withColumns({"context": F.when(bad, note).otherwise(F.col("context")), "trusted": F.col("trusted") & ~bad})

@@ -40,3 +40,10 @@ def test_occurrences(spark, rx):
     texts = ["", "ab a\nb A xa", "b\nb\na😀ab", "none", "a" * 50 + "\nab"]
     got = [r.o for r in spark.createDataFrame([(t,) for t in [*texts, None]], "v string").coalesce(1).select(T.occurrences(F.col("v"), rx).alias("o")).collect()]
     assert [[(x.pos, x.match) for x in o] for o in got] == [[(m.start(), m.group()) for m in re.finditer(rx, t)] for t in texts] + [[]]
+
+
+def test_demoted_pages_are_found_by_sorting(spark):
+    """Tables of all pages, partial and final, would be held in a task's memory at once."""
+    plan = QUERIES["namesake_demote"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "min(gap" in line]
+    assert lines and all("SortAggregate" in line for line in lines)
