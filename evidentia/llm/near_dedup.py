@@ -21,7 +21,8 @@ same one, they meet one of them and are split by the next unit that they have in
 common, and so on, until few are left or all have in common what the rule asks
 for. So a family of edited copies makes rows in proportion to its members, also
 where all are just below the threshold; at most ``FEW`` others are met through a
-row. Members far from their hub choose another hub among themselves; those far
+row. A hub of at most ``WHOLE`` members is one bounded group, in which all are
+compared. Members far from their hub choose another hub among themselves; those far
 from ``HUBS`` hubs meet by the same rule with an empty hub, which is prefix
 filtering on the rarest shingles.
 
@@ -62,6 +63,8 @@ FEW, PAID, EACH = 32, 4, 16
 STARS = 1
 #: Members of like cost, up to this factor, are told what to have in common by the least cost among them.
 SPAN = 1.2
+#: Hubs of at most so many members, with so many differences in all, are settled in one group each; larger ones by units.
+WHOLE, TOKENS, BLOCK = 256, 1 << 21, 4096
 #: Pairs, about, that meet one copy of their hub's set.
 SPREAD = 512
 _SIGMA, _PI = np.uint64(0x5851F42D4C957F2D), np.uint32(0x2545F491)
@@ -336,8 +339,34 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of each hub, all of which are compared; only for hubs of bounded size."""
+
+    def apply(group: pa.Table) -> pa.Table:
+        comp, cost, room = (group.column(c).to_numpy() for c in ("comp", "cost", "room"))
+        deltas = group.column("delta").combine_chunks()
+        sizes = np.diff(deltas.offsets.to_numpy())
+        values, token, held = np.unique(deltas.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        who = np.repeat(np.arange(len(comp)), sizes)[held[token] > 1]
+        token = (np.cumsum(held > 1) - 1)[token[held[token] > 1]]
+        order = np.argsort(token, kind="stable")
+        who, token = who[order], token[order]
+        shared = np.zeros((len(comp), len(comp)), dtype=np.int64)
+        for first in range(0, int((held > 1).sum()), BLOCK):
+            lo, hi = np.searchsorted(token, (first, first + BLOCK))
+            has = np.zeros((len(comp), BLOCK), dtype=np.float32)
+            has[who[lo:hi], token[lo:hi] - first] = 1
+            shared += (has @ has.T).astype(np.int64)  # exact: counts up to BLOCK
+        linked = ((100 + percent) * shared >= cost[:, None] + cost[None, :] - room[0]) & (comp[:, None] < comp[None, :])
+        y, z = np.nonzero(linked)
+        pairs = np.unique(np.stack([comp[y], comp[z]], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return members.select("hub", "comp", "cost", "room", "delta").groupBy("hub").applyInArrow(apply, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int = WHOLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); ``whole`` bounds the members of a hub settled in one group, not the result."""
     bands = band_count(percent / 100)
     sig = materialize(signatures(docs, k, bands), "signatures")
     full = sig.where("set_id is not null and doc_id is not null")
@@ -380,7 +409,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # 2. Members near one hub, by the differences from it.
     near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]), "near")
-    members = near.drop("hub_rep")
+    sized = near.groupBy("hub").agg(F.count("*").alias("members"), F.sum(F.size("delta")).alias("tokens"))
+    sized = materialize(sized.select("hub", (F.col("members").between(0, whole) & (F.col("tokens") <= TOKENS)).alias("whole")), "sized")
+    links, found = written(_within(near.join(sized.where("whole"), "hub", "left_semi"), percent).distinct(), "links")
+    if found.rows:
+        labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(links))
+    rest = near.drop("hub_rep", "comp").join(sized.where("not whole"), "hub", "left_semi")
+    members, large = written(_several(_labelled(rest, labels), ["hub"]), "members")
     deltas = near.select("hub", "id", "delta")
 
     def by_differences(met: DataFrame) -> DataFrame:
@@ -389,7 +424,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         enough = F.size(F.array_intersect("y_delta", "z_delta")) * (100 + percent) >= F.col("y_cost") + F.col("z_cost") - F.col("room")
         return met.where(enough).select(F.col("y_rep").alias("a"), F.col("z_rep").alias("b"))
 
-    labels = _resolved(members, by_differences, labels, percent)
+    if large.rows:
+        labels = _resolved(members, by_differences, labels, percent)
 
     # 3. Members far from all their hubs, by their shingles.
     if others.rows:

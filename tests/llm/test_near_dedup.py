@@ -149,3 +149,21 @@ def test_pairs_of_a_family_below_the_threshold_grow_in_proportion(spark, monkeyp
             texts.append((i, " ".join(words)))
         near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), 3, 85).count()
     assert rows[1200] < 6 * rows[300]  # all pairs would be sixteen times as many
+
+
+def test_hubs_of_bounded_size_make_no_prefixes(spark, monkeypatch):
+    """A family just below the threshold, too large for pairs by units, is settled in one group."""
+    from evidentia.llm import near_dedup
+
+    kept, names = near_dedup.written, []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, **totals: names.append(name) or kept(df, name, **totals))
+    rng = random.Random(5)
+    rows = []
+    for i in range(330):
+        words = [f"w{j}" for j in range(120)]
+        for p in rng.sample(range(5, 115), rng.randrange(3, 8)):
+            words[p] = f"v{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert result(near_duplicates(docs, 5, 80, whole=1024)) == brute(rows, 5, 80)
+    assert "links" in names and "prefixes" not in names
