@@ -20,7 +20,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, whole=1024, blocks=16)
 
 
 def op1_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ same one, they meet one of them and are split by the next unit that they have in
 common, and so on, until few are left or all have in common what the rule asks
 for. So a family of edited copies makes rows in proportion to its members, also
 where all are just below the threshold; at most ``FEW`` others are met through a
-row. A hub of at most ``WHOLE`` members is one bounded group, in which all are
-compared. Members far from their hub choose another hub among themselves; those far
+row. The members of a hub of up to a given number of blocks, of about ``WHOLE``
+members each, are compared in one bounded group for each two blocks instead. Members far from their hub choose another hub among themselves; those far
 from ``HUBS`` hubs meet by the same rule with an empty hub, which is prefix
 filtering on the rarest shingles.
 
@@ -63,8 +63,10 @@ FEW, PAID, EACH = 32, 4, 16
 STARS = 1
 #: Members of like cost, up to this factor, are told what to have in common by the least cost among them.
 SPAN = 1.2
-#: Hubs of at most so many members, with so many differences in all, are settled in one group each; larger ones by units.
-WHOLE, TOKENS, BLOCK = 256, 1 << 21, 4096
+#: A block of a hub has about so many members at most, with so many differences in all.
+WHOLE, TOKENS = 256, 1 << 21
+#: Tokens that meet in more than one of ``OFTEN`` pairs of two blocks are counted by matrices of ``BLOCK`` tokens, the others ``MEET`` pairs at once.
+OFTEN, BLOCK, MEET = 64, 1024, 1 << 22
 #: Pairs, about, that meet one copy of their hub's set.
 SPREAD = 512
 _SIGMA, _PI = np.uint64(0x5851F42D4C957F2D), np.uint32(0x2545F491)
@@ -339,34 +341,100 @@ def _resolved(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], l
     return labels
 
 
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the ``n`` vertices that each reaches over the edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        before, least = low, np.minimum(low[a], low[b])
+        low = before.copy()
+        np.minimum.at(low, before[a], least)
+        np.minimum.at(low, before[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _shared(y: tuple[np.ndarray, np.ndarray], z: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], tokens: int) -> np.ndarray:
+    """How many tokens each row has in common with each column, from their (place, token): frequent ones as products of matrices, the others by their holders."""
+    (row, y_token), (col, z_token) = ((at[order], token[order]) for at, token in (y, z) for order in (np.argsort(token, kind="stable"),))
+    rows, cols = np.bincount(y_token, minlength=tokens), np.bincount(z_token, minlength=tokens)
+    often = rows * cols * OFTEN > shape[0] * shape[1]
+    shared, place = np.zeros(shape, dtype=np.int32), np.cumsum(often) - 1
+    for first in range(0, int(often.sum()), BLOCK):
+        sides = []
+        for at, token, n in ((row, y_token, shape[0]), (col, z_token, shape[1])):
+            now = often[token] & (place[token] >= first) & (place[token] < first + BLOCK)
+            has = np.zeros((n, BLOCK), dtype=np.float32)
+            has[at[now], place[token[now]] - first] = 1
+            sides.append(has)
+        shared += (sides[0] @ sides[1].T).astype(np.int32)  # exact: counts up to BLOCK
+    row, y_token = row[~often[y_token]], y_token[~often[y_token]]
+    begin, many = (np.cumsum(cols) - cols)[y_token], cols[y_token]
+    ends = np.cumsum(many)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, MEET):
+        lo, hi = np.searchsorted(ends, (first, first + MEET), side="right")
+        hi = min(hi + 1, len(ends))  # of a token that two runs meet, each takes its part
+        n = np.minimum(ends[lo:hi], first + MEET) - np.maximum(ends[lo:hi] - many[lo:hi], first)
+        skip = np.maximum(first - (ends[lo:hi] - many[lo:hi]), 0)
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[lo:hi] + skip, n)
+        np.add.at(shared.reshape(-1), np.repeat(row[lo:hi], n) * shape[1] + col[which], 1)
+    return shared
+
+
 def _within(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components among the members of each hub, all of which are compared; only for hubs of bounded size."""
+    """Links (a, b) between components among the members of each hub, all of which are compared.
+
+    A hub's members are dealt over its ``blocks``, and each two blocks (one with itself too) are a group: a member is in as many groups as there are blocks.
+    """
 
     def apply(group: pa.Table) -> pa.Table:
         comp, cost, room = (group.column(c).to_numpy() for c in ("comp", "cost", "room"))
+        left, right = (group.column(c).to_numpy() for c in ("left", "right"))
         deltas = group.column("delta").combine_chunks()
-        sizes = np.diff(deltas.offsets.to_numpy())
-        values, token, held = np.unique(deltas.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        who = np.repeat(np.arange(len(comp)), sizes)[held[token] > 1]
-        token = (np.cumsum(held > 1) - 1)[token[held[token] > 1]]
-        order = np.argsort(token, kind="stable")
-        who, token = who[order], token[order]
-        shared = np.zeros((len(comp), len(comp)), dtype=np.int64)
-        for first in range(0, int((held > 1).sum()), BLOCK):
-            lo, hi = np.searchsorted(token, (first, first + BLOCK))
-            has = np.zeros((len(comp), BLOCK), dtype=np.float32)
-            has[who[lo:hi], token[lo:hi] - first] = 1
-            shared += (has @ has.T).astype(np.int64)  # exact: counts up to BLOCK
-        linked = ((100 + percent) * shared >= cost[:, None] + cost[None, :] - room[0]) & (comp[:, None] < comp[None, :])
-        y, z = np.nonzero(linked)
-        pairs = np.unique(np.stack([comp[y], comp[z]], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return members.select("hub", "comp", "cost", "room", "delta").groupBy("hub").applyInArrow(apply, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int = WHOLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); ``whole`` bounds the members of a hub settled in one group, not the result."""
+        who = np.repeat(np.arange(len(comp)), np.diff(deltas.offsets.to_numpy()))
+        values, token = np.unique(deltas.flatten().to_numpy(), return_inverse=True)
+        names, comp = np.unique(comp, return_inverse=True)
+        # What a member has in common with any partner of another component, which is not linked to the hub if the member is.
+        need = np.where(cost <= room, cost // (100 + percent) + 1, np.maximum(-((room - cost) // 100), 1))
+        while len(who):
+            lo, hi = np.full(len(values), len(names)), np.full(len(values), -1)
+            np.minimum.at(lo, token, comp[who])
+            np.maximum.at(hi, token, comp[who])
+            both = [np.bincount(token[side[who]], minlength=len(values)) > 0 for side in (left, right)]
+            keep = ((lo < hi) & both[0] & both[1])[token]
+            keep &= (np.bincount(who[keep], minlength=len(comp)) >= need)[who]
+            if keep.all():
+                break
+            who, token = who[keep], token[keep]
+        values, token = np.unique(token, return_inverse=True)
+        alive = np.bincount(who, minlength=len(comp)) > 0
+        sides = []
+        for side in (left & alive, right & alive):
+            mine = side[who]
+            sides.append((np.flatnonzero(side), ((np.cumsum(side) - 1)[who[mine]], token[mine])))
+        (y, y_held), (z, z_held) = sides
+        shared = _shared(y_held, z_held, (len(y), len(z)), len(values))
+        linked = ((100 + percent) * shared >= cost[y][:, None] + cost[z][None, :] - room[:1]) & (comp[y][:, None] != comp[z][None, :])
+        at, to = np.nonzero(linked)
+        low = _joined(comp[y[at]], comp[z[to]], len(names))
+        moved = np.flatnonzero(low != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[low[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
+
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select(
+        "hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "comp", "cost", "room", "delta",
+    )
+    return rows.groupBy("hub", "lo", "hi").applyInArrow(apply, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int = WHOLE, blocks: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+
+    Hubs of up to ``blocks`` blocks of about ``whole`` members are settled in groups of two blocks each, larger ones by units; neither changes the result.
+    """
     bands = band_count(percent / 100)
     sig = materialize(signatures(docs, k, bands), "signatures")
     full = sig.where("set_id is not null and doc_id is not null")
@@ -410,11 +478,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int =
     # 2. Members near one hub, by the differences from it.
     near = materialize(_several(_labelled(compared.where("delta is not null"), labels), ["hub"]), "near")
     sized = near.groupBy("hub").agg(F.count("*").alias("members"), F.sum(F.size("delta")).alias("tokens"))
-    sized = materialize(sized.select("hub", (F.col("members").between(0, whole) & (F.col("tokens") <= TOKENS)).alias("whole")), "sized")
-    links, found = written(_within(near.join(sized.where("whole"), "hub", "left_semi"), percent).distinct(), "links")
+    sized = materialize(sized.select("hub", F.ceil(F.greatest(F.col("members") / whole, F.col("tokens") / TOKENS)).cast("int").alias("blocks")), "sized")
+    links, found = written(_within(near.join(sized.where(F.col("blocks") <= blocks), "hub"), percent).distinct(), "links")
     if found.rows:
         labels = connected_components(labels.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(links))
-    rest = near.drop("hub_rep", "comp").join(sized.where("not whole"), "hub", "left_semi")
+    rest = near.drop("hub_rep", "comp").join(sized.where(F.col("blocks") > blocks), "hub", "left_semi")
     members, large = written(_several(_labelled(rest, labels), ["hub"]), "members")
     deltas = near.select("hub", "id", "delta")
 

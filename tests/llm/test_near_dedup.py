@@ -167,3 +167,55 @@ def test_hubs_of_bounded_size_make_no_prefixes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert result(near_duplicates(docs, 5, 80, whole=1024)) == brute(rows, 5, 80)
     assert "links" in names and "prefixes" not in names
+
+
+def around_the_threshold(n):
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(120)]
+        for p in rng.sample(range(5, 115), rng.randrange(3, 8)):
+            words[p] = f"v{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_hubs_of_several_blocks(spark, monkeypatch, k, percent):
+    """A family of more members than one block: each two blocks are a group, and every link is found without prefixes."""
+    from evidentia.llm import near_dedup
+
+    kept, names = near_dedup.written, []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, **totals: names.append(name) or kept(df, name, **totals))
+    rows = around_the_threshold(330)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert result(near_duplicates(docs, k, percent, whole=64, blocks=8)) == brute(rows, k, percent)
+    assert "links" in names and "prefixes" not in names
+
+
+def test_op10_settles_families_without_prefixes(spark, monkeypatch, tmp_path):
+    from evidentia.llm import entry, near_dedup
+
+    kept, names = near_dedup.written, []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, **totals: names.append(name) or kept(df, name, **totals))
+    rows = around_the_threshold(330)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert result(entry.op10_minhash(spark, str(tmp_path))) == brute(rows, 3, 85)
+    assert "links" in names and "prefixes" not in names
+
+
+def test_tokens_in_common(monkeypatch):
+    """Frequent and rare tokens, in runs that end within a token, equal the product of whole matrices."""
+    import numpy as np
+
+    from evidentia.llm import near_dedup
+
+    rng = np.random.default_rng(1)
+    for shape, tokens in (((40, 50), 300), ((3, 3), 5), ((0, 5), 3)):
+        y, z = (rng.random((n, tokens)) < rng.random(tokens) / 4 for n in shape)
+        for often in (1, 64, 10**9):
+            monkeypatch.setattr(near_dedup, "OFTEN", often)
+            monkeypatch.setattr(near_dedup, "MEET", 7)
+            monkeypatch.setattr(near_dedup, "BLOCK", 16)
+            found = near_dedup._shared(y.nonzero(), z.nonzero(), shape, tokens)
+            assert (found == y.astype(int) @ z.astype(int).T).all()
