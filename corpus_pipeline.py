@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest doc_id stays, once."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = near_dedup.near_duplicates(docs, k=5, percent=80, whole=1024)
+    found = near_dedup.near_duplicates(docs, k=5, percent=80, whole=1024, blocks=16)
     found = materialize(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")), "kept")
     out = docs.join(found.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti")
     repeated = found.where("kept and rows > 1 and doc_id is not null").select("doc_id")

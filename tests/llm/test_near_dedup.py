@@ -219,3 +219,23 @@ def test_tokens_in_common(monkeypatch):
             monkeypatch.setattr(near_dedup, "BLOCK", 16)
             found = near_dedup._shared(y.nonzero(), z.nonzero(), shape, tokens)
             assert (found == y.astype(int) @ z.astype(int).T).all()
+
+
+def test_near_duplicates_of_a_large_family_make_no_prefixes(spark, monkeypatch):
+    """Over 1,024 members of one hub, most beyond the threshold, meet in groups of two blocks."""
+    import corpus_pipeline
+    from evidentia.llm import near_dedup
+
+    kept, names = near_dedup.written, []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, **totals: names.append(name) or kept(df, name, **totals))
+    rng = random.Random(7)
+    rows = [(0, " ".join(f"w{j}" for j in range(60)))]
+    for i in range(1, 1300):
+        words = rows[0][1].split()
+        for p in rng.sample(range(5, 55), rng.randrange(2, 4)):
+            words[p] = f"v{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert {r.doc_id for r in found} == {i for i, (_, _, first) in brute(rows, 5, 80).items() if first}
+    assert "links" in names and "prefixes" not in names
