@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, mixing, near_dedup, pseudonyms, toxicity
-from evidentia.llm.shared import materialize, table
+from evidentia.llm.shared import SMALL_BATCH_BYTES, materialize, table
 
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones, calls toxic go."""
-    chain = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    chain = toxicity.fit(*(table(spark, sf_dir, name, SMALL_BATCH_BYTES) for name in ("documents", "labels")))
     return toxicity.reject(docs, chain)
 
 
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark", SMALL_BATCH_BYTES))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

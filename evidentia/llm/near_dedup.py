@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, may_be_among, written
+from .shared import SMALL_BATCH_BYTES, are_set, bit_of, bits_of, bound_batches, materialize, written
 from .shingles import mix64, runs, shingle_sets
 
 #: Coordinates in a band.
@@ -125,16 +125,22 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, SIGNATURE)
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(id, grams): each text's digest and its sorted 64-bit shingles, as bytes."""
+def _sets(docs: DataFrame, k: int, names: DataFrame) -> DataFrame:
+    """(id, grams): the digest and the sorted 64-bit shingles, as bytes, of each text whose doc_id is among ``names`` (name), and of a few others.
+
+    The names are looked up where sets are made: as a filter before it that takes a
+    second Python worker for each task, all workers are kept and used in turn.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bits_of(names.select(bit_of(F.col("name")).alias("bit"))))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw in runs(batch.column(0).to_pylist()):
+            wanted = are_set(held.value, batch.column(0).to_numpy())
+            for _, _, raw in runs(batch.column(1).filter(pa.array(wanted)).to_pylist()):
                 sets = shingle_sets(raw, k)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
-    return texts.select("text").mapInArrow(apply, "id binary, grams binary")
+    return docs.select(bit_of(F.col("doc_id").cast("long")).alias("bit"), "text").mapInArrow(apply, "id binary, grams binary")
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -435,6 +441,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int =
 
     Hubs of up to ``blocks`` blocks of about ``whole`` members are settled in groups of two blocks each, larger ones by units; neither changes the result.
     """
+    bound_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     bands = band_count(percent / 100)
     sig = materialize(signatures(docs, k, bands), "signatures")
     full = sig.where("set_id is not null and doc_id is not null")
@@ -448,8 +455,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, whole: int =
 
     # Only classes that share a bucket can link; their sets are kept once.
     wanted = rows.select("id", "rep").distinct()
-    named = docs.where(may_be_among(wanted.select(F.col("rep").alias("key")), F.col("doc_id").cast("long")))
-    sets = materialize(_sets(named, k).join(wanted.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sets = materialize(_sets(docs, k, wanted.select(F.col("rep").alias("name"))).join(wanted.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     # 1. Members against their buckets' hubs; those far from one choose another.
     compared = None

@@ -14,10 +14,12 @@ from pyspark.sql.types import BooleanType, StructType
 
 from evidentia.session import materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "FILTER_BITS", "bits_of", "mapped", "materialize", "may_be_among", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["BATCH_BYTES", "FILTER_BITS", "SMALL_BATCH_BYTES", "are_set", "bit_of", "bits_of", "bound_batches", "mapped", "materialize", "may_be_among", "scratch_path", "shared_dir", "table", "written"]
 
 #: Bytes, about, that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
+#: The same for jobs of many stages: workers are reused and keep much of the memory of their largest batch.
+SMALL_BATCH_BYTES = 4 << 20
 #: Bits of the filter that spares rows a shuffle.
 FILTER_BITS = 1 << 23
 
@@ -39,9 +41,14 @@ def written(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, Row]
     return out, Row(**seen.get)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables. Arrow batches are bounded in bytes, as texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bound_batches(spark: SparkSession, size: int) -> None:
+    """Arrow batches of the jobs to come are bounded in bytes, as texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One of the driver's tables."""
+    bound_batches(spark, batch_bytes)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,18 +66,28 @@ def bits_of(bits: DataFrame) -> bytes:
     return b"".join(bytes(found.get(i + 1, b"")).ljust(width, b"\0") for i in range(FILTER_BITS // 32768))
 
 
+def bit_of(key: Column) -> Column:
+    """The place of ``key`` in a bitmap of ``FILTER_BITS``."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def are_set(bits: bytes, at: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are set in a bitmap of ``bits_of``."""
+    flags = np.frombuffer(bits, dtype=np.uint8)
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def may_be_among(keys: DataFrame, key: Column) -> Column:
     """Whether ``key`` may be among ``keys``; never wrong about those that are.
 
     The bitmap is bounded, so it can be sent to every task. Where it fills up,
-    more rows take the joined path.
+    more rows take the joined path. It takes a Python worker of its own: a task
+    with other Python work should call ``are_set`` there.
     """
-    held = keys.sparkSession.sparkContext.broadcast(bits_of(keys.select(F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("bit"))))
+    held = keys.sparkSession.sparkContext.broadcast(bits_of(keys.select(bit_of(F.col("key")).alias("bit"))))
 
     @F.pandas_udf(BooleanType())
     def known(n: pd.Series) -> pd.Series:
-        flags = np.frombuffer(held.value, dtype=np.uint8)
-        at = n.to_numpy()
-        return pd.Series((flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(are_set(held.value, n.to_numpy()))
 
-    return known(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
+    return known(bit_of(key))

@@ -239,3 +239,30 @@ def test_near_duplicates_of_a_large_family_make_no_prefixes(spark, monkeypatch):
     found = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()
     assert {r.doc_id for r in found} == {i for i, (_, _, first) in brute(rows, 5, 80).items() if first}
     assert "links" in names and "prefixes" not in names
+
+
+def test_tasks_have_one_python_worker_and_small_batches(spark, monkeypatch):
+    """Workers are kept and used in turn, so a second one for each task would double the memory that all stages hold."""
+    from evidentia.llm import near_dedup
+
+    plans, bounds = [], set()
+
+    def seen(kept):
+        def apply(df, *args, **totals):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            bounds.add(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+            return kept(df, *args, **totals)
+
+        return apply
+
+    for name in ("materialize", "written"):
+        monkeypatch.setattr(near_dedup, name, seen(getattr(near_dedup, name)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    rows = [*around_the_threshold(60), (100, None), (101, " "), *((200 + i, f"alone {i} of them all") for i in range(40))]
+    docs = spark.createDataFrame([*rows, (None, "without a name")], "doc_id long, text string").repartition(8)
+    found = result(near_duplicates(docs))
+    assert found.pop(None) == (1, None, True)
+    assert found == brute(rows, 5, 80)
+    made = [p for p in plans if "MapInArrow" in p]
+    assert len(made) >= 3 and not any("EvalPython" in p for p in plans)
+    assert max(bounds) <= 4 << 20
