@@ -2,10 +2,11 @@
 
 A candidate table has ``gkey, url, domain, year, month, precision, kind, score,
 context, is_rera, trusted, origin, seq``; ``seq`` is the order of discovery and
-settles ties. Raw candidates are only ever summed and max-ed by keys that
-include url or domain, with map-side combine, so one entity with a third of all
-rows is spread over tasks; windows run over month groups, of which an entity
-has at most 12 for each valid year.
+settles ties. For dates, candidates are dealt by entity once, with what a verdict
+needs of them, and all else is done where they lie. Entities of more than
+``CROWDED`` candidates are left out of that: their raw candidates are only ever summed and max-ed by
+keys that include url or domain, with map-side combine, so one entity with a third of
+all rows is spread over tasks; windows run over an entity's sums by date and domain.
 """
 
 from __future__ import annotations
@@ -20,6 +21,15 @@ from ..functions.dates import date_key, display, month_name, ordinal
 from ..functions.money import format_inr
 from ..functions.text import on_domain
 
+#: Candidates of an entity that one task may sort; and how many entities of more than these are looked for.
+CROWDED, MOST_CROWDED = 1_000_000, 1_000
+
+
+def crowded(cands: DataFrame, limit: int) -> list[int]:
+    """Hashes of the entities with more than about ``limit`` candidates, from a sketch of frequent values; they are few."""
+    top = cands.select(F.expr(f"approx_top_k(xxhash64(gkey), {MOST_CROWDED}, {10 * MOST_CROWDED})")).first()[0]
+    return [r["item"] for r in top or [] if r["count"] > limit]
+
 
 def best_per_url(cands: DataFrame) -> DataFrame:
     """Of each entity, url and date the candidate with the highest score, the first one on a tie.
@@ -45,19 +55,17 @@ def date_groups(cands: DataFrame) -> DataFrame:
             F.sum("score").alias("score"),
             F.min("seq").alias("seq"),
             F.max("trusted").alias("trusted"),
-            F.max(F.col("trusted") & (F.col("is_rera") | (F.col("kind") == "structured"))).alias("strong"),
-            F.max(F.struct("trusted", "score", (-F.col("seq")).alias("first"), "url", "year", "month", "precision", F.coalesce(F.nullif("origin", F.lit("")), "kind").alias("origin"), "context")).alias("top"),
+            F.max(F.col("trusted") & (F.col("is_rera") | F.col("structured"))).alias("strong"),
+            F.max(F.struct("trusted", "score", (-F.col("seq")).alias("first"), "url", "year", "month", "precision", "origin", "context")).alias("top"),
         )
     )
-    year = F.substring("key", 1, 4).alias("year")
-    months = by_domain.where(F.length("key") == 7).groupBy("gkey", "key").agg(F.sum("score").alias("s"), F.min("seq").alias("seq"))
-    best_month = months.groupBy("gkey", year).agg(F.max_by("key", F.struct("s", (-F.col("seq")).alias("first"))).alias("into"))
-    bare = F.length("key") == 4
+    month, of_year = F.length("key") == 7, Window.partitionBy("gkey", "year")
+    of_month = Window.partitionBy("gkey", "year", "key")
+    moved = by_domain.withColumn("year", F.substring("key", 1, 4)).withColumns({"s": F.sum("score").over(of_month), "first": -F.min("seq").over(of_month)})
     moved = (
-        by_domain.withColumn("year", F.when(bare, F.substring("key", 1, 4)))
-        .join(best_month, ["gkey", "year"], "left")
-        .withColumn("rolled", F.col("into").isNotNull())
-        .withColumn("key", F.coalesce("into", "key"))
+        moved.withColumn("into", F.max(F.when(month, F.struct("s", "first", "key"))).over(of_year)["key"])
+        .withColumn("rolled", ~month & F.col("into").isNotNull())
+        .withColumn("key", F.when(F.col("rolled"), F.col("into")).otherwise(F.col("key")))
     )
     own = lambda c: F.when(~F.col("rolled"), c)
     per_domain = moved.groupBy("gkey", "key", "domain").agg(
@@ -87,8 +95,27 @@ def ranked_groups(cands: DataFrame) -> DataFrame:
     return date_groups(cands).withColumn("rank", F.row_number().over(every.orderBy(*order))).withColumn("total", F.sum("score").over(every))
 
 
-def date_fusion(cands: DataFrame, today: dt.date) -> DataFrame:
-    """One verdict per entity: date, status, label, confidence, sources, evidence and alternatives."""
+def date_fusion(cands: DataFrame, today: dt.date, dealt: bool = False, limit: int = CROWDED) -> DataFrame:
+    """One verdict per entity: date, status, label, confidence, sources, evidence and alternatives.
+
+    ``dealt``: the candidates of an entity are in one partition already, and Spark knows. Otherwise
+    the keys of ``cands`` are read once more, before the rest, for the entities of more than ``limit`` candidates.
+    """
+    # All that a verdict shows or asks; evidence is the first 300 characters.
+    rows = cands.select(
+        "gkey", "url", "domain", "year", "month", "precision", "score", F.substring(F.coalesce("context", F.lit("")), 1, 300).alias("context"),
+        "is_rera", "trusted", (F.col("kind") == "structured").alias("structured"), F.coalesce(F.nullif("origin", F.lit("")), "kind").alias("origin"), "seq",
+    )
+    if dealt:
+        return _verdicts(rows, today)
+    many = crowded(cands, limit)
+    if not many:
+        return _verdicts(rows.repartition("gkey"), today)
+    alone = F.xxhash64("gkey").isin(many)
+    return _verdicts(rows.where(alone), today).unionByName(_verdicts(rows.where(~alone).repartition("gkey"), today))
+
+
+def _verdicts(cands: DataFrame, today: dt.date) -> DataFrame:
     ranked = ranked_groups(cands)
     alternative = F.concat(
         F.when(F.length("key") == 4, F.col("key")).otherwise(F.concat_ws(" ", month_name(F.substring("key", 6, 2).cast("int")), F.substring("key", 1, 4))),
@@ -125,7 +152,7 @@ def date_fusion(cands: DataFrame, today: dt.date) -> DataFrame:
         "confidence",
         "sources",
         F.col("top.url").alias("best_url"),
-        F.concat(F.lit("["), F.col("top.origin"), F.lit("] "), F.substring(F.coalesce("top.context", F.lit("")), 1, 300)).alias("evidence"),
+        F.concat(F.lit("["), F.col("top.origin"), F.lit("] "), F.col("top.context")).alias("evidence"),
         F.array_join(F.transform(F.array_sort("others"), lambda o: o["text"]), "; ").alias("alternatives"),
         F.when(F.col("trusted_domains") == 0, "only seen on unverified websites - check before using").otherwise("").alias("note"),
     )

@@ -246,3 +246,22 @@ def test_register_dates_carry_no_other_columns(spark, monkeypatch):
     monkeypatch.setattr(fusion, "best_per_url", lambda c: seen.append(c.columns) or plain(c))
     fusion.date_fusion(spark.createDataFrame([], CANDIDATES), dt.date(2025, 6, 15))
     assert sorted(seen[-1]) == ["gkey", "month", "precision", "score", "seq", "url", "year"]
+
+
+def dated(spark, n):
+    rng = random.Random(5)
+    rows = [cand(i, f"d{rng.randrange(9)}", f"20{rng.randint(20, 27)}-{rng.randint(1, 12):02d}" if i % 4 else f"20{rng.randint(20, 29)}", rng.randrange(1, 10) / 10, i % 3 == 0, gkey=f"g{i % 7 if i % 2 else 0}") for i in range(n)]
+    return spark.createDataFrame([(*r[:9], i % 5 == 0, *r[10:]) for i, r in enumerate(rows)], CANDIDATES)
+
+
+def test_candidates_are_dealt_once_for_dates(spark):
+    v = fusion.date_fusion(dated(spark, 600), TODAY)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # all candidates, and those of the register
+
+
+def test_crowded_entities_get_the_same_verdicts(spark):
+    df = dated(spark, 600)
+    assert fusion.crowded(df, 100) == [r[0] for r in df.where("gkey = 'g0'").select(F.xxhash64("gkey")).distinct().collect()]
+    plain, apart = (sorted(map(str, fusion.date_fusion(df, TODAY, limit=n).collect())) for n in (1000, 100))
+    assert plain == apart and len(plain) == 7
