@@ -59,32 +59,46 @@ class KeyedTable:
         return said and self._rows(said, range(self.buckets))
 
     def lookup(self, keys: DataFrame) -> DataFrame | None:
-        """Rows whose ``bucket_by`` values are among ``keys``; only their buckets are read."""
+        """Rows whose ``bucket_by`` values are among ``keys``; only their buckets are read, and their rows are dealt by ``bucket_by`` once.
+
+        What follows may rely on that, unless ``keys`` has nulls.
+        """
         said = self.manifest()
         if said is None:
             return None
         asked = self._typed(keys.select(*self.bucket_by).distinct(), StructType.fromJson(said["schema"]))
-        touched = {r[0] for r in asked.select(self._bucket()).distinct().collect()}
-        rows = self._rows(said, touched)
+        null = reduce(Column.__or__, (F.col(c).isNull() for c in self.bucket_by))
+        touched = asked.groupBy(self._bucket()).agg(F.max(null).alias("null")).collect()
+        rows = self._rows(said, {r[BUCKET] for r in touched}, dealt=True)
+        if not any(r["null"] for r in touched):
+            return rows.join(asked, self.bucket_by, "left_semi")
         same = reduce(Column.__and__, (rows[c].eqNullSafe(asked[c]) for c in self.bucket_by))
         return rows.join(asked, same, "left_semi")
 
-    def _rows(self, said: dict, buckets) -> DataFrame:
-        """Of each key in ``buckets`` the row of its last run. Buckets of a single run are read as they are."""
+    def _rows(self, said: dict, buckets, dealt: bool = False) -> DataFrame:
+        """Of each key in ``buckets`` the row of its last run. Buckets of a single run are read as they are.
+
+        ``dealt``: by ``bucket_by``, before anything is merged.
+        """
         schema, wanted = StructType.fromJson(said["schema"]), set(buckets)
         runs = [(r["id"], r["n"], r["gone"], sorted(wanted & set(r["buckets"]))) for r in said["runs"]]
         held = [b for *_, own in runs for b in own]
         several = {b for b in held if held.count(b) > 1} if len(held) < 4096 else {b for b, n in _counts(held).items() if n > 1}
         several |= {b for _, _, gone, own in runs if gone for b in own}
+        if dealt and several:
+            several = set(held)  # all at once: a union of two parts would have to be dealt again
         parts = []
         if any(set(own) - several for *_, own in runs):
             parts.append(self._read_runs([(i, n, sorted(set(own) - several)) for i, n, _, own in runs], schema).select(schema.names))
         if several:
-            stacked = self._read_runs([(i, n, sorted(set(own) & several)) for i, n, _, own in runs], schema)
+            stacked = self._read_runs([(i, n, sorted(set(own) & several)) for i, n, _, own in runs], schema).drop(RUN, BUCKET)
+            stacked = stacked.repartition(*self.bucket_by) if dealt else stacked
             rest = [c for c in schema.names if c not in self.key]
             last = stacked.groupBy(*self.key).agg(F.max_by(F.struct(*rest, GONE), "_n").alias("last"))
             parts.append(last.where(f"not last.{GONE}").select(*(F.col(c) if c in self.key else F.col("last")[c].alias(c) for c in schema.names)))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return parts[0].repartition(*self.bucket_by) if dealt and not several else reduce(DataFrame.unionByName, parts)
 
     def _read_runs(self, runs: list[tuple[str, int, list[int]]], schema: StructType) -> DataFrame:
         runs = [r for r in runs if r[2]]
@@ -119,9 +133,12 @@ class KeyedTable:
         schema = StructType.fromJson(said["schema"]) if said else StructType([])
         rows = self._typed(rows, schema)
         if latest is not None:
+            # Dealt by bucket first, as they are written: the choice takes place where the rows lie.
             rest = F.struct(*(c for c in rows.columns if c not in self.key))
-            rows = rows.groupBy(*self.key).agg(F.max_by(rest, latest).alias("last")).select(*self.key, "last.*")
+            rows = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).groupBy(BUCKET, *self.key).agg(F.max_by(rest, latest).alias("last"))
+            rows = rows.select(*self.key, "last.*", BUCKET)
         run = self._write_run(rows, gone)
+        rows = rows.drop(BUCKET)
         while True:
             said = self.manifest() or self._first()
             if writer is not None and said["writers"].get(writer, -1) >= batch:
@@ -179,9 +196,11 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int").alias(BUCKET)
 
     def _write_run(self, rows: DataFrame, gone: bool) -> dict:
-        """The rows as a run that no version has yet. Keys are unique, so their hash deals them out evenly."""
+        """The rows as a run that no version has yet. Keys are unique, so their hash deals them out evenly. Rows that name their bucket are dealt already."""
         run = uuid.uuid4().hex
-        rows.select("*", F.lit(gone).alias(GONE), self._bucket()).repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{RUN}={run}")
+        if BUCKET not in rows.columns:
+            rows = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET)
+        rows.withColumn(GONE, F.lit(gone)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/data/{RUN}={run}")
         own = sorted(int(n.split("=")[1]) for n in self._names(f"{self.path}/data/{RUN}={run}") if n.startswith(f"{BUCKET}="))
         return {"id": run, "gone": gone, "buckets": own}
 

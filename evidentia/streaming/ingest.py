@@ -43,7 +43,7 @@ def follow_candidates(spark: SparkSession, source: str, state: str, checkpoint:
         writer = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         candidates.write(rows, F.struct("score", "kind", "context"), writer, n)
         every = candidates.lookup(rows.select("gkey"))
-        if every is None or verdicts.write(date_fusion(every, today), None, writer, n) is None:
+        if every is None or verdicts.write(date_fusion(every, today, dealt=True), None, writer, n) is None:
             return
         if n % COMPACT_EVERY == COMPACT_EVERY - 1:
             for table in (candidates, verdicts):

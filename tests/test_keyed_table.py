@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.operators.fusion import date_fusion
 from evidentia.operators.keyed_table import KeyedTable
@@ -143,3 +144,20 @@ def test_a_batch_touches_only_its_entities_buckets(spark):
     for table in (ingest.candidate_table(spark, f"{home}/state", 64), ingest.verdict_table(spark, f"{home}/state", 64)):
         first, second = table.manifest()["runs"]
         assert len(first["buckets"]) > 50 and len(second["buckets"]) <= 2
+
+
+def test_rows_are_dealt_once_on_their_way_to_verdicts(spark):
+    """One shuffle writes candidates; one of them and one of the keys asked for lead to the verdicts, with another where the register's are read apart."""
+    home = tempfile.mkdtemp()
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    table, written, plain = ingest.candidate_table(spark, home, 4), [], KeyedTable._write_run
+    table._write_run = lambda rows, gone: written.append(exchanges(rows)) or plain(table, rows, gone)
+    for seed in (1, 2):
+        rows = spark.createDataFrame(candidates(seed, 120, 20), ingest.CANDIDATES)
+        table.write(rows, F.struct("score", "kind", "context"))
+        every = table.lookup(rows.select("gkey"))
+        assert exchanges(every) == 2 and exchanges(date_fusion(every, TODAY, dealt=True)) == 4
+    assert written == [1, 1]
+    every = spark.createDataFrame([r for seed in (1, 2) for r in candidates(seed, 120, 20)], ingest.CANDIDATES)
+    found = date_fusion(table.lookup(every.select("gkey")), TODAY, dealt=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, date_fusion(every, TODAY).collect()))
