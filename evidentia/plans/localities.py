@@ -9,7 +9,9 @@ rounds as the longest chain of names that depend on each other, and no list pass
 Like names meet by keys instead of in pairs. If a share of ``ALIKE`` of two names' characters lies in
 common blocks, the names have a common subsequence of M = ALIKE * (both lengths) / 2 characters: names of less
 than ``LONG`` characters wait under all their subsequences of the lengths that count, so hardly any meet but like
-ones. For longer names those are too many: k = (1 - ALIKE) * (both lengths) insertions and deletions at most
+ones. For longer names those are too many, and such names are few: up to ``WIDE`` characters they are held against all names of the lengths
+that count, in groups of two bounded blocks, by the length of the common subsequence, which takes one machine word a name.
+Of still longer ones k = (1 - ALIKE) * (both lengths) insertions and deletions at most
 turn one into the other, each touches one part of the first name at most, so of its k + 1 parts one stands in the other,
 at most k places off. A name that holds another has it among its substrings. Names that are taken anyway don't meet.
 """
@@ -20,7 +22,9 @@ import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from difflib import SequenceMatcher
+from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +33,15 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import fixed
 from ..functions.text import clean_locality, norm, title_case
-from ..session import materialize
+from ..operators.matching import Texts
+from ..session import evenly, materialize
 
 #: Share of characters in common blocks, and the shortest new name that may hold another or be held.
 ALIKE, HELD = 0.85, 6
-#: Length from which names meet by parts; there are up to 5,000 subsequences of a shorter name.
-LONG = 20
+#: Length from which names don't meet by subsequences, of which a shorter name has up to 5,000; and that above which they meet by parts.
+LONG, WIDE = 20, Texts.BITS
+#: Long names, and others, that meet in one group.
+BLOCKS = (2048, 16384)
 
 
 def _edits(a: int, b: int) -> int:
@@ -64,23 +71,23 @@ def same_keys(name: str) -> set[str]:
     return {"".join(c) for size in sizes if size <= n for c in combinations(name, size)}
 
 
-def _long_partners(n: int) -> list[int]:
-    return [other for other in _partners(n) if max(n, other) >= LONG]
+def _long_partners(n: int, least: int) -> list[int]:
+    return [other for other in _partners(n) if max(n, other) >= least]
 
 
-def part_keys(name: str) -> set[str]:
-    """Parts of a name for partners of which one is ``LONG``."""
+def part_keys(name: str, least: int = LONG) -> set[str]:
+    """Parts of a name for partners of which one has ``least`` characters."""
     keys = set()
-    for other in _long_partners(len(name)):
+    for other in _long_partners(len(name), least):
         for i, (at, size) in enumerate(_parts(len(name), _edits(len(name), other) + 1)):
             keys.add(f"{len(name)}.{other}.{i}.{name[at : at + size]}")
     return keys
 
 
-def asked_part_keys(name: str) -> set[str]:
+def asked_part_keys(name: str, least: int = LONG) -> set[str]:
     """Parts of such partners that may stand in ``name``."""
     keys = set()
-    for other in _long_partners(len(name)):
+    for other in _long_partners(len(name), least):
         k = _edits(other, len(name))
         for i, (at, size) in enumerate(_parts(other, k + 1)):
             for begin in range(max(0, at - k), min(len(name) - size, at + k) + 1):
@@ -118,6 +125,37 @@ def _keyed(names: DataFrame, keys: Callable[[str], set[str]]) -> DataFrame:
     return rows.select("seq", "free", "len", F.xxhash64("key").alias("key"), F.length("key").cast("short").alias("size"))
 
 
+def met_in_blocks(rows: DataFrame, blocks: tuple[int, int] = BLOCKS) -> DataFrame:
+    """(seq, before) of ``rows`` (seq, free, name) of up to ``WIDE`` characters, one of them ``LONG``: pairs whose common subsequence is as long as that of like names.
+
+    Both sides are dealt over blocks, each two of which are one group. The work grows with the long names times the others, at some nanoseconds a pair: most lack common letters.
+    """
+    n = F.length("name")
+    others = rows.where(n.between(min(_partners(LONG)), WIDE))
+    long = others.where(n >= LONG)
+    many = [max(1, math.ceil(df.count() / size)) for df, size in zip((long, others), blocks, strict=True)]
+    deal = lambda df, i: df.select("*", F.pmod(F.xxhash64("seq"), F.lit(many[i])).cast("int").alias("lr"[i]), F.explode(F.sequence(F.lit(0), F.lit(many[1 - i] - 1))).alias("rl"[i]))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (deal(df, i).repartition(tasks, "l", "r") for i, df in enumerate((long, others)))
+    need = np.array([[_common(x, y) if y in _partners(x) else x + y for y in range(WIDE + 1)] for x in range(WIDE + 1)], np.uint8)
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        old = Texts(theirs["name"].to_pylist())
+        seqs, free = theirs["seq"].to_numpy(), theirs["free"].to_numpy(zero_copy_only=False)
+        seq, before = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, f, name in zip(*(mine[c].to_pylist() for c in ("seq", "free", "name")), strict=True):
+            least = need[len(name)][old.sizes]
+            at = np.flatnonzero(least <= old.letters(name))
+            # Two long names meet in one order; the later one of a pair must not be free.
+            at = at[np.where(old.sizes[at] < LONG, seqs[at] != s, seqs[at] > s) & np.where(seqs[at] > s, ~free[at], not f)]
+            at = at[old.common(name, at) >= least[at]]
+            seq.append(np.maximum(seqs[at], s))
+            before.append(np.minimum(seqs[at], s))
+        return pa.table([np.concatenate(seq), np.concatenate(before)], names=["seq", "before"])
+
+    return a.groupBy("l", "r").cogroup(b.groupBy("l", "r")).applyInArrow(meet, "seq long, before long")
+
+
 @F.pandas_udf(BooleanType())
 def _alike(new: pd.Series, old: pd.Series) -> pd.Series:
     def one(a: str, b: str) -> bool:
@@ -136,7 +174,8 @@ def like_before(names: DataFrame) -> DataFrame:
     """
     if "free" not in names.columns:
         names = names.withColumn("free", F.lit(False))
-    rows = names.select("seq", "free", "name")
+    # A name has thousands of keys: names are few bytes, and one task would make them all.
+    rows = materialize(evenly(names.select("seq", "free", "name")), "even-names")
     side = lambda df, i: df.select(F.col("seq").alias(f"s{i}"), F.col("free").alias(f"f{i}"), F.col("len").alias(f"l{i}"), "key", F.col("size").alias(f"z{i}"))
     later = F.when(F.col("s1") < F.col("s2"), F.col("f2")).otherwise(F.col("f1"))
     pair = lambda met: met.select(F.greatest("s1", "s2").alias("seq"), F.least("s1", "s2").alias("before")).distinct()
@@ -147,9 +186,9 @@ def like_before(names: DataFrame) -> DataFrame:
     # The later one of a name and one that it holds must not be short.
     held = side(_keyed(rows, lambda t: {t}), 1).join(side(_keyed(rows, _substrings), 2).hint("merge"), "key").where("s1 <> s2").where(~later)
     held = held.where(F.when(F.col("s1") < F.col("s2"), F.col("l2")).otherwise(F.col("l1")) >= HELD)
-    longer = rows.where(F.length("name") > min(n for n in range(1, LONG) if _long_partners(n)) - 1)
-    parts = side(_keyed(longer, part_keys), 1).join(side(_keyed(longer, asked_part_keys), 2).hint("merge"), "key").where("s1 <> s2").where(~later)
-    pairs = materialize(pairs.unionByName(pair(held)).unionByName(pair(parts)).distinct(), "met-names")
+    wider = rows.where(F.length("name") >= min(n for n in range(1, WIDE + 2) if _long_partners(n, WIDE + 1)))
+    parts = side(_keyed(wider, partial(part_keys, least=WIDE + 1)), 1).join(side(_keyed(wider, partial(asked_part_keys, least=WIDE + 1)), 2).hint("merge"), "key").where("s1 <> s2").where(~later)
+    pairs = materialize(pairs.unionByName(pair(held)).unionByName(pair(parts)).unionByName(met_in_blocks(rows)).distinct(), "met-names")
     by = lambda key, name: rows.select(F.col("seq").alias(key), F.col("name").alias(name))
     pairs = pairs.join(by("seq", "new"), "seq").join(by("before", "old"), "before")
     return pairs.where(_alike("new", "old")).select("seq", "before")
@@ -187,9 +226,10 @@ def localities(known: DataFrame, register: DataFrame) -> DataFrame:
     b = first(b.where("key <> ''"), "key").join(a.select("key"), "key", "left_anti").withColumn("name", title_case(F.col("name")))
     # One order over both: known names come before all others.
     both = a.select(F.lit(True).alias("from_known"), "seq", "name", "key").unionByName(b.select(F.lit(False).alias("from_known"), "seq", "name", "key"))
+    both = materialize(both, "unnumbered-names")
     low = both.groupBy("from_known").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()
     span = {r.from_known: (r.lo, r.hi) for r in low}
     shift = span[True][1] - span[False][0] + 1 if len(span) == 2 else 0
-    both = materialize(both.withColumn("seq", (F.col("seq") + F.when(F.col("from_known"), 0).otherwise(shift)).cast("long")), "names")
+    both = both.withColumn("seq", (F.col("seq") + F.when(F.col("from_known"), 0).otherwise(shift)).cast("long"))
     edges = like_before(both.select("seq", F.col("from_known").alias("free"), F.col("key").alias("name")))
     return first_independent(both, edges, F.col("from_known")).select("seq", "name", "from_known")

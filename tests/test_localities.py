@@ -3,7 +3,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 from evidentia.functions import fixed
-from evidentia.plans.localities import asked_keys, like_before, localities, own_keys
+from evidentia.plans.localities import asked_keys, like_before, localities, met_in_blocks, own_keys
 
 
 def alike(new, old):
@@ -85,3 +85,37 @@ def test_few_names_meet_but_like_ones():
     own, asked = Counter(k for n in found for k in own_keys(n)), Counter(k for n in found for k in asked_keys(n))
     meetings = sum(many * asked[k] for k, many in own.items()) - sum(len(own_keys(n) & asked_keys(n)) for n in found)
     assert meetings < 60 * len(found)
+
+
+def long_names(n, seed):
+    """Names of 15 to 80 letters from few syllables, some of them a few changes off one before."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        name = "".join(rng.choice(["an", "er", "in", "th", "ou", "st", "le", "de", "heit ", "ment"]) for _ in range(rng.randrange(7, rng.choice([9, 12, 28]))))
+        if out and rng.random() < 0.5:
+            name = rng.choice(out)
+            for _ in range(rng.randrange(1, 9)):
+                i = rng.randrange(len(name))
+                name = name[:i] + rng.choice(["", name[i] * 2, rng.choice("aeiou")]) + name[i + 1 :]
+        out.append(name[:80].strip())
+    return list(dict.fromkeys(out))
+
+
+def test_long_names_match_brute_force(spark):
+    found = long_names(600, 7)
+    df = spark.createDataFrame(list(enumerate(found)), "seq long, name string")
+    expected = {(j, i) for j in range(len(found)) for i in range(j) if alike(found[j], found[i])}
+    assert {(r.seq, r.before) for r in like_before(df).collect()} == expected
+    assert sum(min(map(len, (found[j], found[i]))) > 63 for j, i in expected) > 5 and len(expected) > 300
+
+
+def test_few_long_names_meet_but_like_ones(spark):
+    """By parts of three letters, thousands of pairs met that were not alike."""
+    found = [n for n in long_names(600, 9) if len(n) < 64]
+    free = [i % 3 == 0 for i in range(len(found))]
+    df = spark.createDataFrame([(i, free[i], n) for i, n in enumerate(found)], "seq long, free boolean, name string")
+    expected = {(j, i) for j in range(len(found)) for i in range(j) if not free[j] and max(len(found[j]), len(found[i])) >= 20 and SequenceMatcher(None, found[j], found[i]).ratio() >= 0.85}
+    for blocks in ((2048, 16384), (50, 90)):
+        met = [(r.seq, r.before) for r in met_in_blocks(df, blocks).collect()]
+        assert len(met) == len(set(met)) and expected <= set(met) and len(met) < 4 * len(expected)
